@@ -1,6 +1,6 @@
 """Toxicity: a counterfactual-regularised classifier.
 
-Features are the words of a text in lower case (A-Z) and their beginnings of four to six bytes, hashed; a text has a
+Features are the words of a text in lower case (A-Z) and their beginnings of four to eight bytes, hashed; a text has a
 feature or not, however often. The logistic model is fitted by sparse updates. For each labelled text that mentions a
 group, forms of it with the identity term swapped for others are made, and the squared difference of the two logits is
 penalised, so that naming a group neither raises nor lowers a score.
@@ -47,7 +47,9 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 for _lo, _hi in ((48, 58), (65, 91), (97, 123), (128, 256)):
     _TABLE[_lo:_hi] = 1
-PREFIXES = (4, 5, 6)
+PREFIXES = (4, 5, 6, 7, 8)
+#: Texts of the sample that must have a feature for it to count.
+LEAST_TEXTS = 4
 
 
 def _hashes(b: T.Block) -> tuple[T.Tokens, list[tuple[np.ndarray, np.ndarray]]]:
@@ -101,7 +103,9 @@ def train(docs: DataFrame, labels_: DataFrame, rows: int = ROWS, penalty: float
             if forms := swaps(b.text(i).decode()):
                 pairs[len(examples)] = [(p, np.ones(len(p))) for p in map(_places, forms)]
             examples.append((f, np.ones(len(f))))
-    return fit(examples, y, DIM, epochs=6, pairs=pairs, penalty=penalty, alpha=0.1, l1=1.0, l2=0.1).astype(np.float32)
+    seen = np.bincount(np.concatenate([f for f, _ in examples]), minlength=DIM) >= LEAST_TEXTS
+    examples = [(f[seen[f]], v[seen[f]]) for f, v in examples]
+    return fit(examples, y, DIM, epochs=12, pairs=pairs, penalty=penalty, alpha=1.0, l1=8.0, l2=0.0).astype(np.float32)
 
 
 def scores(column, weights: np.ndarray) -> np.ndarray:
