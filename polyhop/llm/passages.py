@@ -33,13 +33,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._tables import cut, documents, whole
+from ._tables import cut, documents, map_arrow, ship, whole
 
 WINDOW = 13
 ANCHOR = 6
 #: Documents that a shard should hold, and bytes of phrases in one automaton.
-SHARD_ROWS = 512
-AUTOMATON_BYTES = 1 << 20
+SHARD_ROWS = 256
+AUTOMATON_BYTES = 1 << 17
 _MISSING = np.iinfo(np.int64).max
 
 
@@ -95,7 +95,7 @@ def anchors(sharded: DataFrame, window: int, anchor: int) -> DataFrame:
                 rows = b.lo + d[some]
                 yield pa.RecordBatch.from_arrays([pa.array(m[some].view(np.int64)), pa.array(shard[rows]), pa.array(ids[rows])], names=["m", "shard", "doc_id"])
 
-    return sharded.where(F.col("doc_id").isNotNull()).select("shard", "doc_id", "text").mapInArrow(run, "m bigint, shard int, doc_id bigint")
+    return map_arrow(sharded.where(F.col("doc_id").isNotNull()).select("shard", "doc_id", "text"), run, "m bigint, shard int, doc_id bigint")
 
 
 def _in(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
@@ -134,27 +134,26 @@ def windows(sharded: DataFrame, recurring: DataFrame, window: int, anchor: int)
     return left.cogroup(recurring.groupBy("shard")).applyInArrow(run, "wh bigint, wx int, shard int, doc_id bigint")
 
 
-class Phrases:
-    """Automata of at most AUTOMATON_BYTES of phrases each, or of one longer phrase. Phrases are words joined, begun
-    and ended by single spaces; bytes count as characters."""
+def automata(phrases: set[bytes], limit: int = AUTOMATON_BYTES) -> Iterator[ahocorasick.Automaton]:
+    """One after another, automata of at most ``limit`` bytes of phrases each, or of one longer phrase. Phrases are
+    words joined, begun and ended by single spaces; a byte counts as a character."""
+    now, size = ahocorasick.Automaton(), 0
+    for p in sorted(phrases):
+        if size and size + len(p) > limit:
+            now.make_automaton()
+            yield now
+            now, size = ahocorasick.Automaton(), 0
+        now.add_word(p.decode("latin-1"), (len(p), p.count(b" ") - 1))
+        size += len(p)
+    if size:
+        now.make_automaton()
+        yield now
 
-    def __init__(self, phrases: set[bytes], limit: int = AUTOMATON_BYTES):
-        self.automata, size, now = [], 0, None
-        for p in sorted(phrases):
-            if now is None or size + len(p) > limit:
-                now, size = ahocorasick.Automaton(), 0
-                self.automata.append(now)
-            now.add_word(p.decode("latin-1"), (len(p), p.count(b" ") - 1))
-            size += len(p)
-        for a in self.automata:
-            a.make_automaton()
 
-    def find(self, line: bytes) -> Iterator[tuple[int, int]]:
-        """(place of the first byte, number of words) of each occurrence in a line of the same form."""
-        text = line.decode("latin-1")
-        for a in self.automata:
-            for end, (size, words) in a.iter(text):
-                yield end - size + 1, words
+def occurrences(a: ahocorasick.Automaton, line: bytes) -> Iterator[tuple[int, int]]:
+    """(place of the first byte, number of words) of each phrase in a line of the phrases' form."""
+    for end, (size, words) in a.iter(line.decode("latin-1")):
+        yield end - size + 1, words
 
 
 def _covered(n: int, starts: np.ndarray, length) -> np.ndarray:
@@ -200,22 +199,26 @@ def strip_shard(texts: pa.Array, ids: np.ndarray, valid: np.ndarray, known: np.n
                     phrases.add(b" " + b" ".join(words[a : z + window]) + b" ")
     keep: list = [None] * len(ids)
     if phrases:
-        automata = Phrases(phrases)
-        for row, words, place, late in found:
-            if not late.any():
-                continue
-            line = b" " + b" ".join(words) + b" "
-            edges = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
-            spots = np.array(list(automata.find(line)), np.int64).reshape(-1, 2)
-            located = _covered(len(words), np.searchsorted(edges, spots[:, 0]), spots[:, 1])
-            gone = located & _covered(len(words), place[late], window)
-            keep[row] = ~gone
+        found = [f for f in found if f[3].any()]
+        located = [np.zeros(len(words) + 1, np.int32) for _, words, _, _ in found]
+        lines = [b" " + b" ".join(words) + b" " for _, words, _, _ in found]
+        for a in automata(phrases):
+            for line, depth, (_, words, _, _) in zip(lines, located, found, strict=True):
+                spots = np.array(list(occurrences(a, line)), np.int64).reshape(-1, 2)
+                if len(spots):
+                    edges = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
+                    begin = np.searchsorted(edges, spots[:, 0])
+                    np.add.at(depth, begin, 1)
+                    np.add.at(depth, begin + spots[:, 1], -1)
+        for (row, words, place, late), depth in zip(found, located, strict=True):
+            keep[row] = ~((np.cumsum(depth)[:-1] > 0) & _covered(len(words), place[late], window))
     return count, keep
 
 
 def strip(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
     """The operator: the columns of docs, with ``text`` less the words removed (those left joined by single spaces) where
     there are any, and ``n_words``, ``n_removed`` and ``kept_sha256`` of the words left, joined by single spaces."""
+    ship(docs.sparkSession)
     docs = docs.drop("n_words", "n_removed", "kept_sha256")
     n = max(1, math.ceil(docs.count() / SHARD_ROWS))
     shard = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.xxhash64("text"))), F.lit(n)).cast("int")
