@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._tables import documents
+from ._tables import documents, map_arrow
 
 RATE, OUT_RATE, BLOCK_ALIGN = 8000, 16000, 64
 CODECS = ("mulaw", "alaw", "adpcm")
@@ -158,7 +158,7 @@ def store(df: DataFrame, payload: str = "text") -> DataFrame:
                 new = [pa.array(sizes), pa.array([CODECS[c] for c in codecs]), _binary(room, total)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=schema.names)
 
-    return base.mapInArrow(run, schema)
+    return map_arrow(base, run, schema)
 
 
 def decode(df: DataFrame, media: str = "media") -> DataFrame:
@@ -197,7 +197,7 @@ def decode(df: DataFrame, media: str = "media") -> DataFrame:
             for b in T.blocks(batch.column(media).fill_null(b"")):
                 yield part(batch.slice(b.lo, b.hi - b.lo), b)
 
-    return base.mapInArrow(run, schema)
+    return map_arrow(base, run, schema)
 
 
 def op4(docs: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._tables import cut, documents
+from ._tables import cut, documents, map_arrow
 from .components import components
 
 WIDTH = 5
@@ -129,7 +129,7 @@ def sign(docs: DataFrame) -> DataFrame:
                 new = [pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(total), lists]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(b.lo, n), *new], names=["doc_id", "k1", "k2", "total", "bands"])
 
-    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text").mapInArrow(run, SIGNED)
+    return map_arrow(docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text"), run, SIGNED)
 
 
 def overlaps(pairs: DataFrame) -> DataFrame:
@@ -157,7 +157,7 @@ def overlaps(pairs: DataFrame) -> DataFrame:
                 near = np.where(both > 0, low / np.maximum(both - low, 1), 1.0)
                 yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(near)], names=["a", "b", "similarity"])
 
-    return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint, similarity double")
+    return map_arrow(pairs.select("a", "b", "text_a", "text_b"), run, "a bigint, b bigint, similarity double")
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, known: DataFrame | None = None) -> DataFrame:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._tables import cut, documents
+from ._tables import cut, documents, map_arrow
 
 CAPACITY = 1024
 SEPARATOR = 2
@@ -91,7 +91,7 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, i
                 names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(types)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=False)], names=names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return map_arrow(docs.select("doc_id", "text"), run, schema)
 
 
 def price(value: np.ndarray, capacity: int) -> list[int]:
@@ -211,7 +211,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             new = [pa.array(seq[at] + r - first[at]), pa.array(off[at])]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *new], names=batch.schema.names)
 
-    return rows.mapInArrow(run, rows.schema)
+    return map_arrow(rows, run, rows.schema)
 
 
 def op5(docs: DataFrame, path: str | None = None) -> DataFrame:

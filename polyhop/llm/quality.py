@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._tables import documents, labels, whole
+from ._tables import documents, labels, map_arrow, whole
 from ._training import held_out, sample
 from .ftrl import fit, sigmoid
 
@@ -111,7 +111,7 @@ def score(docs: DataFrame, weights: np.ndarray, to: str = "score") -> DataFrame:
             column = pa.array(scores(batch.column("text"), shared.value))
             yield pa.RecordBatch.from_arrays([*batch.columns, column], names=[*batch.schema.names, to])
 
-    return docs.mapInArrow(run, schema)
+    return map_arrow(docs, run, schema)
 
 
 def op9(docs: DataFrame, labels_: DataFrame) -> DataFrame:
