@@ -7,9 +7,9 @@ places and to counts in the interval, and a bag keeps the first point of each pl
 before a time that is almost surely late enough are made; a bag with an empty place is tried again with twice the time.
 
 Documents with the same words form a class at once. Of the classes' first documents, signature bands give candidates:
-each band's bucket links its members to its first one, and the pair's overlap is counted exactly. Buckets that still
-hold more than one component then compare the members of different components that the triangle inequality of the
-distance leaves. Components of the verified links are the groups.
+each band's bucket links its members to its first one, and the pair's overlap is counted exactly. The members of buckets
+that still hold more than one component then meet by their rarest elements (prefix filtering, which loses no pair), and
+those pairs are counted too. Components of the verified links are the groups.
 
 Null and empty texts have an empty bag; two such documents are copies. Rows with a null doc_id belong to no group.
 Rows with equal doc_id and text are one document.
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
@@ -160,11 +160,15 @@ def overlaps(pairs: DataFrame) -> DataFrame:
     return map_arrow(pairs.select("a", "b", "text_a", "text_b"), run, "a bigint, b bigint, similarity double")
 
 
-def _verify(pairs: DataFrame, docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Exact similarities of candidate pairs (a, b), cut from their lineage. Only the texts of paired documents move on."""
+def _texts(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """doc_id and text of the paired documents. Ids grow with the corpus, so this is a shuffle, never a broadcast."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids, "doc_id", "left_semi")
-    texts = cut(texts.dropDuplicates(["doc_id"]), "texts")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(ids.hint("merge"), "doc_id", "left_semi")
+    return cut(texts.dropDuplicates(["doc_id"]), "texts")
+
+
+def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Exact similarities of candidate pairs (a, b), cut from their lineage."""
     side = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"text_{c}"))
     return cut(overlaps(pairs.join(side("b"), "b").join(side("a"), "a")), "pairs")
 
@@ -180,12 +184,13 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     heads = cut(heads, "heads")
     members = cut(buckets.join(heads, "key"), "members")
     pairs = cut(members.where(F.col("doc_id") != F.col("head")).select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), "candidates")
-    checked = _verify(pairs, docs)
+    texts = _texts(pairs, docs)
+    checked = _verify(pairs, texts)
     links = checked.where(F.col("similarity") >= threshold).select("a", "b")
     labels = components(links)
-    rest = cut(_rest(members, checked, labels, threshold), "rest")
+    rest = cut(_rest(members, checked, labels, texts, threshold), "rest")
     if not rest.isEmpty():
-        more = _verify(rest, docs)
+        more = _verify(rest, texts)
         links = cut(links.union(more.where(F.col("similarity") >= threshold).select("a", "b")), "links")
         labels = components(links)
     degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
@@ -194,24 +199,49 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return out.select("doc_id", F.coalesce("root", "rep_id").alias("class_id"), "rep_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 
-def _rest(members: DataFrame, checked: DataFrame, labels: DataFrame, threshold: float) -> DataFrame:
-    """Candidate pairs that no first comparison settles: two members of a bucket in different components, neither its
-    head, whose sizes and distances to the head allow a link. With distance 1 - similarity, |d(h,u) - d(h,v)| can't
-    exceed d(u,v)."""
-    far = checked.select(F.col("a").alias("head"), F.col("b").alias("doc_id"), (1 - F.col("similarity")).alias("far"))
-    rows = members.where(F.col("members") > 2).join(far, ["head", "doc_id"])
-    rows = rows.join(labels.select(F.col("id").alias("doc_id"), "root"), "doc_id", "left").withColumn("root", F.coalesce("root", "doc_id"))
-    loose = rows.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where(F.col("x") != F.col("y")).select("key")
-    rows = cut(rows.join(loose, "key", "left_semi"), "loose")
-    u, v = (rows.select("key", *[F.col(c).alias(f"{c}_{s}") for c in ("doc_id", "root", "far", "total")]) for s in "uv")
-    room = 1 - threshold + 1e-9
+def elements(texts: DataFrame) -> DataFrame:
+    """(doc_id, e): the bags of doc_id and text as sets, each copy of a shingle an element of its own."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id").to_numpy()
+            for b in T.blocks(batch.column("text")):
+                d, g, w, _, _ = bags(b)
+                of = np.repeat(np.arange(len(d)), w)
+                copy = np.arange(len(of)) - np.repeat(np.cumsum(w) - w, w)
+                e = T.mix(g[of] + copy.astype(T.U) * T.U(0x9E3779B97F4A7C15))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[b.lo + d[of]]), pa.array(e.view(np.int64))], names=["doc_id", "e"])
+
+    return map_arrow(texts.select("doc_id", "text"), run, "doc_id bigint, e bigint")
+
+
+def _rest(members: DataFrame, checked: DataFrame, labels: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Candidate pairs that the comparisons with the buckets' heads leave open: documents of buckets whose members are in
+    different components. Two bags of similarity t share an element among the first |u| - ceil(t |u|) + 1 of u and of v
+    in any common order; with the rarest elements first few documents do. Pairs of one component are settled, so each
+    element pairs the documents outside its most common component with the others."""
+    roots = members.where(F.col("members") > 2).join(labels.select(F.col("id").alias("doc_id"), "root"), "doc_id", "left")
+    roots = roots.select("key", "doc_id", "total", F.coalesce("root", "doc_id").alias("root"))
+    loose = roots.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where(F.col("x") != F.col("y"))
+    loose = cut(roots.join(loose.select("key"), "key", "left_semi").groupBy("doc_id").agg(F.first("total").alias("total"), F.first("root").alias("root")), "loose")
+    found = cut(elements(texts.join(loose.select("doc_id").hint("merge"), "doc_id", "left_semi")), "elements")
+    held = found.groupBy("e").agg(F.count(F.lit(1)).alias("df"))
+    ranked = found.join(held, "e").withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "e")))
+    ranked = ranked.join(loose, "doc_id")
+    head = ranked.where((F.col("df") > 1) & (F.col("r") <= F.col("total") - F.ceil(F.lit(threshold - 1e-9) * F.col("total")) + 1))
+    head = cut(head.select("e", "doc_id", "root", "total"), "prefixes")
+    common = head.groupBy("e", "root").count().groupBy("e").agg(F.max_by("root", F.struct("count", "root")).alias("common"), F.count(F.lit(1)).alias("n"))
+    common = cut(common.where(F.col("n") > 1).select("e", "common"), "common")
+    v = cut(head.join(common, "e"), "prefixes")
+    u = v.where(F.col("root") != F.col("common"))
+    u = u.select("e", *[F.col(c).alias(f"{c}_u") for c in ("doc_id", "root", "total")])
     on = (
-        (F.col("doc_id_u") < F.col("doc_id_v"))
-        & (F.col("root_u") != F.col("root_v"))
-        & (F.abs(F.col("far_u") - F.col("far_v")) <= room)
-        & (F.least("total_u", "total_v") >= (threshold - 1e-9) * F.greatest("total_u", "total_v"))
+        (F.col("root") != F.col("root_u"))
+        & ((F.col("root") == F.col("common")) | (F.col("doc_id_u") < F.col("doc_id")))
+        & (F.least("total", "total_u") >= (threshold - 1e-9) * F.greatest("total", "total_u"))
     )
-    pairs = u.join(v, "key").where(on).select(F.col("doc_id_u").alias("a"), F.col("doc_id_v").alias("b")).distinct()
+    pairs = v.join(u, "e").where(on)
+    pairs = pairs.select(F.least("doc_id", "doc_id_u").alias("a"), F.greatest("doc_id", "doc_id_u").alias("b")).distinct()
     return pairs.join(checked.select("a", "b"), ["a", "b"], "left_anti")
 
 
