@@ -229,16 +229,19 @@ def _rest(members: DataFrame, checked: DataFrame, labels: DataFrame, texts: Data
     ranked = found.join(held, "e").withColumn("r", F.row_number().over(Window.partitionBy("doc_id").orderBy("df", "e")))
     ranked = ranked.join(loose, "doc_id")
     head = ranked.where((F.col("df") > 1) & (F.col("r") <= F.col("total") - F.ceil(F.lit(threshold - 1e-9) * F.col("total")) + 1))
-    head = cut(head.select("e", "doc_id", "root", "total"), "prefixes")
+    head = cut(head.select("e", "doc_id", "root", "total", "r"), "prefixes")
     common = head.groupBy("e", "root").count().groupBy("e").agg(F.max_by("root", F.struct("count", "root")).alias("common"), F.count(F.lit(1)).alias("n"))
     common = cut(common.where(F.col("n") > 1).select("e", "common"), "common")
     v = cut(head.join(common, "e"), "prefixes")
     u = v.where(F.col("root") != F.col("common"))
-    u = u.select("e", *[F.col(c).alias(f"{c}_u") for c in ("doc_id", "root", "total")])
+    u = u.select("e", *[F.col(c).alias(f"{c}_u") for c in ("doc_id", "root", "total", "r")])
+    # the overlap that the pair's sizes ask for, and the elements of each that may then come before the first common one
+    need = F.ceil(F.lit((threshold - 1e-9) / (1 + threshold)) * (F.col("total") + F.col("total_u")))
     on = (
         (F.col("root") != F.col("root_u"))
         & ((F.col("root") == F.col("common")) | (F.col("doc_id_u") < F.col("doc_id")))
-        & (F.least("total", "total_u") >= (threshold - 1e-9) * F.greatest("total", "total_u"))
+        & (F.col("r") <= F.col("total") - need + 1)
+        & (F.col("r_u") <= F.col("total_u") - need + 1)
     )
     pairs = v.join(u, "e").where(on)
     pairs = pairs.select(F.least("doc_id", "doc_id_u").alias("a"), F.greatest("doc_id", "doc_id_u").alias("b")).distinct()
