@@ -226,12 +226,11 @@ def strip(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFr
     found = anchors(sharded, window, anchor)
     ends = found.groupBy("m").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"))
     recurring = cut(ends.where(F.col("a") < F.col("z")).select("m"), "anchors")
-    in_shard = cut(found.join(recurring, "m").select("shard", "m").distinct(), "shard-anchors")
+    in_shard = found.join(recurring, "m").select("shard", "m").distinct()
     held = cut(windows(sharded, in_shard, window, anchor), "windows")
     ends = held.groupBy("wh", "wx").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     firsts = cut(ends.where(F.col("first") < F.col("last")).select("wh", "wx", "first"), "first-holders")
     known = held.select("wh", "wx", "shard").join(firsts, ["wh", "wx"]).groupBy("shard", "wh").agg(F.min("first").alias("first"))
-    known = cut(known, "shard-windows")
     schema = docs.select(
         *[F.col(c) if c != "text" else whole(F.col(c)).alias(c) for c in docs.columns],
         F.lit(0).cast("bigint").alias("n_words"), F.lit(0).cast("bigint").alias("n_removed"), F.lit("").alias("kept_sha256"),
