@@ -72,7 +72,17 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     del df
     gc.collect()
     jvm.System.gc()
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._polyhop_table = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that ``cut`` wrote and nothing later reads."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        at = sc._jvm.org.apache.hadoop.fs.Path(df._polyhop_table)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def words(text):

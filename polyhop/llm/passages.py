@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._tables import cut, documents, map_arrow, ship, whole
+from ._tables import cut, documents, map_arrow, release, ship, whole
 
 WINDOW = 13
 ANCHOR = 6
@@ -230,7 +230,10 @@ def strip(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFr
     held = cut(windows(sharded, in_shard, window, anchor), "windows")
     ends = held.groupBy("wh", "wx").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     firsts = cut(ends.where(F.col("first") < F.col("last")).select("wh", "wx", "first"), "first-holders")
-    known = held.select("wh", "wx", "shard").join(firsts, ["wh", "wx"]).groupBy("shard", "wh").agg(F.min("first").alias("first"))
+    # a shard needs a window only if one of its documents comes after the first holder
+    known = held.join(firsts, ["wh", "wx"]).where(F.col("first") < F.col("doc_id"))
+    known = cut(known.groupBy("shard", "wh").agg(F.min("first").alias("first")), "shard-windows")
+    release(recurring, held, firsts)
     schema = docs.select(
         *[F.col(c) if c != "text" else whole(F.col(c)).alias(c) for c in docs.columns],
         F.lit(0).cast("bigint").alias("n_words"), F.lit(0).cast("bigint").alias("n_removed"), F.lit("").alias("kept_sha256"),
