@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -59,9 +60,10 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, settle: bool = False) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: what follows neither recomputes it nor depends on the
-    executors that made it. Shuffle files of the steps before are released; the table goes when the JVM ends."""
+    executors that made it. Shuffle files of the steps before are released, with ``settle`` before the next step begins;
+    the table goes when the JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/polyhop/{uuid.uuid4().hex}-{name}"
     df.write.option("compression", "zstd").parquet(path)
@@ -72,6 +74,10 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     del df
     gc.collect()
     jvm.System.gc()
+    if settle:
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        jvm.System.gc()
+        time.sleep(1)  # the cleaner removes shuffle files in the background
     out = spark.read.schema(schema).parquet(path)
     out._polyhop_table = path
     return out

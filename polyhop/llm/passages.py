@@ -225,14 +225,14 @@ def strip(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFr
     sharded = docs.withColumn("shard", shard)
     found = anchors(sharded, window, anchor)
     ends = found.groupBy("m").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"))
-    recurring = cut(ends.where(F.col("a") < F.col("z")).select("m"), "anchors")
+    recurring = cut(ends.where(F.col("a") < F.col("z")).select("m"), "anchors", settle=True)
     in_shard = found.join(recurring, "m").select("shard", "m").distinct()
-    held = cut(windows(sharded, in_shard, window, anchor), "windows")
+    held = cut(windows(sharded, in_shard, window, anchor), "windows", settle=True)
     ends = held.groupBy("wh", "wx").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    firsts = cut(ends.where(F.col("first") < F.col("last")).select("wh", "wx", "first"), "first-holders")
+    firsts = cut(ends.where(F.col("first") < F.col("last")).select("wh", "wx", "first"), "first-holders", settle=True)
     # a shard needs a window only if one of its documents comes after the first holder
     known = held.join(firsts, ["wh", "wx"]).where(F.col("first") < F.col("doc_id"))
-    known = cut(known.groupBy("shard", "wh").agg(F.min("first").alias("first")), "shard-windows")
+    known = cut(known.groupBy("shard", "wh").agg(F.min("first").alias("first")), "shard-windows", settle=True)
     release(recurring, held, firsts)
     schema = docs.select(
         *[F.col(c) if c != "text" else whole(F.col(c)).alias(c) for c in docs.columns],
