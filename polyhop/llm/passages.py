@@ -6,7 +6,8 @@ A window is ``window`` consecutive words. A word goes if a window over it also s
    anchors, and one anchor serves several neighbouring windows, so far fewer anchors than windows are shuffled. Anchors
    of one document alone drop out.
 2. Windows. Each shard of documents receives the recurring anchors that occur in it and gives the windows around
-   them; windows that two documents hold recur, and the smallest doc_id of each is its first holder.
+   them; windows that two documents hold recur, and the smallest doc_id of each is its first holder. Whole documents
+   are compared in the same way by two keys, so that of many copies only the first one's windows are shuffled.
 3. Automata. Each shard receives the recurring windows that occur in it. The longest runs of them in its documents are
    the shard's phrases, taken from the text; Aho-Corasick automata of a bounded number of bytes are compiled from them,
    and every document of the shard that holds a recurring window is streamed through to locate every occurrence.
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 
 from . import _text as T
 from ._tables import cut, documents, map_arrow, release, ship, whole
+from .neardup import word_keys
 
 WINDOW = 13
 ANCHOR = 6
@@ -69,6 +71,21 @@ def _windows(h: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np
     return T.mix(a), (T.mix(b) >> T.U(32)).astype(np.uint32)
 
 
+def _whole(t: T.Tokens, h: np.ndarray, n: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two keys of each document's whole sequence of words, and whether it has a window's words."""
+    k1, k2 = word_keys(t, h, n)
+    return T.mix(k1 ^ T.U(0xA5A5A5A5)), T.mix(k2 ^ T.U(0x5A5A5A5A)), t.counts(n) >= window
+
+
+def _copies(k1, k2, long, ids: np.ndarray, known: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which documents' whole sequence recurs, and which of them an earlier document holds."""
+    recurs = long & _in(k1, known) & _in(k2, known)
+    if not len(known):
+        return recurs, recurs
+    at = lambda k: first[np.minimum(np.searchsorted(known, k), len(known) - 1)]
+    return recurs, recurs & (at(k1) == at(k2)) & (at(k1) < ids)
+
+
 def _distinct(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
     """Places of the first of each (doc, key)."""
     order = np.lexsort((key, doc))
@@ -79,21 +96,24 @@ def _distinct(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def anchors(sharded: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(m, shard, doc_id): the anchors of each document, once each."""
+    """(m, shard, doc_id): the anchors of each document and its two keys, once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             shard, ids = batch.column("shard").to_numpy(), batch.column("doc_id").to_numpy()
             for b in T.blocks(batch.column("text")):
                 t = T.tokens(b)
-                at, m = _anchors(T.span_hash(b.prefix(), t.starts, t.ends), t.doc, window, anchor)
+                h = T.span_hash(b.prefix(), t.starts, t.ends)
+                at, m = _anchors(h, t.doc, window, anchor)
                 d = t.doc[at]
                 turn = np.ones(len(m), bool)
                 turn[1:] = (m[1:] != m[:-1]) | (d[1:] != d[:-1])
                 d, m = d[turn], m[turn]
                 some = _distinct(d, m)
-                rows = b.lo + d[some]
-                yield pa.RecordBatch.from_arrays([pa.array(m[some].view(np.int64)), pa.array(shard[rows]), pa.array(ids[rows])], names=["m", "shard", "doc_id"])
+                k1, k2, long = _whole(t, h, b.hi - b.lo, window)
+                m = np.concatenate([m[some], k1[long], k2[long]])
+                rows = b.lo + np.concatenate([d[some], np.flatnonzero(long), np.flatnonzero(long)])
+                yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(shard[rows]), pa.array(ids[rows])], names=["m", "shard", "doc_id"])
 
     return map_arrow(sharded.where(F.col("doc_id").isNotNull()).select("shard", "doc_id", "text"), run, "m bigint, shard int, doc_id bigint")
 
@@ -111,21 +131,29 @@ def _ids(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def windows(sharded: DataFrame, recurring: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(wh, wx, shard, doc_id): the windows around recurring anchors, once a document."""
+    """(wh, wx, shard, doc_id): the windows around recurring anchors, once a document, and the keys of documents whose
+    whole sequence recurs. Of such copies only the first gives windows: all of the others' are in it."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = np.sort(right.column("m").to_numpy().view(T.U))
+        known = right.column("m").to_numpy().view(T.U)
+        order = np.argsort(known)
+        known, first = known[order], right.column("a").to_numpy()[order]
         ids, valid = _ids(left)
         out = []
         for b in T.blocks(left.column("text").combine_chunks()) if len(known) and len(ids) else ():
             t = T.tokens(b)
             h = T.span_hash(b.prefix(), t.starts, t.ends)
             at, m = _anchors(h, t.doc, window, anchor)
-            at = at[_in(m, known) & valid[b.lo + t.doc[at]]]
+            k1, k2, long = _whole(t, h, b.hi - b.lo, window)
+            recurs, copy = _copies(k1, k2, long & valid[b.lo : b.hi], ids[b.lo : b.hi], known, first)
+            at = at[_in(m, known) & valid[b.lo + t.doc[at]] & ~copy[t.doc[at]]]
             wh, wx = _windows(h, at, window)
             d = t.doc[at]
             some = _distinct(d, wh)
-            out.append((wh[some].view(np.int64), wx[some].view(np.int32), ids[b.lo + d[some]]))
+            keys = np.concatenate([k1[recurs], k2[recurs]])
+            wh, d = np.concatenate([wh[some], keys]), np.concatenate([d[some], np.flatnonzero(recurs), np.flatnonzero(recurs)])
+            wx = np.concatenate([wx[some], keys.astype(np.uint32)])
+            out.append((wh.view(np.int64), wx.view(np.int32), ids[b.lo + d]))
         cols = [np.concatenate([o[i] for o in out]) if out else np.empty(0, k) for i, k in enumerate((np.int64, np.int32, np.int64))]
         shard = np.full(len(cols[0]), left.column("shard")[0].as_py() if len(ids) else 0, np.int32)
         return pa.table({"wh": cols[0], "wx": cols[1], "shard": shard, "doc_id": cols[2]})
@@ -180,9 +208,11 @@ def strip_shard(texts: pa.Array, ids: np.ndarray, valid: np.ndarray, known: np.n
             continue
         at = np.flatnonzero(t.doc[:m] == t.doc[window - 1 :])
         wh = _windows(h, at, window)[0]
+        copy = _copies(*_whole(t, h, b.hi - b.lo, window), ids[b.lo : b.hi], known, first)[1]
         hit = _in(wh, known)
-        at, wh = at[hit], wh[hit]
-        later = first[np.searchsorted(known, wh)] < ids[b.lo + t.doc[at]]
+        later = hit & (first[np.minimum(np.searchsorted(known, wh), len(known) - 1)] < ids[b.lo + t.doc[at]])
+        hit, later = hit | copy[t.doc[at]], later | copy[t.doc[at]]
+        at, later = at[hit], later[hit]
         begin = np.searchsorted(t.doc, np.arange(b.hi - b.lo))
         for d in np.unique(t.doc[at]):
             row = b.lo + d
@@ -225,8 +255,8 @@ def strip(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFr
     sharded = docs.withColumn("shard", shard)
     found = anchors(sharded, window, anchor)
     ends = found.groupBy("m").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"))
-    recurring = cut(ends.where(F.col("a") < F.col("z")).select("m"), "anchors", settle=True)
-    in_shard = found.join(recurring, "m").select("shard", "m").distinct()
+    recurring = cut(ends.where(F.col("a") < F.col("z")).select("m", "a"), "anchors", settle=True)
+    in_shard = found.join(recurring, "m").groupBy("shard", "m").agg(F.min("a").alias("a"))
     held = cut(windows(sharded, in_shard, window, anchor), "windows", settle=True)
     ends = held.groupBy("wh", "wx").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     firsts = cut(ends.where(F.col("first") < F.col("last")).select("wh", "wx", "first"), "first-holders", settle=True)
