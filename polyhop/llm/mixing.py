@@ -117,7 +117,7 @@ def mixture(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, seed: int = SE
     """The documents that the mix takes, a document taken r times as r rows, in the columns of docs."""
     got = mix(cut(sized(docs), "sizes"), weights, share, seed)
     times = got.where(F.col("taken") > 0).select(F.col("doc_id").alias("id_"), (F.col("taken") / F.col("size")).cast("int").alias("times")).dropDuplicates(["id_"])
-    rows = docs.join(times, F.col("doc_id").eqNullSafe(F.col("id_")))
+    rows = docs.join(times.hint("merge"), F.col("doc_id").eqNullSafe(F.col("id_")))  # grows with docs: never a broadcast
     return rows.withColumn("__r", F.explode(F.sequence(F.lit(1), F.col("times")))).select(*docs.columns)
 
 

@@ -254,7 +254,7 @@ def op6(docs: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """One document of each group, that of the smallest doc_id, and all rows without a doc_id, in the columns of docs."""
-    chosen = cut(groups(docs), "groups").where(F.col("doc_id") == F.col("class_id")).select("doc_id")
+    chosen = cut(groups(docs), "groups").where(F.col("doc_id") == F.col("class_id")).select("doc_id").hint("merge")
     rows = docs.where(F.col("doc_id").isNotNull()).join(chosen, "doc_id", "left_semi")
     if not docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").isEmpty():
         rows = rows.dropDuplicates(["doc_id"])
