@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._tables import cut, documents, map_arrow, release, ship, whole
+from ._tables import cut, documents, map_arrow, release, ship
 from .neardup import word_keys
 
 WINDOW = 13
@@ -100,7 +100,7 @@ def anchors(sharded: DataFrame, window: int, anchor: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shard, ids = batch.column("shard").to_numpy(), batch.column("doc_id").to_numpy()
+            shard, ids = batch.column("__shard").to_numpy(), batch.column("doc_id").to_numpy()
             for b in T.blocks(batch.column("text")):
                 t = T.tokens(b)
                 h = T.span_hash(b.prefix(), t.starts, t.ends)
@@ -113,9 +113,9 @@ def anchors(sharded: DataFrame, window: int, anchor: int) -> DataFrame:
                 k1, k2, long = _whole(t, h, b.hi - b.lo, window)
                 m = np.concatenate([m[some], k1[long], k2[long]])
                 rows = b.lo + np.concatenate([d[some], np.flatnonzero(long), np.flatnonzero(long)])
-                yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(shard[rows]), pa.array(ids[rows])], names=["m", "shard", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(shard[rows]), pa.array(ids[rows])], names=["m", "__shard", "doc_id"])
 
-    return map_arrow(sharded.where(F.col("doc_id").isNotNull()).select("shard", "doc_id", "text"), run, "m bigint, shard int, doc_id bigint")
+    return map_arrow(sharded.where(F.col("doc_id").isNotNull()).select("__shard", "doc_id", "text"), run, "m bigint, __shard int, doc_id bigint")
 
 
 def _in(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
@@ -155,11 +155,11 @@ def windows(sharded: DataFrame, recurring: DataFrame, window: int, anchor: int)
             wx = np.concatenate([wx[some], keys.astype(np.uint32)])
             out.append((wh.view(np.int64), wx.view(np.int32), ids[b.lo + d]))
         cols = [np.concatenate([o[i] for o in out]) if out else np.empty(0, k) for i, k in enumerate((np.int64, np.int32, np.int64))]
-        shard = np.full(len(cols[0]), left.column("shard")[0].as_py() if len(ids) else 0, np.int32)
-        return pa.table({"wh": cols[0], "wx": cols[1], "shard": shard, "doc_id": cols[2]})
+        shard = np.full(len(cols[0]), left.column("__shard")[0].as_py() if len(ids) else 0, np.int32)
+        return pa.table({"wh": cols[0], "wx": cols[1], "__shard": shard, "doc_id": cols[2]})
 
-    left = sharded.select("shard", "doc_id", "text").groupBy("shard")
-    return left.cogroup(recurring.groupBy("shard")).applyInArrow(run, "wh bigint, wx int, shard int, doc_id bigint")
+    left = sharded.select("__shard", "doc_id", "text").groupBy("__shard")
+    return left.cogroup(recurring.groupBy("__shard")).applyInArrow(run, "wh bigint, wx int, __shard int, doc_id bigint")
 
 
 def automata(phrases: set[bytes], limit: int = AUTOMATON_BYTES) -> Iterator[ahocorasick.Automaton]:
@@ -252,20 +252,20 @@ def strip(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFr
     docs = docs.drop("n_words", "n_removed", "kept_sha256")
     n = max(1, math.ceil(docs.count() / SHARD_ROWS))
     shard = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.xxhash64("text"))), F.lit(n)).cast("int")
-    sharded = docs.withColumn("shard", shard)
+    sharded = docs.withColumn("__shard", shard)
     found = anchors(sharded, window, anchor)
     ends = found.groupBy("m").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"))
     recurring = cut(ends.where(F.col("a") < F.col("z")).select("m", "a"), "anchors", settle=True)
-    in_shard = found.join(recurring, "m").groupBy("shard", "m").agg(F.min("a").alias("a"))
+    in_shard = found.join(recurring, "m").groupBy("__shard", "m").agg(F.min("a").alias("a"))
     held = cut(windows(sharded, in_shard, window, anchor), "windows", settle=True)
     ends = held.groupBy("wh", "wx").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
     firsts = cut(ends.where(F.col("first") < F.col("last")).select("wh", "wx", "first"), "first-holders", settle=True)
     # a shard needs a window only if one of its documents comes after the first holder
     known = held.join(firsts, ["wh", "wx"]).where(F.col("first") < F.col("doc_id"))
-    known = cut(known.groupBy("shard", "wh").agg(F.min("first").alias("first")), "shard-windows", settle=True)
+    known = cut(known.groupBy("__shard", "wh").agg(F.min("first").alias("first")), "shard-windows", settle=True)
     release(recurring, held, firsts)
     schema = docs.select(
-        *[F.col(c) if c != "text" else whole(F.col(c)).alias(c) for c in docs.columns],
+        *docs.columns,
         F.lit(0).cast("bigint").alias("n_words"), F.lit(0).cast("bigint").alias("n_removed"), F.lit("").alias("kept_sha256"),
     ).schema
     names = docs.columns
@@ -292,7 +292,7 @@ def strip(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFr
         cols = {c: left.column(c) for c in names} | {"text": pa.array(new, pa.binary()).cast(pa.string())}
         return pa.table(cols | {"n_words": count, "n_removed": gone, "kept_sha256": pa.array(sha, pa.string())})
 
-    return sharded.groupBy("shard").cogroup(known.groupBy("shard")).applyInArrow(run, schema)
+    return sharded.groupBy("__shard").cogroup(known.groupBy("__shard")).applyInArrow(run, schema)
 
 
 def op2(docs: DataFrame) -> DataFrame:

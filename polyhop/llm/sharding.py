@@ -43,6 +43,7 @@ def fisher_yates(n: Column, seed: int, *of: Column) -> Column:
 
 def shuffle(df: DataFrame, key: list[str], shards: int = SHARDS, seed: int = SEED, rows: int | None = None) -> DataFrame:
     """df with ``shard`` and ``slot``. key: columns that tell rows apart; rows: df's count, if it is known."""
+    df = df.drop("shard", "slot")
     n = df.count() if rows is None else rows
     cells = max(1, math.ceil(n / CELL_ROWS))
     buckets = max(1, math.ceil(cells / BUCKET_CELLS))
