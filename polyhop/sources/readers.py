@@ -123,7 +123,7 @@ def ratings(spark: SparkSession, path, low: float = -1e100, high: float = 1e100)
 def query_file(spark: SparkSession, path: str, num_query: int | None = None) -> DataFrame:
     """Line 1 names the number; line 2 has ids, each ended by a comma."""
     ids = F.filter(F.transform(F.regexp_extract_all("value", F.lit("(\\d+),"), F.lit(1)), lambda x: x.cast("bigint")), lambda x: x.isNotNull())
-    rows = spark.read.option("wholetext", True).text(path).select(F.element_at(F.split("value", "\\r?\\n"), 2).alias("value"))
+    rows = spark.read.text(path, wholetext=True).select(F.element_at(F.split("value", "\\r?\\n"), 2).alias("value"))
     got = rows.select(F.posexplode(ids).alias("qid", "source"))
     return got.where(F.col("qid") < num_query) if num_query is not None else got
 
