@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,19 +130,33 @@ def query_file(spark: SparkSession, path: str, num_query: int | None = None) ->
     return got.where(F.col("qid") < num_query) if num_query is not None else got
 
 
+#: Degrees whose probabilities are summed one by one; the distribution beyond them is integrated.
+EXACT_DEGREES = 64
+
+
 def powerlaw(spark: SparkSession, n: int, alpha: float = 2.0, truncate: int = 10**8, in_degree: bool = False, seed: int = 1) -> DataFrame:
-    """Edges of n vertices whose degrees follow d**-alpha, cut at ``truncate``, drawn by inverting the distribution at a
-    hash of the vertex; the t-th neighbour comes by a multiplicative step."""
-    top = min(n - 1, truncate, 100_000)
-    weights = [d**-alpha for d in range(1, top + 1)]
-    total, cdf, acc = sum(weights), [], 0.0
-    for w in weights:
-        acc += w / total
-        cdf.append(acc)
-    steps = [c for c in cdf if c < 1 - 1e-7][:1000]
-    u = (F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))).cast("double")
-    degree = F.size(F.filter(F.array(*[F.lit(c) for c in steps]), lambda c: c <= u)) + 1
-    rows = spark.range(n).select("id", F.explode(F.sequence(F.lit(1), degree)).alias("t"))
+    """Edges of n vertices whose degrees follow d**-alpha up to ``truncate`` (and n - 1), drawn by inverting the
+    distribution at a hash of the vertex; the t-th neighbour comes by a multiplicative step. alpha is above 1."""
+    if alpha <= 1:
+        raise ValueError("the exponent must be above 1")
+    if n < 2:
+        return spark.createDataFrame([], "src bigint, dst bigint")
+    top, e = max(1, min(n - 1, truncate)), 1.0 - alpha
+    few = min(top, EXACT_DEGREES)
+    weights = [d**-alpha for d in range(1, few + 1)]
+    # the tail's weight is the integral of x**-alpha from few + 1/2 to top + 1/2
+    low, high = (few + 0.5) ** e, (top + 0.5) ** e
+    tail = (low - high) / (alpha - 1) if top > few else 0.0
+    total = sum(weights) + tail
+    bounds = list(accumulate(w / total for w in weights))
+    u = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 53)).cast("double") / F.lit(float(1 << 53))
+    exact = sum((F.when(u >= c, 1).otherwise(0) for c in bounds[: few - 1]), F.lit(1)).cast("bigint")
+    degree = exact
+    if tail:
+        share = (u - F.lit(bounds[-1])) / F.lit(1.0 - bounds[-1])
+        far = F.pow(F.lit(low) - share * F.lit(low - high), F.lit(1.0 / e))
+        degree = F.when(u < bounds[-1], exact).otherwise(F.least(F.floor(far + 0.5), F.lit(top)))
+    rows = spark.range(n).select("id", F.explode(F.sequence(F.lit(1).cast("bigint"), degree)).alias("t"))
     other = F.pmod((F.col("id") + F.col("t") * F.lit(2654435761)), F.lit(n))
     a, b = ("dst", "src") if in_degree else ("src", "dst")
     return rows.select(F.col("id").alias(a), other.alias(b)).where(F.col(a) != F.col(b))
