@@ -11,15 +11,16 @@ driver loop runs it in one of three plans:
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..sources.graph import Direction, Graph
-from ..tables import cut, release
+from ..tables import bucketed, cut, release
 
 COMBINE: dict[str, Callable[[Column], Column]] = {
     "min": F.min, "max": F.max, "sum": F.sum, "product": F.product, "bit_or": F.bit_or, "or": F.bool_or, "and": F.bool_and,
@@ -51,8 +52,46 @@ class VertexProgram:
         return self.dense or self.combine in IDEMPOTENT
 
 
+@dataclass
+class Watch:
+    """What a run reports and what ends it early.
+
+    timeout: seconds after which no superstep begins. stop_when: an aggregate over the state (qid, id, value, changed)
+    that ends the run. aggregates: named aggregates of each instance's state, taken after every superstep. snapshots:
+    the state goes to snapshot_path/superstep=n every ``snapshot_every`` supersteps (0: before the first one only)."""
+
+    timeout: float | None = None
+    stop_when: Column | None = None
+    aggregates: dict[str, Column] = field(default_factory=dict)
+    snapshot_every: int | None = None
+    snapshot_path: str | None = None
+    began: float = field(default_factory=time.monotonic)
+
+    def ends(self, state: DataFrame) -> str | None:
+        """The status that ends the run before its next superstep."""
+        if self.timeout is not None and time.monotonic() - self.began > self.timeout:
+            return "timeout"
+        if self.stop_when is not None and state.agg(self.stop_when.alias("stop")).first()["stop"]:
+            return "forced_abort"
+        return None
+
+    def see(self, state: DataFrame, step: int, row: dict) -> dict:
+        """Takes the aggregates and snapshots that are due; row with the time and the aggregates, a dict an instance."""
+        every = self.snapshot_every
+        if every is not None and (step == 0 or (every > 0 and step % every == 0)):
+            state.write.mode("overwrite").parquet(f"{self.snapshot_path}/superstep={step}")
+        out = {"superstep": step, **row, "seconds": time.monotonic() - self.began}
+        if self.aggregates:  # a row an instance
+            got = state.groupBy("qid").agg(*[c.alias(k) for k, c in self.aggregates.items()]).collect()
+            out["aggregates"] = {r["qid"]: {k: r[k] for k in self.aggregates} for r in got}
+        return out
+
+
 @dataclass
 class Result:
+    """status: task_depletion, max_iterations, timeout or forced_abort. stats: superstep, active vertices, vertices that
+    got messages in it, seconds since the beginning, and aggregates."""
+
     df: DataFrame
     status: str
     supersteps: int
@@ -65,45 +104,68 @@ def _edges(program: VertexProgram, graph: Graph) -> DataFrame:
     return graph.along(program.direction)
 
 
-def run(program: VertexProgram, graph: Graph, queries: DataFrame, mode: str = "long", max_iterations: int = 100, present_only: bool = True, stop_when: Column | None = None) -> Result:
-    """queries: (qid, source). present_only: sources that aren't vertices give no row. stop_when: an aggregate over the
-    state (qid, id, value, changed) that ends the run."""
+def _worst(parts: list[Result]) -> str:
+    return next((s for s in ("forced_abort", "timeout", "max_iterations") if any(p.status == s for p in parts)), "task_depletion")
+
+
+def run(
+    program: VertexProgram, graph: Graph, queries: DataFrame, mode: str = "long", max_iterations: int = 100,
+    present_only: bool = True, stop_when: Column | None = None, watch: Watch | None = None, start: DataFrame | None = None,
+) -> Result:
+    """queries: (qid, source). present_only: sources that aren't vertices give no row. stop_when: as in Watch. start: a
+    state (qid, id, value) to go on from with all its vertices awake, such as an earlier phase's result or a snapshot.
+
+    The edges are laid out by source once, so that a superstep shuffles only what is sent and the state."""
+    watch = watch or Watch(stop_when=stop_when)
+    if mode == "lanes" and (watch.stop_when is not None or watch.aggregates or start is not None):
+        raise ValueError("lanes have no rows of instances to aggregate or start from")
     if present_only:
         queries = queries.join(graph.vertices.select(F.col("id").alias("source")), "source", "left_semi").select("qid", "source")
-    if mode == "single":
-        parts = [_long(program, graph, queries.where(F.col("qid") == r[0]), max_iterations, stop_when) for r in queries.select("qid").distinct().orderBy("qid").toLocalIterator()]
+    step = _dense if program.dense else _long
+    with bucketed(_edges(program, graph), "src") as edges:
+        if mode == "long":
+            return step(program, edges, queries, max_iterations, watch, start)
+        if mode == "single":
+            ids = queries.select("qid").distinct().orderBy("qid").toLocalIterator()
+            mine = lambda df, q: df if df is None else df.where(F.col("qid") == q)
+            parts = [step(program, edges, mine(queries, r[0]), max_iterations, watch, mine(start, r[0])) for r in ids]
+        else:
+            cells = [(r[0], r[1]) for r in queries.orderBy("qid").collect()]  # the instances of one run: a column each
+            if mode != "lanes" or not program.track_free:
+                raise ValueError(f"{program.name} can't run in the plan {mode}")
+            parts = [_lanes(program, graph, edges, cells[i : i + LANES], max_iterations, watch) for i in range(0, len(cells), LANES)]
         if not parts:
-            return Result(_seeds(program, graph, queries), "task_depletion", 0)
-        status = "max_iterations" if any(p.status == "max_iterations" for p in parts) else "task_depletion"
-        return Result(reduce(DataFrame.union, [p.df for p in parts]), status, sum(p.supersteps for p in parts), [s for p in parts for s in p.stats])
-    if mode == "lanes":
-        if not program.track_free:
-            raise ValueError(f"{program.name} needs to know which lanes are active")
-        ids = [(r[0], r[1]) for r in queries.orderBy("qid").collect()]  # the instances of one run: a column each
-        parts = [_lanes(program, graph, ids[i : i + LANES], max_iterations) for i in range(0, len(ids), LANES)]
-        status = "max_iterations" if any(p.status == "max_iterations" for p in parts) else "task_depletion"
-        return Result(reduce(DataFrame.union, [p.df for p in parts]), status, max(p.supersteps for p in parts))
-    return (_dense if program.dense else _long)(program, graph, queries, max_iterations, *([] if program.dense else [stop_when]))
-
-
-def _seeds(program: VertexProgram, graph: Graph, queries: DataFrame) -> DataFrame:
+            return Result(_seeds(program, queries), "task_depletion", 0)
+        n = [p.supersteps for p in parts]
+        return Result(reduce(DataFrame.union, [p.df for p in parts]), _worst(parts), sum(n) if mode == "single" else max(n), [s for p in parts for s in p.stats])
+
+
+def _seeds(program: VertexProgram, queries: DataFrame) -> DataFrame:
     return queries.select("qid", F.col("source").alias("id"), program.seed.cast(program.type).alias("value"))
 
 
-def _long(program: VertexProgram, graph: Graph, queries: DataFrame, max_iterations: int, stop_when: Column | None) -> Result:
-    if program.dense:
-        return _dense(program, graph, queries, max_iterations)
-    edges = _edges(program, graph)
-    state = cut(_seeds(program, graph, queries).withColumn("changed", F.lit(True)))
+def _first(program: VertexProgram, queries: DataFrame, start: DataFrame | None) -> DataFrame:
+    return _seeds(program, queries) if start is None else start.select("qid", "id", F.col("value").cast(program.type).alias("value"))
+
+
+def _observed(df: DataFrame) -> tuple[DataFrame, dict]:
+    """df without ``got``, written, and its changed rows and those that got messages, counted as it was written."""
+    counts = Observation()
+    out = cut(df.observe(counts, F.count_if("changed").alias("active"), F.count_if("got").alias("messages")).drop("got"))
+    return out, counts.get
+
+
+def _long(program: VertexProgram, edges: DataFrame, queries: DataFrame, max_iterations: int, watch: Watch, start: DataFrame | None) -> Result:
+    state = cut(_first(program, queries, start).withColumn("changed", F.lit(True)))
+    row = {"active": state.count(), "messages": 0}
     stats, status = [], "max_iterations"
     for step in range(max_iterations + 1):
-        active = state.where("changed").count()
-        stats.append({"superstep": step, "active": active})
-        if not active:
+        stats.append(watch.see(state, step, row))
+        if not row["active"]:
             status = "task_depletion"
             break
-        if stop_when is not None and state.agg(stop_when.alias("stop")).first()["stop"]:
-            status = "forced_abort"
+        if early := watch.ends(state):
+            status = early
             break
         if step == max_iterations:
             break
@@ -112,17 +174,20 @@ def _long(program: VertexProgram, graph: Graph, queries: DataFrame, max_iteratio
         got = sent.groupBy("qid", "id").agg(COMBINE[program.combine]("m").alias("acc"))
         both = state.drop("changed").join(got, ["qid", "id"], "full")
         new = F.when(F.col("acc").isNull(), F.col("value")).otherwise(program.apply(F.col("value"), F.col("acc"), F.lit(False))).cast(program.type)
-        new = both.select("qid", "id", F.col("value").alias("old"), new.alias("value"))
-        before, state = state, cut(new.select("qid", "id", "value", (~F.col("value").eqNullSafe(F.col("old"))).alias("changed")))
+        new = both.select("qid", "id", F.col("value").alias("old"), new.alias("value"), F.col("acc").isNotNull().alias("got"))
+        before = state
+        state, row = _observed(new.select("qid", "id", "value", (~F.col("value").eqNullSafe(F.col("old"))).alias("changed"), "got"))
         release(before)
     return Result(state.select("qid", "id", "value"), status, step, stats)
 
 
-def _dense(program: VertexProgram, graph: Graph, queries: DataFrame, iterations: int) -> Result:
-    edges = _edges(program, graph)
+def _dense(program: VertexProgram, edges: DataFrame, queries: DataFrame, iterations: int, watch: Watch, start: DataFrame | None) -> Result:
     seeds = queries.select("qid", F.col("source").alias("id"))
-    state = cut(_seeds(program, graph, queries))
-    for _ in range(iterations):
+    state = cut(_first(program, queries, start))
+    stats = [watch.see(state, 0, {})]
+    for step in range(iterations):
+        if early := watch.ends(state):
+            return Result(state, early, step, stats)
         sent = state.join(edges, F.col("id") == F.col("src"))
         sent = sent.select("qid", F.col("dst").alias("id"), program.message(F.col("value"), F.col).alias("m"))
         got = sent.groupBy("qid", "id").agg(COMBINE[program.combine]("m").alias("acc"))
@@ -133,21 +198,26 @@ def _dense(program: VertexProgram, graph: Graph, queries: DataFrame, iterations:
             rows = rows.where(F.col("value") != program.default)
         before, state = state, cut(rows)
         release(before)
-    return Result(state, "max_iterations", iterations)
+        stats.append(watch.see(state, step + 1, {}))
+    return Result(state, "max_iterations", iterations, stats)
 
 
-def _lanes(program: VertexProgram, graph: Graph, ids: list[tuple[int, int]], iterations: int) -> Result:
+def _lanes(program: VertexProgram, graph: Graph, edges: DataFrame, ids: list[tuple[int, int]], iterations: int, watch: Watch) -> Result:
     """Lane columns v0...; NULL is unreached. A vertex is active if any lane changed."""
-    edges, n = _edges(program, graph), len(ids)
+    n, stats = len(ids), []
     lanes = [f"v{i}" for i in range(n)]
     seed = lambda i: F.col("id") == F.lit(ids[i][1])
     state = graph.vertices.select("id", *[F.when(seed(i), program.seed).cast(program.type).alias(v) for i, v in enumerate(lanes)])
     state = cut(state.withColumn("changed", reduce(Column.__or__, [F.col(v).isNotNull() for v in lanes])))
     status, step = "max_iterations", 0
     for step in range(iterations + 1):
+        stats.append(watch.see(state, step, {}))
         if not program.dense and state.where("changed").isEmpty():
             status = "task_depletion"
             break
+        if early := watch.ends(state):
+            status = early
+            break
         if step == iterations:
             break
         sent = (state if program.dense else state.where("changed")).join(edges, F.col("id") == F.col("src"))
@@ -168,4 +238,4 @@ def _lanes(program: VertexProgram, graph: Graph, ids: list[tuple[int, int]], ite
     out = out.where(F.col("value").isNotNull())
     if program.default is not None:
         out = out.where(F.col("value") != program.default)
-    return Result(out, status, step)
+    return Result(out, status, step, stats)

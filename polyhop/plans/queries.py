@@ -295,4 +295,6 @@ def served(spark: SparkSession, sf_dir: str) -> DataFrame:
         server.submit(source)
         if source % 2 == 0:
             server.tick()
-    return _value(server.drain(), "hops")
+    answers = server.drain()
+    server.close()
+    return _value(answers, "hops")

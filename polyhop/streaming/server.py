@@ -4,26 +4,29 @@ from __future__ import annotations
 
 import time
 from collections import deque
+from contextlib import ExitStack
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.bsp import COMBINE, VertexProgram
 from ..sources.graph import Graph
-from ..tables import cut, release
+from ..tables import bucketed, cut, release
 
 EXIT = "server_exit"
 
 
 class QueryServer:
     """submit() queues sources, tick() admits up to ``capacity`` in flight and runs one superstep for them, drain() ticks
-    until none is left. A query ends when its frontier is empty; its rows then move to the answers."""
+    until none is left. A query ends when its frontier is empty; its rows then move to the answers. The edges lie in a
+    table that close() drops; answers and stats stay."""
 
     def __init__(self, graph: Graph, program: VertexProgram, capacity: int = 8):
         if program.dense:
             raise ValueError("only frontier programs end by themselves")
         self.graph, self.program, self.capacity = graph, program, capacity
-        self.edges = graph.along(program.direction)
+        self._table = ExitStack()
+        self.edges = self._table.enter_context(bucketed(graph.along(program.direction), "src"))
         self.waiting: deque[tuple[int, int]] = deque()
         self.live: dict[int, dict] = {}
         self.done: list[dict] = []
@@ -85,6 +88,10 @@ class QueryServer:
                 info = self.live.pop(q)
                 self.done.append(info | {"seconds": time.time() - info.pop("began")})
 
+    def close(self) -> None:
+        self.closed = True
+        self._table.close()
+
     def drain(self) -> DataFrame:
         while self.waiting or self.live:
             self.tick()

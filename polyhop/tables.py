@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,3 +38,20 @@ def release(df: DataFrame) -> None:
     sc = df.sparkSession.sparkContext
     at = sc._jvm.org.apache.hadoop.fs.Path(df._polyhop_table)
     at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def bucketed(df: DataFrame, key: str) -> Iterator[DataFrame]:
+    """df as a table in sorted buckets of a key, as many as a shuffle has partitions, for the length of a ``with`` block:
+    the joins on the key inside it read the table where it lies, and only their other side is shuffled."""
+    spark = df.sparkSession
+    name, n = f"polyhop_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{shared_dir(spark)}/polyhop/{name}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(name)
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        files.delete(at, True)

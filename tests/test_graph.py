@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from polyhop.functions import lanes as L
 from polyhop.operators import dataflow as D
 from polyhop.plans import algorithms as A
-from polyhop.plans.bsp import run
+from polyhop.plans.bsp import Watch, run
 from polyhop.sources import readers, writers
 from polyhop.sources.graph import Direction, Graph, queries_of
 from polyhop.streaming.server import EXIT, QueryServer, serve
@@ -150,3 +150,43 @@ def test_server(spark, f1, tmp_path):
     more.submit(EXIT)
     with pytest.raises(RuntimeError):
         more.submit(1)
+    server.close()
+    more.close()
+
+
+def test_watch(spark, f2, tmp_path):
+    q = queries_of(spark, [1, 5])
+    watch = Watch(aggregates={"far": F.max("value")}, snapshot_every=2, snapshot_path=f"file://{tmp_path}/snap")
+    got = run(A.sssp(), f2, q, watch=watch)
+    assert [(s["superstep"], s["active"], s["messages"]) for s in got.stats] == [(0, 2, 0), (1, 3, 3), (2, 4, 4), (3, 3, 3), (4, 1, 1), (5, 0, 0)]
+    assert got.stats[-1]["aggregates"] == {0: {"far": 3}, 1: {"far": 5}}
+    assert sorted(p.name for p in (tmp_path / "snap").iterdir()) == ["superstep=0", "superstep=2", "superstep=4"]
+    # a snapshot goes on to the same end, with every vertex awake
+    later = run(A.sssp(), f2, q, start=spark.read.parquet(f"file://{tmp_path}/snap/superstep=2"))
+    assert sorted(map(tuple, later.df.collect())) == sorted(map(tuple, got.df.collect()))
+    assert run(A.sssp(), f2, q, watch=Watch(timeout=-1)).status == "timeout"
+    assert run(A.sssp(), f2, q, "single", watch=Watch(timeout=-1)).status == "timeout"
+    assert run(A.sssp(), f2, q, stop_when=F.max("value") >= 1).status == "forced_abort"
+    with pytest.raises(ValueError):
+        run(A.sssp(), f2, q, "lanes", stop_when=F.max("value") >= 1)
+    assert spark.catalog.listTables() == []
+
+
+def test_edges_stay_in_place(spark, f2):
+    """A join on the source shuffles what is sent, not the edges."""
+    from polyhop.tables import bucketed
+
+    with bucketed(f2.edges, "src") as edges:
+        sent = spark.range(6).withColumnRenamed("id", "src").hint("merge").join(edges, "src")
+        assert sent._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+        assert sent.count() == 6
+
+
+def test_powerlaw(spark):
+    degrees = readers.powerlaw(spark, 20_000, 2.0).groupBy("src").count().select("count").toPandas()["count"]
+    assert len(degrees) == 20_000 and degrees.max() > 1000
+    # probabilities d**-2 over their sum, which is 1.6449 less the tail
+    assert [round((degrees == d).mean(), 2) for d in (1, 2, 3)] == pytest.approx([0.61, 0.15, 0.07], abs=0.015)
+    assert (degrees > 64).mean() == pytest.approx(1 / 64.5 / 1.645, rel=0.25)
+    assert readers.powerlaw(spark, 1).count() == 0
+    assert readers.powerlaw(spark, 1000, 2.0, truncate=3).groupBy("src").count().agg(F.max("count")).first()[0] == 3
