@@ -11,6 +11,8 @@ words. Repeated rows are documents of their own, in any order among themselves.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,8 +21,10 @@ from ._tables import SPACE, cut, documents, whole
 SEED = 11
 EPOCHS = 3
 WEIGHTS = (1.0, 2.0, 3.0)
-#: Slices of a source's queue and of the finish times.
+#: Slices of a source's queue, at least; there are more where a slice of the whole table would hold above SLICE_ROWS rows.
 SLICES = 512
+SLICE_ROWS = 1 << 16
+#: Bins of the finish times; the one in which the budget ends is divided again until it holds at most SLICE_ROWS runs.
 BINS = 4096
 
 
@@ -49,10 +53,10 @@ def _before(totals: DataFrame, by: list[str], order: str, value: str, to: str) -
     return totals.withColumn(to, F.coalesce(F.sum(value).over(w), F.lit(0)))
 
 
-def queue(sized: DataFrame, seed: int = SEED) -> DataFrame:
+def queue(sized: DataFrame, seed: int = SEED, slices: int = SLICES) -> DataFrame:
     """doc_id, source, size with ``upto``: the source's words up to and with this document in shuffled order."""
     h = F.xxhash64(F.lit(seed), "doc_id", "source", "size")
-    rows = sized.withColumn("key", h).withColumn("slice", F.pmod(F.shiftright("key", 32), F.lit(SLICES)).cast("int"))
+    rows = sized.withColumn("key", h).withColumn("slice", F.pmod(F.shiftright("key", 32), F.lit(slices)).cast("int"))
     totals = rows.groupBy("source", "slice").agg(F.sum("size").alias("part"))
     # one row for each source and slice, however many documents there are
     start = _before(totals, ["source"], "slice", "part", "start").select(F.col("source").alias("s_"), F.col("slice").alias("l_"), "start")
@@ -62,6 +66,31 @@ def queue(sized: DataFrame, seed: int = SEED) -> DataFrame:
     return rows.join(start, on, "left").select("doc_id", "source", "size", "key", (F.col("start") + F.col("within")).alias("upto"))
 
 
+def _edge(runs: DataFrame, budget: int, rows: int = SLICE_ROWS) -> tuple[float, dict | None] | None:
+    """Where the budget ends in the order of finish times: all runs that finish before the time go, and those up to the
+    row (finish, key, doc_id), if there is one. None if all fit. A run's finish is its source's alone, so that equal
+    times are as many as sources at most, and dividing the bin comes to an end."""
+    low, width, used, inside = 0.0, 2.0 / BINS, 0, F.lit(True)
+    while True:
+        bin_ = F.least(F.floor((F.col("finish") - F.lit(low)) / F.lit(width)), F.lit(BINS - 1)).alias("bin")
+        sums = [F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows"), F.min("finish").alias("low"), F.max("finish").alias("high")]
+        bins = runs.where(inside).groupBy(bin_).agg(*sums).collect()  # at most BINS rows
+        for edge in sorted(bins):
+            if used + edge["n"] > budget:
+                break
+            used += edge["n"]
+        else:
+            return None
+        low, high = edge["low"], edge["high"]
+        inside, width = F.col("finish").between(low, high), (high - low) / BINS
+        if edge["rows"] <= rows or width == 0.0:
+            break
+    w = Window.orderBy("finish", "key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    last = runs.where(inside).withColumn("sum", F.sum("size").over(w)).where(F.col("sum") <= budget - used)
+    last = last.agg(F.max(F.struct("finish", "key", "doc_id")).alias("x")).first()["x"]
+    return low, last.asDict() if last else None
+
+
 def mix(sized: DataFrame, weights=WEIGHTS, share: float = 1.0, seed: int = SEED) -> DataFrame:
     """sized: doc_id, source, size. Adds source_size, target and taken (words, repeats counted)."""
     spark = sized.sparkSession
@@ -70,38 +99,22 @@ def mix(sized: DataFrame, weights=WEIGHTS, share: float = 1.0, seed: int = SEED)
     goal = targets(totals, weights, share)
     budget = int(share * sum(n for _, n in totals))
     table = spark.createDataFrame([(s, n, float(goal[s])) for s, n in totals] or [(None, 0, 0.0)], "t_ string, source_size bigint, target double")
-    queued = queue(sized, seed).join(F.broadcast(table), F.col("source").eqNullSafe(F.col("t_")), "left").drop("t_")
+    slices = max(SLICES, math.ceil(sized.count() / SLICE_ROWS))
+    queued = queue(sized, seed, slices).join(F.broadcast(table), F.col("source").eqNullSafe(F.col("t_")), "left").drop("t_")
     queued = cut(queued, "queue")
     finish = lambda e: (F.lit(e) * F.col("source_size") + F.col("upto")) / F.col("target")
     runs = queued.where((F.col("size") > 0) & (F.col("target") > 0))
     runs = runs.select("key", "doc_id", "size", F.explode(F.array(*[finish(e) for e in range(EPOCHS)])).alias("finish"))
-    bin_ = F.least(F.floor(F.col("finish") * (BINS // 2)), F.lit(BINS - 1)).cast("int")
-    runs = runs.withColumn("bin", bin_)
-    bins = sorted((r[0], r[1]) for r in runs.groupBy("bin").agg(F.sum("size")).collect())  # at most BINS rows
-    used, edge = 0, None
-    for b, n in bins:
-        if used + n > budget:
-            edge = b
-            break
-        used += n
+    edge = _edge(runs, budget)
     taken = F.lit(0).cast("bigint")
-    if edge is None:
-        last = None
-    else:
-        # the one bin that the budget cuts: a BINS-th of the order, sorted by finish time
-        w = Window.orderBy("finish", "key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
-        last = runs.where(F.col("bin") == edge).withColumn("sum", F.sum("size").over(w)).where(F.col("sum") <= budget - used)
-        last = last.agg(F.max(F.struct("finish", "key", "doc_id")).alias("x")).first()["x"]
     for e in range(EPOCHS):
-        at = F.struct(finish(e).alias("finish"), F.col("key"), F.col("doc_id"))
-        if edge is None:
-            ok = F.lit(True)
-        else:
-            b = F.least(F.floor(finish(e) * (BINS // 2)), F.lit(BINS - 1)).cast("int")
-            ok = b < edge
+        ok = F.lit(True)
+        if edge is not None:
+            low, last = edge
+            ok = finish(e) < F.lit(low)
             if last is not None:
-                end = F.struct(F.lit(last["finish"]).alias("finish"), F.lit(last["key"]).cast("bigint").alias("key"), F.lit(last["doc_id"]).cast("bigint").alias("doc_id"))
-                ok = ok | ((b == edge) & (at <= end))
+                at = F.struct(finish(e).alias("finish"), F.col("key"), F.col("doc_id"))
+                ok = ok | (at <= F.struct(F.lit(last["finish"]).alias("finish"), F.lit(last["key"]).cast("bigint").alias("key"), F.lit(last["doc_id"]).cast("bigint").alias("doc_id")))
         taken = taken + F.when((F.col("size") > 0) & (F.col("target") > 0) & ok, F.col("size")).otherwise(0)
     return queued.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
 

@@ -319,6 +319,33 @@ def test_op10(docs, none):
     assert mixing.mixture(docs).columns == docs.columns
 
 
+def test_mixture_is_the_fair_queue(spark):
+    """Against a queue kept in plain Python, however far the bin in which the budget ends is divided."""
+    rows = [(i, "abc"[i % 7 // 3], 1 + i * i % 9) for i in range(400)] + [(400, None, 5), (401, "b", 0)]
+    sized = spark.createDataFrame(rows, "doc_id bigint, source string, size bigint")
+    for bound, share in ((1 << 16, 1.0), (3, 1.0), (1, 0.4)):
+        queued = mixing.queue(sized, slices=7).collect()
+        total, goal = {}, {}
+        for r in queued:
+            total[r.source] = total.get(r.source, 0) + r.size
+        goal = mixing.targets(list(total.items()), share=share)
+        line = [((e * total[r.source] + r.upto) / goal[r.source], r.key, r.doc_id, r.size) for r in queued if r.size for e in range(mixing.EPOCHS)]
+        left, want = int(share * sum(total.values())), {}
+        for _, _, doc_id, size in sorted(line):
+            if size > left:
+                break
+            left -= size
+            want[doc_id] = want.get(doc_id, 0) + size
+        runs = spark.createDataFrame([(k, d, n, f) for f, k, d, n in line], "key bigint, doc_id bigint, size bigint, finish double")
+        low, last = mixing._edge(runs, int(share * sum(total.values())), bound)
+        got = {}
+        for f, k, d, n in line:
+            if f < low or (last and (f, k, d) <= (last["finish"], last["key"], last["doc_id"])):
+                got[d] = got.get(d, 0) + n
+        assert got == want
+    assert mixing._edge(runs, 10**9) is None
+
+
 def test_tokens_match_regex():
     texts = ["a b", "", None, "é x\x0by", "  lead", "x" * 50]
     for b in T.blocks(pa.array(texts)):
