@@ -109,6 +109,8 @@ SINGLE = (
 #: Kinds of rule made for each family: (expression around the name, identifier or link, priority).
 NAMED = "(under|by|with|of) (the )?(terms of (the )?)?({name}) licen[sc]e"
 LEVELS = 5
+#: Matches of a rule whose places are summed in one fold.
+BLOCK = 64
 
 
 def rules() -> list[tuple[int, str, str, str, int]]:
@@ -140,16 +142,28 @@ def _matches(line: Column, rule: Column) -> Column:
     """Structs of start and end (code points) of each match of the rule in line."""
     found = F.regexp_extract_all(line, rule["pattern"], F.lit(0))
     parts = F.split(line, rule["pattern"], F.lit(-1))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,id:int,level:int,label:string>>").alias("out"))
+    zipped = F.arrays_zip(F.slice(parts, F.lit(1), F.size(found)).alias("gap"), found.alias("found"))
+    steps = F.transform(zipped, lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.length(x["found"]).alias("size")))
+    row = "struct<start:int,end:int,id:int,level:int,label:string>"
+    zero = lambda kind: F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{kind}>").alias("out"))
 
-    def step(acc: Column, both: Column) -> Column:
-        begin = acc["at"] + F.length(both["parts"])
-        end = begin + F.length(both["found"])
-        row = F.struct(begin.alias("start"), end.alias("end"), rule["id"].alias("id"), rule["level"].alias("level"), rule["label"].alias("label"))
-        return F.struct(end.alias("at"), F.array_append(acc["out"], row).alias("out"))
-
-    pairs = F.arrays_zip(F.slice(parts, F.lit(1), F.size(found)).alias("parts"), found.alias("found"))
-    return F.aggregate(pairs, zero, step, lambda acc: acc["out"])
+    def step(acc: Column, x: Column) -> Column:
+        begin = acc["at"] + x["gap"]
+        end = begin + x["size"]
+        match = F.struct(begin.alias("start"), end.alias("end"), rule["id"].alias("id"), rule["level"].alias("level"), rule["label"].alias("label"))
+        return F.struct(end.alias("at"), F.array_append(acc["out"], match).alias("out"))
+
+    def shift(acc: Column, block: Column) -> Column:
+        moved = F.transform(block["out"], lambda m: F.struct((m["start"] + acc["at"]).alias("start"), (m["end"] + acc["at"]).alias("end"), m["id"], m["level"], m["label"]))
+        return F.struct((acc["at"] + block["at"]).alias("at"), F.array_append(acc["out"], moved).alias("out"))
+
+    def places(steps: Column) -> Column:
+        """Appending copies, so places are summed in blocks and the blocks then moved by what comes before them."""
+        last = F.floor(F.greatest(F.size(steps) - 1, F.lit(0)) / BLOCK).cast("int")
+        blocks = F.transform(F.sequence(F.lit(0), last), lambda k: F.aggregate(F.slice(steps, k * BLOCK + 1, F.lit(BLOCK)), zero(row), step))
+        return F.aggregate(blocks, zero(f"array<{row}>"), shift, lambda acc: F.flatten(acc["out"]))
+
+    return F.element_at(F.transform(F.array(steps), places), 1)  # steps is bound once, not found again for each block
 
 
 def scan(df: DataFrame, text: str = "text", table=None) -> DataFrame:

@@ -154,6 +154,15 @@ def test_contained_finds_go(spark):
     assert len(licenses.rules()) > 200
 
 
+def test_places_of_many_matches(spark):
+    """Around the number of matches that one fold sums, and far above it."""
+    for n in (1, licenses.BLOCK - 1, licenses.BLOCK, licenses.BLOCK + 1, 30 * licenses.BLOCK + 7):
+        text = " ".join(f"{'x' * (i % 3)} mit license" for i in range(n))
+        line = " ".join(text.split())
+        got = licenses.scan(spark.createDataFrame([(text,)], "text string")).first().finds
+        assert [(f.start, f.end) for f in got if f.id == 0] == [m.span() for m in re.finditer("mit license", line)]
+
+
 def test_op4(docs, none):
     got = collections.defaultdict(list)
     for r in audio.op4(docs).collect():
