@@ -127,9 +127,11 @@ def sized(docs: DataFrame) -> DataFrame:
 
 
 def mixture(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, seed: int = SEED) -> DataFrame:
-    """The documents that the mix takes, a document taken r times as r rows, in the columns of docs."""
+    """The documents that the mix takes, a document taken r times as r rows, in the columns of docs. Rows of one
+    doc_id all go as often as the one that goes most often."""
     got = mix(cut(sized(docs), "sizes"), weights, share, seed)
-    times = got.where(F.col("taken") > 0).select(F.col("doc_id").alias("__id"), (F.col("taken") / F.col("size")).cast("int").alias("__times")).dropDuplicates(["__id"])
+    times = got.where(F.col("taken") > 0).select(F.col("doc_id").alias("__id"), (F.col("taken") / F.col("size")).cast("int").alias("n"))
+    times = times.groupBy("__id").agg(F.max("n").alias("__times"))
     rows = docs.join(times.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")))  # grows with docs: never a broadcast
     return rows.withColumn("__r", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
 
