@@ -2,8 +2,8 @@
 
 Texts are lower-cased (A-Z only) and split into words; rules match the words joined by single spaces. Rules are made
 from hand-written license families: for each family a name, grant, identifier and link signature, and in all over two
-hundred regular expressions. Each rule has a keyword, a word or beginning of a word that each of its matches contains; only rules
-whose keyword a text has are run on it. A match is kept unless another match contains it that is longer or of higher
+hundred regular expressions. Each rule has keywords, whole words of which each of its matches contains one at least; only
+rules of which a text has a keyword are run on it. A match is kept unless another match contains it that is longer or of higher
 priority, and at least of its priority, so that ``gnu lesser general public license`` isn't also a ``gpl`` find of the
 method. The three base phrases always keep their labels.
 
@@ -23,7 +23,7 @@ NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 #: Fixed by the contract: phrase and label.
 BASE = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
-#: label: (keyword, expression of the name in normalised words, expression of the short identifier, link words)
+#: label: (keywords with spaces between, expression of the name in normalised words, expression of the short identifier, link words)
 FAMILIES = {
     "mit": ("mit", "mit", "mit", "opensource org licenses mit"),
     "mit-0": ("mit", "mit no attribution", "mit 0", "opensource org licenses mit 0"),
@@ -36,7 +36,7 @@ FAMILIES = {
     "lgpl-library": ("library", "(gnu )?library general public license", "lgpl 2 0", "gnu org licenses old licenses lgpl 2 0"),
     "agpl": ("affero", "(gnu )?affero general public license", "agpl( 3 0)?( only| or later)?", "gnu org licenses agpl"),
     "gfdl": ("documentation", "(gnu )?free documentation license", "gfdl( 1 [123])?", "gnu org licenses fdl"),
-    "bsd-2": ("bsd", "(simplified bsd|bsd 2 clause|2 clause bsd|freebsd)( license)?", "bsd 2 clause", "opensource org licenses bsd 2 clause"),
+    "bsd-2": ("bsd freebsd", "(simplified bsd|bsd 2 clause|2 clause bsd|freebsd)( license)?", "bsd 2 clause", "opensource org licenses bsd 2 clause"),
     "bsd-3": ("bsd", "(new bsd|modified bsd|bsd 3 clause|3 clause bsd|revised bsd)( license)?", "bsd 3 clause", "opensource org licenses bsd 3 clause"),
     "bsd-4": ("bsd", "(original bsd|bsd 4 clause|4 clause bsd)( license)?", "bsd 4 clause", "spdx org licenses bsd 4 clause"),
     "0bsd": ("bsd", "(bsd zero clause|zero clause bsd)( license)?", "0bsd", "opensource org licenses 0bsd"),
@@ -55,7 +55,7 @@ FAMILIES = {
     "cc-by-nd": ("creative", "creative commons attribution no ?deriv(atives|s)?", "cc by nd [1234] 0", "creativecommons org licenses by nd"),
     "cc-by-nc-sa": ("creative", "creative commons attribution non ?commercial share ?alike", "cc by nc sa [1234] 0", "creativecommons org licenses by nc sa"),
     "unlicense": ("unlicense", "the unlicense", "unlicense", "unlicense org"),
-    "wtfpl": ("wtfpl", "do what the fuck you want to public license|wtfpl", "wtfpl", "wtfpl net"),
+    "wtfpl": ("wtfpl fuck", "do what the fuck you want to public license|wtfpl", "wtfpl", "wtfpl net"),
     "zlib": ("zlib", "zlib( libpng)?", "zlib", "opensource org licenses zlib"),
     "libpng": ("libpng", "libpng", "libpng( 2 0)?", "libpng org pub png src libpng license"),
     "boost": ("boost", "boost software license( version)?( 1 0)?", "bsl 1 0", "boost org license 1 0"),
@@ -89,10 +89,10 @@ FAMILIES = {
     "blueoak": ("oak", "blue oak model license( version)?( 1 0 0)?", "blueoak 1 0 0", "blueoakcouncil org license 1 0 0"),
     "mulan": ("mulan", "mulan( permissive software)? license", "mulanpsl 2 0", "license coscl org cn mulanpsl2"),
     "llama": ("llama", "llama [23]( [0-9])? community license", "llama [23]", "llama meta com license"),
-    "rail": ("rail", "(open )?rail( m)? license|responsible ai license", "openrail", "licenses ai blog openrail"),
+    "rail": ("rail responsible", "(open )?rail( m)? license|responsible ai license", "openrail", "licenses ai blog openrail"),
 }
 
-#: Rules of no family: label, keyword, expression, priority.
+#: Rules of no family: label, keywords, expression, priority.
 SINGLE = (
     ("public-domain", "domain", "(released|placed|dedicated|is) (in|into|to) the public domain", 3),
     ("proprietary", "rights", "all rights reserved", 2),
@@ -103,7 +103,7 @@ SINGLE = (
     ("warranty-disclaimer", "provided", "(software )?is provided as is", 1),
     ("redistribution", "redistribution", "redistribution and use in source and binary forms", 3),
     ("free-software", "redistribute", "you can redistribute it and or modify it", 3),
-    ("non-commercial", "commercial", "(for )?non ?commercial use only", 2),
+    ("non-commercial", "commercial noncommercial", "(for )?non ?commercial use only", 2),
     ("confidential", "confidential", "confidential and proprietary", 2),
 )
 #: Kinds of rule made for each family: (expression around the name, identifier or link, priority).
@@ -113,24 +113,24 @@ LEVELS = 5
 BLOCK = 64
 
 
-def rules() -> list[tuple[int, str, str, str, int]]:
-    """(id, label, keyword, expression, priority): base phrases first, then the families', then single ones."""
+def rules() -> list[tuple[int, str, list[str], str, int]]:
+    """(id, label, keywords, expression, priority): base phrases first, then the families', then single ones."""
     out = [(label, phrase.split()[0], phrase, 1) for phrase, label in BASE]
-    for label, (keyword, name, short, link) in FAMILIES.items():
+    for label, (keywords, name, short, link) in FAMILIES.items():
         licensed = name if "licen" in name else f"({name}) licen[sc]e"
         out += [
-            (label, keyword, licensed, 2),
+            (label, keywords, licensed, 2),
             (label, "licensed", f"licensed under (the )?({licensed}|{name})", 3),
             (label, "spdx", f"spdx license identifier ({short})", 4),
             (label, link.split()[0], f"{link}", 3),
         ]
     out += list(SINGLE)
-    return [(i, label, keyword, f"(?<![^ ])(?:{expression})(?![^ ])", level) for i, (label, keyword, expression, level) in enumerate(out)]
+    return [(i, label, keywords.split(), f"(?<![^ ])(?:{expression})(?![^ ])", level) for i, (label, keywords, expression, level) in enumerate(out)]
 
 
 def _rule_array(table) -> Column:
-    row = "named_struct('id', {}, 'label', '{}', 'keyword', '{}', 'pattern', '{}', 'level', {})"
-    return F.expr("array(" + ",".join(row.format(i, a, k, p.replace("\\", "\\\\"), v) for i, a, k, p, v in table) + ")")
+    row = "named_struct('id', {}, 'label', '{}', 'keywords', array({}), 'pattern', '{}', 'level', {})"
+    return F.expr("array(" + ",".join(row.format(i, a, ", ".join(f"'{k}'" for k in ks), p.replace("\\", "\\\\"), v) for i, a, ks, p, v in table) + ")")
 
 
 def normalised(df: DataFrame, text: str = "text", to: str = "words") -> DataFrame:
@@ -168,13 +168,13 @@ def _matches(line: Column, rule: Column) -> Column:
 
 def scan(df: DataFrame, text: str = "text", table=None) -> DataFrame:
     """The operator: df with ``words`` and ``finds``, an array of (start, end in code points of the joined words, rule
-    id, level, label) sorted by start, longest and highest first. Rules run only where their keyword is a word."""
+    id, level, label) sorted by start, longest and highest first. Rules run only where one of their keywords is a word."""
     table = table or rules()
-    keywords = sorted({k for _, _, k, _, _ in table})
+    keywords = sorted({k for _, _, ks, _, _ in table for k in ks})
     df = normalised(df, text)
     df = df.withColumn("hits", F.array_intersect(F.col("words"), F.array(*[F.lit(k) for k in keywords])))
     df = df.withColumn("line", F.when(F.size("hits") > 0, F.array_join("words", " ")))
-    due = F.filter(_rule_array(table), lambda r: F.array_contains(F.col("hits"), r["keyword"]))
+    due = F.filter(_rule_array(table), lambda r: F.arrays_overlap(F.col("hits"), r["keywords"]))
     finds = F.flatten(F.transform(due, lambda r: _matches(F.col("line"), r)))
     none = F.array().cast("array<struct<start:int,end:int,id:int,level:int,label:string>>")
     ordered = F.transform(

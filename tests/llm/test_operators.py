@@ -154,6 +154,36 @@ def test_contained_finds_go(spark):
     assert len(licenses.rules()) > 200
 
 
+def _expansions(parsed):
+    """Strings that a parsed expression of literals, classes, groups, alternatives and bounded repeats matches."""
+    parts = []
+    for op, arg in parsed:
+        if str(op) == "LITERAL":
+            parts.append([chr(arg)])
+        elif str(op) == "IN":
+            parts.append([chr(a if str(o) == "LITERAL" else a[0]) for o, a in arg])
+        elif str(op) == "SUBPATTERN":
+            parts.append(_expansions(arg[3]))
+        elif str(op) == "BRANCH":
+            parts.append([s for way in arg[1] for s in _expansions(way)])
+        elif str(op) == "MAX_REPEAT":
+            parts.append([s * k for k in range(arg[0], arg[1] + 1) for s in _expansions(arg[2])])
+        else:
+            assert str(op) == "ASSERT_NOT"
+    return ["".join(p) for p in itertools.product(*parts)]
+
+
+def test_each_alternative_passes_its_prefilter(spark):
+    """Every rule finds each of its alternatives when nothing else is in the text."""
+    want = [(i, s) for i, _, _, pattern, _ in licenses.rules() for s in _expansions(re._parser.parse(pattern))]
+    assert len(want) > 2000
+    got = licenses.scan(spark.createDataFrame(want, "rule int, text string")).selectExpr("rule", "text", "exists(finds, f -> f.id = rule) found")
+    assert [(r.rule, r.text) for r in got.collect() if not r.found] == []
+    for text, label in (("FreeBSD", "bsd-2"), ("Do What The Fuck You Want To Public License", "wtfpl"), ("responsible AI license", "rail"), ("noncommercial use only", "non-commercial")):
+        r = licenses.op3(spark.createDataFrame([(1, text)], "doc_id bigint, text string")).first()
+        assert r.labels == label and r.score > 0
+
+
 def test_places_of_many_matches(spark):
     """Around the number of matches that one fold sums, and far above it."""
     for n in (1, licenses.BLOCK - 1, licenses.BLOCK, licenses.BLOCK + 1, 30 * licenses.BLOCK + 7):
