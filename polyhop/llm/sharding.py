@@ -1,12 +1,15 @@
 """Sharding by a two-pass external shuffle, in DataFrame functions only.
 
 Pass one scatters the rows by a seeded hash of their key and content into buckets of a size that one task's memory
-holds, and within them into cells. Pass two runs a Fisher-Yates shuffle over the rows of each cell. Buckets, then
+holds, and within them into cells; their number grows with the rows and with the bytes, whichever asks for more. Pass two runs a Fisher-Yates shuffle over the rows of each cell. Buckets, then
 cells, then shuffled places give every row its rank in one uniformly random order; row r goes to shard r mod n, slot
 r div n, so that the shards' row counts differ by one at most (law ``rows``).
 
 The same seed and rows give the same order whatever the partitions. Null keys and null texts are rows like others. Rows
-that are equal in key and content share a cell and are dealt in any order, which can't be told apart.
+that are equal in key and content share a cell and are dealt in any order, which can't be told apart. A single row
+is never cut, so a cell holds a row longer than CELL_BYTES whole.
+
+The query shuffles the documents with their texts; sizes and crc32 are of the texts that come out of the shuffle.
 """
 
 from __future__ import annotations
@@ -16,12 +19,13 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._tables import cut, documents, whole
+from ._tables import documents, whole
 
 SEED = 20_240_517
 SHARDS = 16
-#: Rows a cell should hold: one Fisher-Yates array; and cells a bucket has.
+#: Rows and bytes a cell should hold: one Fisher-Yates array; and cells a bucket has.
 CELL_ROWS = 128
+CELL_BYTES = 1 << 18
 BUCKET_CELLS = 512
 
 
@@ -41,12 +45,17 @@ def fisher_yates(n: Column, seed: int, *of: Column) -> Column:
     return F.aggregate(down, ids, swap)
 
 
+def buckets_for(rows: int, size: int) -> int:
+    """Buckets of so many rows and bytes."""
+    return max(1, math.ceil(max(rows / CELL_ROWS, size / CELL_BYTES) / BUCKET_CELLS))
+
+
 def shuffle(df: DataFrame, key: list[str], shards: int = SHARDS, seed: int = SEED, rows: int | None = None) -> DataFrame:
     """df with ``shard`` and ``slot``. key: columns that tell rows apart; rows: df's count, if it is known."""
     df = df.drop("shard", "slot")
-    n = df.count() if rows is None else rows
-    cells = max(1, math.ceil(n / CELL_ROWS))
-    buckets = max(1, math.ceil(cells / BUCKET_CELLS))
+    width = sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)).cast("bigint") for c in df.columns), F.lit(0).cast("bigint"))
+    counted, size = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    buckets = buckets_for(counted if rows is None else rows, size)
     h = _draw(seed, *[F.col(k) for k in key])
     place = df.withColumn("__b", F.pmod(h, F.lit(buckets)).cast("int"))
     place = place.withColumn("__c", F.pmod(_draw(seed + 1, *[F.col(k) for k in key]), F.lit(BUCKET_CELLS)).cast("int"))
@@ -62,8 +71,9 @@ def shuffle(df: DataFrame, key: list[str], shards: int = SHARDS, seed: int = SEE
     total = total.select(F.col("__b"), F.coalesce(F.sum("__t").over(over), F.lit(0)).alias("__start"))
     cell = cell.join(sizes, ["__b", "__c"]).join(total, "__b")
     cell = cell.withColumn("__perm", fisher_yates(F.col("__n"), seed + 2, F.col("__b"), F.col("__c")))
-    out = cell.select((F.col("__start") + F.col("__before")).alias("__from"), "__rows", F.posexplode("__perm").alias("__k", "__p"))
-    out = out.select((F.col("__from") + F.col("__k")).alias("__rank"), F.get("__rows", F.col("__p")).alias("__row"))
+    dealt = F.transform("__perm", lambda p: F.get("__rows", p))  # before the rows part, so that none carries its whole cell
+    out = cell.select((F.col("__start") + F.col("__before")).alias("__from"), F.posexplode(dealt).alias("__k", "__row"))
+    out = out.withColumn("__rank", F.col("__from") + F.col("__k"))
     return out.select(
         *[F.col(f"__row.{c}").alias(c) for c in df.columns],
         F.pmod("__rank", F.lit(shards)).cast("int").alias("shard"),
@@ -77,11 +87,11 @@ def write(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def op7(docs: DataFrame) -> DataFrame:
+    out = shuffle(docs.select("doc_id", "text"), ["doc_id", "text"])
     text = whole(F.col("text"))
-    base = docs.select("doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text.cast("binary")).cast("bigint").alias("text_crc32"))
-    base = cut(base, "sizes")  # read twice: for the cells and for their sizes
-    out = shuffle(base, ["doc_id", "text_crc32", "size"])
-    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    size = (F.octet_length(text) + 1).cast("bigint").alias("size")
+    crc = F.crc32(text.cast("binary")).cast("bigint").alias("text_crc32")
+    return out.select("doc_id", size, crc, F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

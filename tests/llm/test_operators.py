@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from polyhop.llm import _text as T
 from polyhop.llm import audio, fingerprints, licenses, mixing, neardup, packing, passages, quality, sharding, toxicity
@@ -322,6 +323,24 @@ def test_op7(docs, none):
     assert sharding.shuffle(docs, ["doc_id", "text"]).columns == [*[c for c in docs.columns if c != "shard"], "shard", "slot"]
 
 
+def test_op7_digests_what_the_shuffle_gives(docs, monkeypatch):
+    """Damage to the texts on their way shows in the digests; long texts ask for more cells."""
+    real = sharding.shuffle
+    monkeypatch.setattr(sharding, "shuffle", lambda df, key: real(df, key).withColumn("text", F.concat("text", F.lit("!"))))
+    got = collections.Counter((r.doc_id, r["size"], r.text_crc32) for r in sharding.op7(docs).collect())
+    texts = [(r[0], "" if r[1] is None else f"{r[1]}!") for r in _rows()]
+    assert got == collections.Counter((i, len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in texts)
+    per = sharding.BUCKET_CELLS
+    assert sharding.buckets_for(per * sharding.CELL_ROWS, 0) == 1 and sharding.buckets_for(1000, 9 * per * sharding.CELL_BYTES) == 9
+
+
+def test_op7_cells_by_bytes(docs, monkeypatch):
+    monkeypatch.setattr(sharding, "CELL_BYTES", 16)
+    many = sharding.buckets_for(1, docs.selectExpr("sum(octet_length(text))").first()[0])
+    assert many > 3
+    test_op7(docs, docs.limit(0))
+
+
 @pytest.mark.parametrize("op, to", [(toxicity.op8, 0.3), (quality.op9, 0.7)])
 def test_classifiers(docs, none, labels, op, to):
     got = op(docs, labels).collect()
