@@ -112,7 +112,8 @@ def components(graph: Graph, max_iterations: int = 100) -> Result:
 
 
 def toposort(graph: Graph, max_iterations: int = 10_000) -> DataFrame:
-    """(id, level), the longest path from a vertex without in-edges; raises if there is a cycle."""
+    """(id, level), the longest path from a vertex without in-edges; raises if there is a cycle or if vertices are left
+    after max_iterations levels."""
     left, edges, done, level = cut(graph.vertices.select("id")), cut(graph.edges.select("src", "dst").distinct()), None, 0
     while level < max_iterations and not left.isEmpty():
         free = cut(left.join(edges.select(F.col("dst").alias("id")), "id", "left_anti"))
@@ -123,6 +124,8 @@ def toposort(graph: Graph, max_iterations: int = 10_000) -> DataFrame:
         left = cut(left.join(free, "id", "left_anti"))
         edges = cut(edges.join(free.select(F.col("id").alias("src")), "src", "left_anti"))
         level += 1
+    if not left.isEmpty():
+        raise ValueError(f"vertices are left after {max_iterations} levels")
     return done if done is not None else graph.vertices.select("id", F.lit(0).cast("bigint").alias("level")).limit(0)
 
 

@@ -70,6 +70,13 @@ def test_whole_graph(spark, f1):
     assert A.assign_blocks({1: 5, 2: 4, 3: 3}, 2) == {1: 0, 2: 1, 3: 1}
 
 
+def test_toposort_raises_where_levels_run_out(spark):
+    path = Graph.of(spark.createDataFrame([(i, i + 1) for i in range(4)], "src bigint, dst bigint"))
+    assert {r.id: r.level for r in A.toposort(path, 5).collect()} == {i: i for i in range(5)}
+    with pytest.raises(ValueError, match="left"):
+        A.toposort(path, 4)
+
+
 def test_structure(spark):
     edges = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (-1, 3), (4, -1)], "src bigint, dst bigint")
     g = Graph.of(edges, spark.createDataFrame([(9,)], "id bigint"))
