@@ -12,7 +12,7 @@ that still hold more than one component then meet by their rarest elements (pref
 those pairs are counted too. Components of the verified links are the groups.
 
 Null and empty texts have an empty bag; two such documents are copies. Rows with a null doc_id belong to no group.
-Rows with equal doc_id and text are one document.
+Rows with equal doc_id and words are one document; rows with equal doc_id and different words are documents of their own.
 """
 
 from __future__ import annotations
@@ -173,10 +173,40 @@ def _verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return cut(overlaps(pairs.join(side("b"), "b").join(side("a"), "a")), "pairs")
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """The rows of docs with a doc_id, with ``__id``: one number for each doc_id and sequence of words, in doc_id order."""
+    schema = docs.select("*", F.lit(0).cast("bigint").alias("__k1"), F.lit(0).cast("bigint").alias("__k2")).schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [[np.empty(0, T.U)], [np.empty(0, T.U)]]
+            for b in T.blocks(batch.column("text")):
+                t = T.tokens(b)
+                h = T.span_hash(b.prefix(), t.starts, t.ends)
+                for out, k in zip(keys, word_keys(t, h, b.hi - b.lo), strict=True):
+                    out.append(k)
+            new = [pa.array(np.concatenate(k).view(np.int64)) for k in keys]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=[*batch.schema.names, "__k1", "__k2"])
+
+    by = ["doc_id", "__k1", "__k2"]
+    keyed = cut(map_arrow(docs.where(F.col("doc_id").isNotNull()), run, schema), "keyed")
+    ids = cut(keyed.select(*by).distinct().orderBy(*by).withColumn("__id", F.monotonically_increasing_id()), "numbers")
+    return cut(keyed.join(ids.hint("merge"), by).drop("__k1", "__k2"), "numbered")
+
+
 def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The operator. One row a doc_id: doc_id, class_id (the smallest doc_id of its group), rep_id (the smallest doc_id
+    """The operator. One row a doc_id and sequence of words: doc_id, class_id (the smallest doc_id of its group), rep_id (the smallest doc_id
     with the same words) and links (verified links of its rep_id to different texts)."""
     signed = cut(sign(docs), "signatures")
+    keys = F.struct("k1", "k2")
+    ends = signed.groupBy("doc_id").agg(F.min(keys).alias("x"), F.max(keys).alias("y"))
+    if not ends.where(F.col("x") != F.col("y")).isEmpty():  # doc_ids don't tell the documents apart
+        rows = numbered(docs.select("doc_id", "text"))
+        out = groups(rows.select(F.col("__id").alias("doc_id"), "text"), threshold)
+        ids = rows.select("__id", F.col("doc_id").alias("__of")).distinct()
+        for c in ("doc_id", "class_id", "rep_id"):
+            out = out.join(ids.hint("merge"), F.col(c) == F.col("__id")).withColumn(c, F.col("__of")).drop("__id", "__of")
+        return out
     rep = signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep_id"))
     first = signed.join(rep.select(F.col("rep_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     buckets = cut(first.select("doc_id", "total", F.explode("bands").alias("key")), "bands")
@@ -254,11 +284,15 @@ def op6(docs: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """One document of each group, that of the smallest doc_id, and all rows without a doc_id, in the columns of docs."""
-    chosen = cut(groups(docs), "groups").where(F.col("doc_id") == F.col("class_id")).select("doc_id").hint("merge")
-    rows = docs.where(F.col("doc_id").isNotNull()).join(chosen, "doc_id", "left_semi")
-    if not docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").isEmpty():
-        rows = rows.dropDuplicates(["doc_id"])
-    return rows.unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    some = docs.where(F.col("doc_id").isNotNull())
+    repeated = not some.groupBy("doc_id").count().where("count > 1").isEmpty()
+    rows = numbered(docs) if repeated else some.withColumn("__id", F.col("doc_id"))
+    found = cut(groups(rows.select(F.col("__id").alias("doc_id"), "text")), "groups")
+    chosen = found.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("__id")).hint("merge")
+    rows = rows.join(chosen, "__id", "left_semi")
+    if repeated:
+        rows = rows.dropDuplicates(["__id"])
+    return rows.select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -298,6 +298,19 @@ def test_op6(docs, none):
     assert neardup.op6(none).count() == 0
 
 
+def test_repeated_ids_of_different_texts(spark):
+    """Texts of one doc_id that are no near-duplicates all stay; groups go by text, not by id."""
+    a, b, c, d = (" ".join(f"{k}{i}" for i in range(60)) for k in "abcd")
+    near = f"{a} more"
+    rows = [(7, a), (7, b), (7, a.replace(" ", "  ")), (3, near), (3, c), (5, b), (9, d), (9, ""), (2, None), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    squeezed = lambda t: t and " ".join(t.split())
+    kept = collections.Counter((r.doc_id, squeezed(r.text)) for r in neardup.keep(df).collect())
+    assert kept == collections.Counter([(3, near), (3, c), (5, b), (9, d), (2, None), (None, a)])
+    got = sorted((r.doc_id, r.class_id, r.rep_id) for r in neardup.op6(df).collect())
+    assert got == [(2, 2, 2), (3, 3, 3), (3, 3, 3), (5, 5, 5), (7, 3, 7), (7, 5, 5), (9, 2, 2), (9, 9, 9)]
+
+
 def test_signatures_estimate_weighted_overlap():
     rng = np.random.default_rng(0)
     for a, b in (([1] * 40 + [3] * 10, [1] * 50), ([500], [400]), ([1, 1, 1, 1, 7], [1, 1, 1, 2, 6])):
