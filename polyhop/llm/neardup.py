@@ -196,7 +196,9 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The operator. One row a doc_id and sequence of words: doc_id, class_id (the smallest doc_id of its group), rep_id (the smallest doc_id
-    with the same words) and links (verified links of its rep_id to different texts)."""
+    with the same words) and spanning_links (of the
+    verified links to different texts that hold the group together, those of its rep_id; pairs already in one component are
+    not compared, so this is not the number of all its near texts)."""
     signed = cut(sign(docs), "signatures")
     keys = F.struct("k1", "k2")
     ends = signed.groupBy("doc_id").agg(F.min(keys).alias("x"), F.max(keys).alias("y"))
@@ -223,10 +225,10 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         more = _verify(rest, texts)
         links = cut(links.union(more.where(F.col("similarity") >= threshold).select("a", "b")), "links")
         labels = components(links)
-    degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
+    degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("spanning_links"))
     labels = labels.join(degree, "id")
     out = signed.select("doc_id", "k1", "k2").distinct().join(rep, ["k1", "k2"]).join(labels, F.col("rep_id") == F.col("id"), "left")
-    return out.select("doc_id", F.coalesce("root", "rep_id").alias("class_id"), "rep_id", F.coalesce("links", F.lit(0)).alias("links"))
+    return out.select("doc_id", F.coalesce("root", "rep_id").alias("class_id"), "rep_id", F.coalesce("spanning_links", F.lit(0)).alias("spanning_links"))
 
 
 def elements(texts: DataFrame) -> DataFrame:

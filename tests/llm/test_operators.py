@@ -311,6 +311,17 @@ def test_repeated_ids_of_different_texts(spark):
     assert got == [(2, 2, 2), (3, 3, 3), (3, 3, 3), (5, 5, 5), (7, 3, 7), (7, 5, 5), (9, 2, 2), (9, 9, 9)]
 
 
+def test_spanning_links_hold_each_group_together(docs):
+    got = neardup.op6(docs).collect()
+    assert got[0].asDict().keys() == {"doc_id", "class_id", "rep_id", "spanning_links"}
+    groups = collections.defaultdict(dict)
+    for r in got:
+        groups[r.class_id][r.rep_id] = r.spanning_links
+    assert max(map(len, groups.values())) > 3
+    for links in groups.values():
+        assert sum(links.values()) >= 2 * (len(links) - 1) and (len(links) == 1) == (0 in links.values())
+
+
 def test_signatures_estimate_weighted_overlap():
     rng = np.random.default_rng(0)
     for a, b in (([1] * 40 + [3] * 10, [1] * 50), ([500], [400]), ([1, 1, 1, 1, 7], [1, 1, 1, 2, 6])):
