@@ -2,9 +2,10 @@
 
 Texts are tokenised and end in a separator id; longer ones than a sequence are cut so that only the first piece may be
 shorter. What remains is a histogram of at most ``capacity`` lengths, whatever the corpus: the driver covers it with
-configurations (multisets of lengths that fit one sequence), each found by a knapsack dynamic program that prices
-lengths by multiplicative weights, and rounds their fractional amounts down. What rounding leaves is packed by best fit
-into the gaps and new sequences, in counts. Pieces then take the slots of their length in an order of theirs.
+configurations (multisets of lengths that fit one sequence), found by a knapsack dynamic program that prices lengths by
+multiplicative weights, and rounds their fractional amounts to whole sequences, in passes. What rounding leaves is packed
+by best fit into the gaps and new sequences, in counts. Pieces then take the slots of their length in an order of theirs.
+The work on the driver depends on the capacity alone.
 
 Null and empty texts are one piece of the separator alone. Rows with equal or null ids are documents of their own.
 An empty table gives an empty result.
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import json
+import math
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -28,10 +30,16 @@ from ._tables import cut, documents, map_arrow
 
 CAPACITY = 1024
 SEPARATOR = 2
-#: Priced configurations at most, the part of the coverable amount that one takes, and the rate of the weights.
-ROUNDS, TAKE, RATE = 700, 0.5, 3.0
-#: Slices of the pieces of one length.
-SLICES = 256
+#: Rounds of the weights' updates, configurations priced in each, and the size of their perturbation.
+ROUNDS, BATCH, NOISE = 40, 24, 0.002
+#: How much more a long length is worth at the start than its share of a sequence: short ones are the easier to place late.
+LONG = 0.1
+#: Rates of the weights; each is tried.
+RATES = (0.1, 1.0)
+#: Of each pass of rounding: the share of the program that is rounded, and the gap that a sequence may have beyond the mean.
+SHARES, SLACK = (0.3, 0.6, 0.8, 0.8, 0.8), (0.0, 0.0, 0.0, 0.0, 0.01)
+#: Pieces of one length in a slice of them.
+SLICE_ROWS = 1 << 16
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -94,52 +102,99 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, i
     return map_arrow(docs.select("doc_id", "text"), run, schema)
 
 
-def price(value: np.ndarray, capacity: int) -> list[int]:
-    """Lengths of the most valuable multiset of total length at most capacity; value[s] <= 0 leaves s out."""
-    best, pick = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
-    for c in range(1, capacity + 1):
-        with_last = value[1 : c + 1] + best[c - 1 :: -1][:c]
-        k = int(np.argmax(with_last))
-        best[c], pick[c] = (with_last[k], k + 1) if with_last[k] > best[c - 1] else (best[c - 1], 0)
-    out, c = [], capacity
-    while c > 0:
-        if pick[c]:
-            out.append(int(pick[c]))
-            c -= int(pick[c])
-        else:
-            c -= 1
-    return out
-
-
-def configurations(counts: np.ndarray, capacity: int = CAPACITY, rounds: int = ROUNDS) -> list[tuple[list[int], int]]:
-    """[(lengths in one sequence, how many such sequences)] that hold counts[s] pieces of each length s exactly."""
-    want = np.zeros(capacity + 1)
-    want[: len(counts)] = counts
-    want[0] = 0
-    out: list[tuple[list[int], int]] = []
-    if want[capacity]:
-        out.append(([capacity], int(want[capacity])))
-    whole = want.astype(np.int64)
-    whole[capacity] = 0
-    open_ = whole.astype(float)
+def price(values: np.ndarray, capacity: int) -> tuple[list[tuple[int, ...]], np.ndarray]:
+    """The knapsack's dynamic program, for several rows of values at once: for each row the lengths (longest first) of
+    the most valuable multiset of total length at most capacity, and its value. values[k, s] <= 0 leaves s out."""
+    n, at = len(values), np.arange(len(values))
+    low = int(np.flatnonzero((values > 0).any(axis=0))[0])
+    worth = np.where(values > 0, values, -np.inf)
+    best, pick = np.zeros((n, capacity + 1)), np.zeros((n, capacity + 1), np.int32)
+    back = np.zeros((n, capacity + 1))  # best, from the right
+    for c in range(low, capacity + 1):
+        with_last = worth[:, low : c + 1] + back[:, capacity - c + low :]
+        k = with_last.argmax(axis=1)
+        top = with_last[at, k]
+        better = top > best[:, c - 1]
+        best[:, c] = np.where(better, top, best[:, c - 1])
+        pick[:, c] = np.where(better, k + low, 0)
+        back[:, capacity - c] = best[:, c]
+    out = []
+    for row in pick:
+        chosen, c = [], capacity
+        while c > 0:
+            s = int(row[c])
+            chosen += [s] if s else []
+            c -= s or 1
+        out.append(tuple(sorted(chosen, reverse=True)))
+    return out, best[:, capacity]
+
+
+def relax(counts: np.ndarray, capacity: int, rate: float, rounds: int = ROUNDS, batch: int = BATCH, noise: float = NOISE, seed: int = 0) -> tuple[dict[tuple[int, ...], float], float]:
+    """The covering program: the least sum of amounts of configurations that hold counts[s] pieces of each length s.
+
+    A length's weight is multiplied by exp(rate * shortfall) as its coverage falls behind the share of rounds gone; the
+    weights price the knapsack, and the best configurations under them, and under slightly perturbed ones, get the round's
+    amount. Returns the amounts and a lower bound: any weights, over the value of the best configuration, are a solution
+    of the dual program, and the best bound of all rounds counts."""
+    rng = np.random.default_rng(seed)
     size = np.arange(capacity + 1) / capacity
-    floor = np.maximum(whole, 1)
-    for _ in range(rounds):
-        live = open_ >= 1
-        if not live.any():
-            break
-        # weights fall as a length is covered; they tilt the choice among configurations that fill a sequence
-        weight = np.where(live, size * (1 + 0.02 * np.exp(-RATE * (1 - open_ / floor))), -1.0)
-        chosen = price(weight, capacity)
-        lengths, many = np.unique(chosen, return_counts=True)
-        most = float((open_[lengths] / many).min())
-        amount = most if most < 4 else max(1.0, TAKE * most)
-        open_[lengths] -= amount * many
-        n = int(min(np.floor(amount), (whole[lengths] // many).min()))  # rounded down
-        if n:
-            out.append((chosen, n))
-            whole[lengths] -= n * many
-    return _best_fit(out, whole, capacity)
+    prior = np.where(counts > 0, size * (1 + LONG * size), 0.0)
+    short, covered = np.zeros(capacity + 1), np.zeros(capacity + 1)
+    amounts: dict[tuple[int, ...], float] = {}
+    bound = float(counts @ size)
+    for t in range(1, rounds + 1):
+        weight = prior * np.exp(rate * short)
+        tries = np.repeat(weight[None, :], batch, axis=0)
+        tries[1:] *= np.exp(noise * rng.standard_normal((batch - 1, capacity + 1)))
+        chosen, value = price(tries, capacity)
+        bound = max(bound, float(counts @ weight / value[0]))
+        each = bound / rounds / batch
+        for lengths in chosen:
+            amounts[lengths] = amounts.get(lengths, 0.0) + each
+            np.add.at(covered, list(lengths), each)
+        short = np.where(counts > 0, t / rounds - covered / np.maximum(counts, 1), 0.0)
+    return amounts, bound
+
+
+def solve(counts: np.ndarray, capacity: int = CAPACITY) -> tuple[list[tuple[list[int], int]], float, int]:
+    """([(lengths in one sequence, how many such sequences)] that hold counts[s] pieces of each length s exactly, a lower
+    bound on the number of sequences, passes of rounding).
+
+    Amounts are rounded to whole sequences in passes, configurations of the least gap first, a share of the program in
+    each; the program is then solved for what is left. After each pass best fit packs the rest, and the pass after which
+    the fewest sequences are needed is the one that counts; pass 0 is best fit alone."""
+    start = np.zeros(capacity + 1, np.int64)
+    start[: len(counts)] = counts
+    full, start[0] = int(start[capacity]), 0
+    start[capacity] = 0
+    first = [([capacity], full)] if full else []
+    found, bound = [(_best_fit(list(first), start.copy(), capacity), 0)], 0.0
+    for rate in RATES:
+        out, rest = list(first), start.copy()
+        for k, share in enumerate(SHARES):
+            if not rest.any():
+                break
+            amounts, least = relax(rest, capacity, rate, seed=k)
+            bound = max(bound, least) if k == 0 else bound
+            # whole sequences, the least gap first; none of a larger gap than the program's own mean one and a bit
+            gap = capacity * (1 - rest @ np.arange(capacity + 1) / capacity / least) * 1.5 + SLACK[k] * capacity
+            left = share * least
+            for lengths, amount in sorted(amounts.items(), key=lambda x: (capacity - sum(x[0]), -x[1], x[0])):
+                if left <= 0 or capacity - sum(lengths) > gap:
+                    break
+                s, many = np.unique(lengths, return_counts=True)
+                n = int(min(max(np.floor(amount), 1), (rest[s] // many).min(), np.ceil(left)))
+                if n:
+                    out.append((list(lengths), n))
+                    rest[s] -= n * many
+                    left -= n
+            found.append((_best_fit(list(out), rest.copy(), capacity), k + 1))
+    configs, passes = min(found, key=lambda x: (sum(n for _, n in x[0]), -x[1]))
+    return configs, full + bound, passes
+
+
+def configurations(counts: np.ndarray, capacity: int = CAPACITY) -> list[tuple[list[int], int]]:
+    return solve(counts, capacity)[0]
 
 
 def _best_fit(out: list[tuple[list[int], int]], rest: np.ndarray, capacity: int) -> list[tuple[list[int], int]]:
@@ -195,11 +250,12 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     length, rank, sequence, offset = slots(configurations(counts, capacity))
     shift = np.int64(1 << 44)
     shared = spark.sparkContext.broadcast((length * shift + rank, rank, sequence, offset))
-    rows = parts.withColumn("__s", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SLICES)).cast("int"))
+    slices = max(1, math.ceil(int(counts.max()) / SLICE_ROWS))
+    rows = parts.withColumn("__s", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(slices)).cast("int"))
     sums = rows.groupBy("length", "__s").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy("length").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)  # SLICES rows
+    before = Window.partitionBy("length").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)  # a row a slice
     sums = sums.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
-    within = Window.partitionBy("length", "__s").orderBy("doc_id", "piece")
+    within = Window.partitionBy("length", "__s").orderBy("doc_id", "piece", "ids_crc32")
     rows = rows.withColumn("__k", F.row_number().over(within) - 1).join(sums, ["length", "__s"])
     rows = rows.select(*parts.columns, (F.col("__before") + F.col("__k")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
 
