@@ -14,9 +14,10 @@ def held_out(doc_id: Column) -> Column:
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, rows: int) -> pa.Table:
     """At most ``rows`` labelled texts that aren't held out, those of the smallest seeded hashes of their ids, in id
-    order. The bound is on the sample alone: every row of docs is scored."""
+    order; of an id with several texts the first by code point. The bound is on the sample alone: every row is scored."""
     some = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     some = some.groupBy("doc_id").agg(F.max(label).alias("label"))
     some = some.orderBy(F.xxhash64(F.lit(3), "doc_id"), "doc_id").limit(rows)
-    got = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(some), "doc_id").toArrow()
+    got = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    got = got.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")).toArrow()
     return got.sort_by([("doc_id", "ascending"), ("text", "ascending")])

@@ -30,8 +30,9 @@ def sigmoid(x):
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dim: int, *, epochs: int = 3, pairs: dict[int, list] | None = None, penalty: float = 0.0, seed: int = 0, **kw) -> np.ndarray:
-    """rows: each example's feature places and values. pairs: of some examples, counterfactual forms, in the same shape;
-    the penalty is on the squared difference of the two logits. Returns dim weights and the bias."""
+    """rows: each example's feature places and values. pairs: of some examples, how their features differ from
+    those of counterfactual forms, in the same shape; the penalty is on the squared difference of the two logits. Returns
+    dim weights and the bias."""
     model, rng = Ftrl(dim, **kw), np.random.default_rng(seed)
     bias_i, bias_v = np.array([dim]), np.array([1.0])
     rows = [(np.concatenate([i, bias_i]), np.concatenate([v, bias_v])) for i, v in rows]
@@ -42,13 +43,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, dim: int, *, e
             f = float(w @ v)
             g = (sigmoid(f) - y[k]) * v
             model.step(i, g, w)
-            for ci, cv in (pairs or {}).get(k, ()):
-                both = np.concatenate([i[:-1], ci])
-                diff = np.concatenate([v[:-1], -cv])
-                at, inverse = np.unique(both, return_inverse=True)
-                d = np.bincount(inverse, weights=diff, minlength=len(at))
-                at, d = at[d != 0], d[d != 0]
-                if len(at):
-                    w = model.at(at)
-                    model.step(at, penalty * float(w @ d) * d, w)
+            for at, d in (pairs or {}).get(k, ()):
+                w = model.at(at)
+                if gap := float(w @ d):
+                    model.step(at, penalty * gap * d, w)
     return model.weights()

@@ -1,9 +1,9 @@
 """Toxicity: a counterfactual-regularised classifier.
 
 Features are the words of a text in lower case (A-Z) and their beginnings of four to eight bytes, hashed; a text has a
-feature or not, however often. The logistic model is fitted by sparse updates. For each labelled text that mentions a
-group, forms of it with the identity term swapped for others are made, and the squared difference of the two logits is
-penalised, so that naming a group neither raises nor lowers a score.
+feature or not, however often. The logistic model is fitted by sparse updates. For each labelled text counterfactual
+forms are made, with its identity terms swapped for others of their kind or, if it names no group, with a term put in, and
+the squared difference of the two logits is penalised, so that naming a group neither raises nor lowers a score.
 
 A null or empty text has no features and scores by the bias. The fit takes at most ``rows`` labelled texts; without
 labelled rows every text scores 0.5 times the bias' prior, 0.
@@ -11,6 +11,7 @@ labelled rows every text scores 0.5 times the bias' prior, 0.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +49,7 @@ _LOWER[65:91] += 32
 for _lo, _hi in ((48, 58), (65, 91), (97, 123), (128, 256)):
     _TABLE[_lo:_hi] = 1
 PREFIXES = (4, 5, 6, 7, 8)
+_KIND = {w.encode(): (kind, i) for kind in IDENTITY for i, w in enumerate(kind)}
 #: Texts of the sample that must have a feature for it to count.
 LEAST_TEXTS = 4
 
@@ -65,26 +67,46 @@ def _hashes(b: T.Block) -> tuple[T.Tokens, list[tuple[np.ndarray, np.ndarray]]]:
     return t, out
 
 
-def _places(text: str) -> np.ndarray:
-    for b in T.blocks(pa.array([text])):
+def _places(text: bytes) -> np.ndarray:
+    """Feature places of one text, ascending."""
+    for b in T.blocks(pa.array([text], pa.binary())):
         return np.unique(np.concatenate([f for _, f in _hashes(b)[1]]))
     return np.empty(0, np.int64)
 
 
 def swaps(text: str, how_many: int = SWAPS) -> list[str]:
-    """Forms of a text with each identity term replaced by another of its kind; none if it names no group."""
-    tokens = text.lower().split()
-    kinds = {w: kind for kind in IDENTITY for w in kind}
-    bare = [w.strip(".,;:!?\"'()") for w in tokens]
-    hit = [i for i, w in enumerate(bare) if w in kinds]
-    out = []
-    for k in range(1, how_many + 1 if hit else 1):
-        form = list(tokens)
-        for i in hit:
-            kind = kinds[bare[i]]
-            form[i] = kind[(kind.index(bare[i]) + k) % len(kind)]
-        out.append(" ".join(form))
-    return out
+    """Counterfactual forms of a text: each identity term replaced by another of its kind, all else as it was; a text that
+    names no group gets a term of a group, drawn by its hash, as a word of its own. A text without words has no forms."""
+    raw = text.encode()
+    for b in T.blocks(pa.array([raw], pa.binary())):
+        low = T.Block(b.lo, b.hi, _LOWER[b.data], b.offs)
+        t = T.tokens(low, _TABLE)
+        spans = list(zip(t.starts.tolist(), t.ends.tolist(), strict=True))
+        if not spans:
+            return []
+        line = low.data.tobytes()
+        hits = [(a, z, *_KIND[line[a:z]]) for a, z in spans if line[a:z] in _KIND]
+        out = []
+        for k in range(1, how_many + 1):
+            if not hits:
+                draw = zlib.crc32(raw) + k * 7919
+                kind = IDENTITY[draw % len(IDENTITY)]
+                at = spans[draw // len(IDENTITY) % len(spans)][0]
+                out.append(raw[:at] + kind[draw % len(kind)].encode() + b" " + raw[at:])
+                continue
+            form, done = [], 0
+            for a, z, kind, i in hits:
+                form += [raw[done:a], kind[(i + k) % len(kind)].encode()]
+                done = z
+            out.append(b"".join([*form, raw[done:]]))
+        return [x.decode() for x in out]
+    return []
+
+
+def difference(text: np.ndarray, form: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Features that a text or its form alone has, and 1 or -1 for them."""
+    gone, new = np.setdiff1d(text, form), np.setdiff1d(form, text)
+    return np.concatenate([gone, new]), np.concatenate([np.ones(len(gone)), -np.ones(len(new))])
 
 
 def train(docs: DataFrame, labels_: DataFrame, rows: int = ROWS, penalty: float = PENALTY) -> np.ndarray:
@@ -100,8 +122,8 @@ def train(docs: DataFrame, labels_: DataFrame, rows: int = ROWS, penalty: float
         cuts = np.searchsorted(key, np.arange(b.hi - b.lo + 1) * DIM)
         for i in range(b.hi - b.lo):
             f = key[cuts[i] : cuts[i + 1]] % DIM
-            if forms := swaps(b.text(i).decode()):
-                pairs[len(examples)] = [(p, np.ones(len(p))) for p in map(_places, forms)]
+            if penalty:
+                pairs[len(examples)] = [difference(f, _places(x.encode())) for x in swaps(b.text(i).decode())]
             examples.append((f, np.ones(len(f))))
     seen = np.bincount(np.concatenate([f for f, _ in examples]), minlength=DIM) >= LEAST_TEXTS
     examples = [(f[seen[f]], v[seen[f]]) for f, v in examples]

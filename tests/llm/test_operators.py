@@ -416,8 +416,38 @@ def test_held_out_accuracy(spark, op, column):
 
 
 def test_identity_terms_swap():
-    assert toxicity.swaps("the muslim man spoke") and not toxicity.swaps("the sea")
-    assert all("muslim" not in s for s in toxicity.swaps("a muslim neighbour"))
+    forms = toxicity.swaps("The MUSLIM man's dog spoke")
+    assert forms[0] == "The christian person's dog spoke" or forms[0].startswith("The christian")
+    assert all("muslim" not in s.lower() and s.endswith("dog spoke") for s in forms)
+    terms = {w for kind in toxicity.IDENTITY for w in kind}
+    for form in toxicity.swaps("the sea is calm"):
+        assert [w for w in form.split() if w not in terms] == ["the", "sea", "is", "calm"] and len(form.split()) == 5
+    assert toxicity.swaps("") == toxicity.swaps(" ,. ") == []
+    at, d = toxicity.difference(np.array([1, 2, 5]), np.array([2, 7]))
+    assert dict(zip(at.tolist(), d.tolist(), strict=True)) == {1: 1, 5: 1, 7: -1}
+
+
+def test_counterfactuals_take_a_bias_away(spark):
+    """Labels under which a group is named in toxic texts alone: the penalty brings neutral mentions down, and toxic
+    texts stay found."""
+    r = random.Random(2)
+    plain = [f"word{i}" for i in range(300)]
+    rows = []
+    for i in range(400):
+        words = [r.choice(plain) for _ in range(12)]
+        toxic = i % 4 == 0
+        words += ([r.choice(("idiot", "moron", "scum"))] if toxic else []) + (["muslims"] if toxic and i % 8 else [])
+        r.shuffle(words)
+        rows.append((i, " ".join(words), int(toxic)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    neutral = [" ".join([r.choice(plain) for _ in range(8)] + ["muslims"]) for _ in range(50)]
+    rude = [" ".join([r.choice(plain) for _ in range(8)] + ["idiot"]) for _ in range(50)]
+    mean, found = {}, {}
+    for penalty in (0.0, toxicity.PENALTY):
+        weights = toxicity.train(docs, docs, penalty=penalty)
+        mean[penalty] = toxicity.scores(pa.array(neutral), weights).mean()
+        found[penalty] = (toxicity.scores(pa.array(rude), weights) >= toxicity.THRESHOLD).mean()
+    assert mean[toxicity.PENALTY] < 0.5 * mean[0.0] and found[toxicity.PENALTY] == 1.0, (mean, found)
 
 
 def test_op10(docs, none):
