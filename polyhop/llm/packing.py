@@ -38,8 +38,6 @@ LONG = 0.1
 RATES = (0.1, 1.0)
 #: Of each pass of rounding: the share of the program that is rounded, and the gap that a sequence may have beyond the mean.
 SHARES, SLACK = (0.3, 0.6, 0.8, 0.8, 0.8), (0.0, 0.0, 0.0, 0.0, 0.01)
-#: Pieces of one length in a slice of them.
-SLICE_ROWS = 1 << 16
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
@@ -250,7 +248,7 @@ def pack(parts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     length, rank, sequence, offset = slots(configurations(counts, capacity))
     shift = np.int64(1 << 44)
     shared = spark.sparkContext.broadcast((length * shift + rank, rank, sequence, offset))
-    slices = max(1, math.ceil(int(counts.max()) / SLICE_ROWS))
+    slices = max(1, math.isqrt(int(counts.max())))  # as many as pieces of the commonest length in one of them
     rows = parts.withColumn("__s", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32"), F.lit(slices)).cast("int"))
     sums = rows.groupBy("length", "__s").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy("length").orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)  # a row a slice
