@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -60,25 +58,24 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-def cut(df: DataFrame, name: str, settle: bool = False) -> DataFrame:
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: what follows neither recomputes it nor depends on the
-    executors that made it. Shuffle files of the steps before are released, with ``settle`` before the next step begins;
-    the table goes when the JVM ends."""
+    executors that made it. The shuffle files behind it go when it is written, the table when the JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/polyhop/{uuid.uuid4().hex}-{name}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    schema = df.schema
-    del df
-    gc.collect()
-    jvm.System.gc()
-    if settle:
-        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
-        jvm.System.gc()
-        time.sleep(1)  # the cleaner removes shuffle files in the background
-    out = spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
     out._polyhop_table = path
     return out
 

@@ -5,16 +5,22 @@ A window is ``window`` consecutive words. A word goes if a window over it also s
 1. Anchors. Each window has one: the run of ``anchor`` words in it of the smallest hash. Equal windows have equal
    anchors, and one anchor serves several neighbouring windows, so far fewer anchors than windows are shuffled. Anchors
    of one document alone drop out.
-2. Windows. Each shard of documents receives the recurring anchors that occur in it and gives the windows around
-   them; windows that two documents hold recur, and the smallest doc_id of each is its first holder. Whole documents
-   are compared in the same way by two keys, so that of many copies only the first one's windows are shuffled.
-3. Automata. Each shard receives the recurring windows that occur in it. The longest runs of them in its documents are
-   the shard's phrases, taken from the text; Aho-Corasick automata of a bounded number of bytes are compiled from them,
-   and every document of the shard that holds a recurring window is streamed through to locate every occurrence.
-   What is located goes, but for windows of which the document is the first holder.
-
-Shards are many small sets of documents by hash, so their number grows with the corpus and their size doesn't. Hashes
-have 96 bits where documents of different shards meet.
+2. Windows and passages. Each shard of documents receives the recurring anchors that occur in it and gives keys of the
+   windows around them, and the passages in which those windows stand, as text, in pieces of at most ``PIECE`` windows.
+   The first holder of a key is its smallest doc_id. Whole documents are compared in the same way by two keys, so that of
+   many copies only the first one gives windows.
+3. Automata. A first holder's piece goes to each shard in which a later document has one of its keys. There
+   Aho-Corasick automata of a bounded number of bytes are compiled from its phrases: each ``(window + 1) // 2`` words of
+   it, one of which every window in it contains. All the shard's documents are streamed through them; around each
+   occurrence the document and the passage are compared, and words equal in both go, if they are a window's number at least.
+
+So keys only nominate: what goes is equal text in an earlier document, and two different windows of one key (96 bits)
+take no word away. Such a pair could hide a window's true first holder; of 10^12 windows one such pair is expected in
+10^5 runs.
+
+Shards are many small sets of documents by hash, bounded in rows and bytes on average, so their number grows with the
+corpus and their size doesn't. A single longer document is a shard's whole content. Rows equal in doc_id and text share a
+shard.
 
 Null and empty texts have no words. Rows with a null doc_id are neither compared nor changed. Rows of equal doc_id
 aren't earlier than one another. Texts with nothing to remove stay as they are.
@@ -39,10 +45,12 @@ from .neardup import word_keys
 
 WINDOW = 13
 ANCHOR = 6
-#: Documents that a shard should hold, and bytes of phrases in one automaton.
+#: Windows of a piece of a passage.
+PIECE = 64
+#: Documents and bytes that a shard should hold, and bytes of phrases in one automaton.
 SHARD_ROWS = 256
+SHARD_BYTES = 1 << 20
 AUTOMATON_BYTES = 1 << 17
-_MISSING = np.iinfo(np.int64).max
 
 
 def _anchors(h: np.ndarray, doc: np.ndarray, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,12 +103,12 @@ def _distinct(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
     return order[new]
 
 
-def anchors(sharded: DataFrame, window: int, anchor: int) -> DataFrame:
+def anchors(sharded: DataFrame, shard: str, window: int, anchor: int) -> DataFrame:
     """(m, shard, doc_id): the anchors of each document and its two keys, once each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            shard, ids = batch.column("__shard").to_numpy(), batch.column("doc_id").to_numpy()
+            shards, ids = batch.column(shard).to_numpy(), batch.column("doc_id").to_numpy()
             for b in T.blocks(batch.column("text")):
                 t = T.tokens(b)
                 h = T.span_hash(b.prefix(), t.starts, t.ends)
@@ -113,9 +121,9 @@ def anchors(sharded: DataFrame, window: int, anchor: int) -> DataFrame:
                 k1, k2, long = _whole(t, h, b.hi - b.lo, window)
                 m = np.concatenate([m[some], k1[long], k2[long]])
                 rows = b.lo + np.concatenate([d[some], np.flatnonzero(long), np.flatnonzero(long)])
-                yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(shard[rows]), pa.array(ids[rows])], names=["m", "__shard", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(m.view(np.int64)), pa.array(shards[rows]), pa.array(ids[rows])], names=["m", "shard", "doc_id"])
 
-    return map_arrow(sharded.where(F.col("doc_id").isNotNull()).select("__shard", "doc_id", "text"), run, "m bigint, __shard int, doc_id bigint")
+    return map_arrow(sharded.select(shard, "doc_id", "text"), run, "m bigint, shard int, doc_id bigint")
 
 
 def _in(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
@@ -124,145 +132,211 @@ def _in(values: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
     return sorted_[np.minimum(np.searchsorted(sorted_, values), len(sorted_) - 1)] == values
 
 
-def _ids(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """doc_ids, and whether there is one."""
-    column = table.column("doc_id")
-    return column.fill_null(0).to_numpy(), np.array(column.is_valid())
+def _pieces(at: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which of these windows, in order, begin a piece: runs of neighbours in one document, cut after PIECE windows."""
+    if not len(at):
+        return np.zeros(0, bool)
+    new = np.ones(len(at), bool)
+    new[1:] = (at[1:] != at[:-1] + 1) | (doc[1:] != doc[:-1])
+    begin = np.flatnonzero(new)
+    return (np.arange(len(at)) - np.repeat(begin, np.diff(np.append(begin, len(at))))) % PIECE == 0
+
+
+def raw(text: pa.Scalar) -> bytes:
+    return text.as_buffer().to_pybytes() if text.is_valid else b""
+
+
+def line_of(text: bytes) -> bytes:
+    """A text's words, joined, begun and ended by single spaces."""
+    return b" " + b" ".join(text.split()) + b" "
 
 
-def windows(sharded: DataFrame, recurring: DataFrame, window: int, anchor: int) -> DataFrame:
-    """(wh, wx, shard, doc_id): the windows around recurring anchors, once a document, and the keys of documents whose
-    whole sequence recurs. Of such copies only the first gives windows: all of the others' are in it."""
+WINDOW_ROW = "wh bigint, wx int, shard int, doc_id bigint, pid bigint, passage string"
+
+
+def windows(sharded: DataFrame, shard: str, recurring: DataFrame, window: int, anchor: int, mask: int) -> DataFrame:
+    """Two kinds of rows. (wh, wx, shard, doc_id, pid): the keys of the windows around recurring anchors, once a document,
+    and the piece that holds the window; also a key for each piece of a document whose whole sequence recurs. Of such
+    copies only the first gives windows: all of the others' are in it. (pid, doc_id, passage): the pieces."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = right.column("m").to_numpy().view(T.U)
-        order = np.argsort(known)
-        known, first = known[order], right.column("a").to_numpy()[order]
-        ids, valid = _ids(left)
-        out = []
-        for b in T.blocks(left.column("text").combine_chunks()) if len(known) and len(ids) else ():
+        known, order = np.unique(right.column("m").to_numpy().view(T.U), return_index=True)
+        first = right.column("a").to_numpy()[order]
+        ids = left.column("doc_id").to_numpy()
+        keys, texts = [], []  # (wh, wx, doc_id, pid), (pid, doc_id, passage)
+        for b in T.blocks(left.column("text")) if len(known) and len(ids) else ():
+            mine = ids[b.lo : b.hi]
             t = T.tokens(b)
             h = T.span_hash(b.prefix(), t.starts, t.ends)
             at, m = _anchors(h, t.doc, window, anchor)
             k1, k2, long = _whole(t, h, b.hi - b.lo, window)
-            recurs, copy = _copies(k1, k2, long & valid[b.lo : b.hi], ids[b.lo : b.hi], known, first)
-            at = at[_in(m, known) & valid[b.lo + t.doc[at]] & ~copy[t.doc[at]]]
+            recurs, copy = _copies(k1, k2, long, mine, known, first)
+            at = at[_in(m, known) & ~copy[t.doc[at]]]
             wh, wx = _windows(h, at, window)
+            some = np.sort(_distinct(t.doc[at], wh))
+            at, wh, wx = at[some], wh[some], wx[some]
             d = t.doc[at]
-            some = _distinct(d, wh)
-            keys = np.concatenate([k1[recurs], k2[recurs]])
-            wh, d = np.concatenate([wh[some], keys]), np.concatenate([d[some], np.flatnonzero(recurs), np.flatnonzero(recurs)])
-            wx = np.concatenate([wx[some], keys.astype(np.uint32)])
-            out.append((wh.view(np.int64), wx.view(np.int32), ids[b.lo + d]))
-        cols = [np.concatenate([o[i] for o in out]) if out else np.empty(0, k) for i, k in enumerate((np.int64, np.int32, np.int64))]
-        shard = np.full(len(cols[0]), left.column("__shard")[0].as_py() if len(ids) else 0, np.int32)
-        return pa.table({"wh": cols[0], "wx": cols[1], "__shard": shard, "doc_id": cols[2]})
-
-    left = sharded.select("__shard", "doc_id", "text").groupBy("__shard")
-    return left.cogroup(recurring.groupBy("__shard")).applyInArrow(run, "wh bigint, wx int, __shard int, doc_id bigint")
-
-
-def automata(phrases: set[bytes], limit: int = AUTOMATON_BYTES) -> Iterator[ahocorasick.Automaton]:
-    """One after another, automata of at most ``limit`` bytes of phrases each, or of one longer phrase. Phrases are
-    words joined, begun and ended by single spaces; a byte counts as a character."""
+            begins = _pieces(at, d)
+            of = np.cumsum(begins) - 1
+            starts, ends = at[begins], at[np.append(np.flatnonzero(begins)[1:] - 1, len(at) - 1)] + window if len(at) else at
+            doc = t.doc[starts]
+            # whole documents: a key and, for the first one, a piece for each PIECE of its windows
+            counts = t.counts(b.hi - b.lo)
+            whole = np.flatnonzero(recurs)
+            parts = -(-(counts[whole] - window + 1) // PIECE)
+            w = np.repeat(whole, parts)
+            j = np.arange(len(w)) - np.repeat(np.cumsum(parts) - parts, parts)
+            begin = (np.cumsum(counts) - counts)[w] + j * PIECE
+            end = np.minimum(begin + PIECE + window - 1, np.cumsum(counts)[w])
+            own = ~copy[w]
+            pid = T.mix(mine[doc].astype(T.U) + T.mix(t.starts[starts].astype(T.U) - b.offs[doc].astype(T.U)))
+            whole_pid = T.mix(T.mix(mine[w].astype(T.U) + T.mix(j.astype(T.U))))
+            keys.append((wh, wx.view(np.int32), mine[d], pid[of]))
+            keys.append((T.mix(k1[w] + j.astype(T.U)), k2[w].astype(np.uint32).view(np.int32), mine[w], whole_pid))
+            for p, a, z, k in ((pid, starts, ends, doc), (whole_pid[own], begin[own], end[own], w[own])):
+                spans = zip(t.starts[a].tolist(), t.ends[z - 1].tolist(), strict=True)
+                texts.append((p, mine[k], [line_of(b.data[x:y].tobytes()) for x, y in spans]))
+        cols = [np.concatenate([k[i] for k in keys]) if keys else np.empty(0, kind) for i, kind in enumerate((T.U, np.int32, np.int64, T.U))]
+        cols[0] &= T.U(mask)
+        n = len(cols[0])
+        pid, doc = (np.concatenate([x[i] for x in texts]) if texts else np.empty(0, kind) for i, kind in enumerate((T.U, np.int64)))
+        void = lambda kind, k: pa.nulls(k, kind)
+        passage = pa.array([x for _, _, some in texts for x in some], pa.binary()).cast(pa.string())
+        number = left.column(shard)[0].as_py() if len(ids) else 0
+        join = lambda x, y: pa.concat_arrays([x, y])
+        return pa.table({
+            "wh": join(pa.array(cols[0].view(np.int64)), void(pa.int64(), len(pid))),
+            "wx": join(pa.array(cols[1]), void(pa.int32(), len(pid))),
+            "shard": pa.array(np.full(n + len(pid), number, np.int32)),
+            "doc_id": np.concatenate([cols[2], doc]),
+            "pid": np.concatenate([cols[3], pid]).view(np.int64),
+            "passage": join(void(pa.string(), n), passage),
+        })
+
+    left = sharded.select(shard, "doc_id", "text").groupBy(shard)
+    return left.cogroup(recurring.groupBy("shard")).applyInArrow(run, WINDOW_ROW)
+
+
+def phrases(passage: bytes, words: int) -> Iterator[tuple[bytes, int]]:
+    """A line's words, so many at a time, with the spaces around them, and where each such phrase stands."""
+    spaces = np.flatnonzero(np.frombuffer(passage, np.uint8) == 32).tolist()
+    for k in range(0, len(spaces) - words, words):
+        yield passage[spaces[k] : spaces[k + words] + 1], spaces[k]
+
+
+def automata(passages: list[bytes], words: int, limit: int = AUTOMATON_BYTES) -> Iterator[ahocorasick.Automaton]:
+    """One after another, automata of at most ``limit`` bytes of phrases each, or of one longer phrase. A byte counts as a
+    character. A phrase's value is its size and where it stands: (number of the passage, place in it)."""
+    where: dict[bytes, list[tuple[int, int]]] = {}
+    for i, p in enumerate(passages):
+        for phrase, at in phrases(p, words):
+            where.setdefault(phrase, []).append((i, at))
     now, size = ahocorasick.Automaton(), 0
-    for p in sorted(phrases):
+    for p in sorted(where):
         if size and size + len(p) > limit:
             now.make_automaton()
             yield now
             now, size = ahocorasick.Automaton(), 0
-        now.add_word(p.decode("latin-1"), (len(p), p.count(b" ") - 1))
+        now.add_word(p.decode("latin-1"), (len(p), where[p]))
         size += len(p)
     if size:
         now.make_automaton()
         yield now
 
 
-def occurrences(a: ahocorasick.Automaton, line: bytes) -> Iterator[tuple[int, int]]:
-    """(place of the first byte, number of words) of each phrase in a line of the phrases' form."""
-    for end, (size, words) in a.iter(line.decode("latin-1")):
-        yield end - size + 1, words
-
-
-def _covered(n: int, starts: np.ndarray, length) -> np.ndarray:
-    depth = np.zeros(n + 1, np.int64)
-    np.add.at(depth, starts, 1)
-    np.add.at(depth, starts + length, -1)
-    return np.cumsum(depth)[:n] > 0
-
-
-def strip_shard(texts: pa.Array, ids: np.ndarray, valid: np.ndarray, known: np.ndarray, first: np.ndarray, window: int):
-    """For each text: its number of words, and None or which words stay. known: sorted hashes of recurring windows;
-    first: their first holders."""
-    found = []  # (row, words, first word of each recurring window, whether an earlier document holds it)
-    count = np.zeros(len(ids), np.int64)
-    phrases: set[bytes] = set()
-    for b in T.blocks(texts):
-        t = T.tokens(b)
-        count[b.lo : b.hi] = t.counts(b.hi - b.lo)
-        if not len(known):
-            continue
-        h = T.span_hash(b.prefix(), t.starts, t.ends)
-        m = len(h) - window + 1
-        if m <= 0:
-            continue
-        at = np.flatnonzero(t.doc[:m] == t.doc[window - 1 :])
-        wh = _windows(h, at, window)[0]
-        copy = _copies(*_whole(t, h, b.hi - b.lo, window), ids[b.lo : b.hi], known, first)[1]
-        hit = _in(wh, known)
-        later = hit & (first[np.minimum(np.searchsorted(known, wh), len(known) - 1)] < ids[b.lo + t.doc[at]])
-        hit, later = hit | copy[t.doc[at]], later | copy[t.doc[at]]
-        at, later = at[hit], later[hit]
-        begin = np.searchsorted(t.doc, np.arange(b.hi - b.lo))
-        for d in np.unique(t.doc[at]):
-            row = b.lo + d
-            if not valid[row]:
-                continue
-            mine = t.doc[at] == d
-            place, late = at[mine] - begin[d], later[mine]
-            words = b.text(d).split()
-            found.append((row, words, place, late))
-            starts = place[late]
-            if len(starts):
-                cuts = np.flatnonzero(np.diff(starts) > 1)
-                for a, z in zip(starts[np.append(0, cuts + 1)], starts[np.append(cuts, len(starts) - 1)], strict=True):
-                    phrases.add(b" " + b" ".join(words[a : z + window]) + b" ")
-    keep: list = [None] * len(ids)
-    if phrases:
-        found = [f for f in found if f[3].any()]
-        located = [np.zeros(len(words) + 1, np.int32) for _, words, _, _ in found]
-        lines = [b" " + b" ".join(words) + b" " for _, words, _, _ in found]
-        for a in automata(phrases):
-            for line, depth, (_, words, _, _) in zip(lines, located, found, strict=True):
-                spots = np.array(list(occurrences(a, line)), np.int64).reshape(-1, 2)
-                if len(spots):
-                    edges = np.concatenate([[0], np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)])
-                    begin = np.searchsorted(edges, spots[:, 0])
-                    np.add.at(depth, begin, 1)
-                    np.add.at(depth, begin + spots[:, 1], -1)
-        for (row, words, place, late), depth in zip(found, located, strict=True):
-            keep[row] = ~((np.cumsum(depth)[:-1] > 0) & _covered(len(words), place[late], window))
-    return count, keep
-
-
-def strip(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
+def common(a: bytes, b: bytes, least: int) -> int:
+    """The length of the longest common beginning; so many bytes are known to be equal."""
+    most = min(len(a), len(b))
+    if a[:most] == b[:most]:
+        return most
+    while most - least > 1:
+        middle = (least + most) // 2
+        if a[least:middle] == b[least:middle]:
+            least = middle
+        else:
+            most = middle
+    return least
+
+
+def around(line: bytes, p: int, passage: bytes, o: int, size: int) -> tuple[int, int]:
+    """The longest stretch of whole words, with the spaces around it, that is equal in both and contains the ``size``
+    bytes that stand at p of the line and at o of the passage: where it begins and ends in the line."""
+    right = common(line[p : p + len(passage) - o], passage[o:], size)
+    left = common(line[max(0, p - o) : p + 1][::-1], passage[max(0, o - p) : o + 1][::-1], 1)
+    return line.find(b" ", p + 1 - left), line.rfind(b" ", 0, p + right) + 1
+
+
+def located(line: bytes, doc_id: int, a: ahocorasick.Automaton, passages: list[bytes], holders: list[int], window: int) -> list[tuple[int, int]]:
+    """Stretches of a line, of a window's number of words at least, that also stand in a passage of an earlier document."""
+    out, done = [], {}
+    for end, (size, where) in a.iter(line.decode("latin-1")):
+        p = end - size + 1
+        for i, o in where:
+            if holders[i] < doc_id and done.get((i, p - o), 0) <= p:
+                begin, stop = around(line, p, passages[i], o, size)
+                done[i, p - o] = stop - 1
+                if line.count(b" ", begin, stop) > window:
+                    out.append((begin, stop))
+    return out
+
+
+def strip_shard(lines: list[bytes], ids: list[int], passages: list[bytes], holders: list[int], window: int, limit: int = AUTOMATON_BYTES) -> list:
+    """For each line None, or which of its words stay."""
+    depth: dict[int, np.ndarray] = {}
+    spaces: dict[int, np.ndarray] = {}
+    for a in automata(passages, (window + 1) // 2, limit):
+        for k, (line, doc_id) in enumerate(zip(lines, ids, strict=True)):
+            if spans := located(line, doc_id, a, passages, holders, window):
+                if k not in depth:
+                    spaces[k] = np.flatnonzero(np.frombuffer(line, np.uint8) == 32)
+                    depth[k] = np.zeros(len(spaces[k]), np.int64)
+                begin, stop = np.array(spans).T
+                np.add.at(depth[k], np.searchsorted(spaces[k], begin), 1)
+                np.add.at(depth[k], np.searchsorted(spaces[k], stop - 1), -1)
+    return [np.cumsum(depth[k])[:-1] == 0 if k in depth else None for k in range(len(lines))]
+
+
+def digest(table: pa.Table, names: list[str], keep: list | None = None) -> pa.Table:
+    """The columns of a table with the words left in ``text``, and what the operator adds."""
+    new, count, gone, sha = [], [], [], []
+    for i, text in enumerate(table.column("text")):
+        whole = raw(text)
+        words = whole.split()
+        left = words if keep is None or keep[i] is None else list(compress(words, keep[i].tolist()))
+        count.append(len(words))
+        gone.append(len(words) - len(left))
+        line = b" ".join(left)
+        sha.append(hashlib.sha256(line).hexdigest())
+        new.append((line if gone[-1] else whole) if text.is_valid else None)
+    cols = {c: table.column(c) for c in names} | {"text": pa.array(new, pa.binary()).cast(pa.string())}
+    return pa.table(cols | {"n_words": pa.array(count, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
+
+
+def strip(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, shard_rows: int = SHARD_ROWS, mask: int = 2**64 - 1) -> DataFrame:
     """The operator: the columns of docs, with ``text`` less the words removed (those left joined by single spaces) where
-    there are any, and ``n_words``, ``n_removed`` and ``kept_sha256`` of the words left, joined by single spaces."""
+    there are any, and ``n_words``, ``n_removed`` and ``kept_sha256`` of the words left, joined by single spaces.
+    mask: the bits of a window's first key that count."""
     ship(docs.sparkSession)
     docs = docs.drop("n_words", "n_removed", "kept_sha256")
-    n = max(1, math.ceil(docs.count() / SHARD_ROWS))
-    shard = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.xxhash64("text"))), F.lit(n)).cast("int")
-    sharded = docs.withColumn("__shard", shard)
-    found = anchors(sharded, window, anchor)
+    rows, size = docs.agg(F.count("doc_id"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    n = max(1, math.ceil(rows / shard_rows), math.ceil(size / SHARD_BYTES))
+    shard = "__shard"
+    while shard in docs.columns:
+        shard += "_"
+    named = docs.where(F.col("doc_id").isNotNull())
+    sharded = named.withColumn(shard, F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
+    found = anchors(sharded, shard, window, anchor)
     ends = found.groupBy("m").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"))
-    recurring = cut(ends.where(F.col("a") < F.col("z")).select("m", "a"), "anchors", settle=True)
-    in_shard = found.join(recurring, "m").groupBy("__shard", "m").agg(F.min("a").alias("a"))
-    held = cut(windows(sharded, in_shard, window, anchor), "windows", settle=True)
-    ends = held.groupBy("wh", "wx").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
-    firsts = cut(ends.where(F.col("first") < F.col("last")).select("wh", "wx", "first"), "first-holders", settle=True)
-    # a shard needs a window only if one of its documents comes after the first holder
-    known = held.join(firsts, ["wh", "wx"]).where(F.col("first") < F.col("doc_id"))
-    known = cut(known.groupBy("__shard", "wh").agg(F.min("first").alias("first")), "shard-windows", settle=True)
+    recurring = cut(ends.where(F.col("a") < F.col("z")).select("m", "a"), "anchors")
+    # no aggregate on top of the joins, so that the rows of one anchor, window or piece can be split among tasks
+    in_shard = found.join(recurring, "m").select("shard", "m", "a")
+    held = cut(windows(sharded, shard, in_shard, window, anchor, mask), "windows")
+    keys, pieces = held.where(F.col("wh").isNotNull()), held.where(F.col("wh").isNull())
+    ends = keys.groupBy("wh", "wx").agg(F.min("doc_id").alias("first"), F.min_by("pid", "doc_id").alias("from"), F.max("doc_id").alias("last"))
+    firsts = cut(ends.where(F.col("first") < F.col("last")).select("wh", "wx", "first", "from"), "first-holders")
+    due = keys.join(firsts, ["wh", "wx"]).where(F.col("first") < F.col("doc_id")).select(F.col("from").alias("pid"), "shard").distinct()
+    sent = due.join(pieces.select("pid", F.col("doc_id").alias("holder"), "passage"), "pid")
+    sent = cut(sent.select("shard", "holder", "passage"), "passages")
     release(recurring, held, firsts)
     schema = docs.select(
         *docs.columns,
@@ -271,28 +345,19 @@ def strip(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> DataFr
     names = docs.columns
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        wh = right.column("wh").to_numpy().view(T.U)
-        order = np.argsort(wh)
-        ids, valid = _ids(left)
-        texts = left.column("text").combine_chunks()
-        texts = texts if isinstance(texts, pa.Array) else pa.concat_arrays(texts.chunks) if texts.num_chunks else pa.array([], pa.string())
-        count, keep = strip_shard(texts, ids, valid, wh[order], right.column("first").to_numpy()[order], window)
-        new, gone, sha = [], np.zeros(len(ids), np.int64), []
-        for i, text in enumerate(texts):
-            raw = text.as_buffer().to_pybytes() if text.is_valid else b""
-            words = raw.split()
-            if keep[i] is None:
-                new.append(raw if text.is_valid else None)
-                sha.append(hashlib.sha256(b" ".join(words)).hexdigest())
-            else:
-                left_ = b" ".join(compress(words, keep[i].tolist()))
-                gone[i] = int(len(words) - keep[i].sum())
-                new.append(left_)
-                sha.append(hashlib.sha256(left_).hexdigest())
-        cols = {c: left.column(c) for c in names} | {"text": pa.array(new, pa.binary()).cast(pa.string())}
-        return pa.table(cols | {"n_words": count, "n_removed": gone, "kept_sha256": pa.array(sha, pa.string())})
-
-    return sharded.groupBy("__shard").cogroup(known.groupBy("__shard")).applyInArrow(run, schema)
+        keep = None
+        if left.num_rows and right.num_rows:
+            lines = [line_of(raw(x)) for x in left.column("text")]
+            passages = [raw(x) for x in right.column("passage")]
+            keep = strip_shard(lines, left.column("doc_id").to_pylist(), passages, right.column("holder").to_pylist(), window)
+        return digest(left, names, keep)
+
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from digest(pa.table(batch), names).to_batches()
+
+    out = sharded.groupBy(shard).cogroup(sent.groupBy("shard")).applyInArrow(run, schema)
+    return out.unionByName(map_arrow(docs.where(F.col("doc_id").isNull()), plain, schema))
 
 
 def op2(docs: DataFrame) -> DataFrame:
@@ -307,6 +372,5 @@ def cleaned(docs: DataFrame) -> DataFrame:
     return out.select(*docs.columns)
 
 
-
 def query(spark, sf_dir: str) -> DataFrame:
     return op2(documents(spark, sf_dir))

@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from polyhop.llm import _text as T
@@ -63,26 +64,51 @@ def _texts():
     return [(r[0], r[1] or "") for r in _rows()]
 
 
-def test_op1(docs, none):
-    got = fingerprints.op1(docs).collect()
-    texts = _texts()
-    assert len(got) == len(texts)
-    ids = {}
-    for i, t in texts:
-        ids.setdefault(i, t)
-    unique = [i for i in sorted((i for i in ids if i is not None), reverse=True) if i != 5]
-    by = {r.doc_id: r for r in got}
-    for a, b in itertools.pairwise(unique):
-        if b == 4 and a == 6 or a == 0:
-            continue
-        n = len(ids[a]) // 3
-        edited = ids[a][: len(ids[a]) - n] + ids[b][:n]
-        assert by[a].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
-        assert by[a].n_chars == len(ids[a])
-    assert by[80].fingerprint == by[81].fingerprint and by[81].near_next == 1.0
-    assert by[91].fingerprint == "" and 0 <= by[97].near_edited <= 1
-    assert abs(by[97].n_shingles - 2996) < 900
+def _chain(values, seed=42):
+    """Spark's xxhash64 of several longs or strings."""
+    for v in values:
+        data = v.encode() if isinstance(v, str) else (v % 2**64).to_bytes(8, "little")
+        seed = xxhash.xxh64_intdigest(data, seed % 2**64)
+    return seed - 2**64 if seed >= 2**63 else seed
+
+
+def _sketch(text):
+    h = [_chain([w]) for w in WORD.findall(text)]
+    runs = [_chain(h[i : i + 5]) for i in range(len(h) - 4)] if len(h) >= 5 else [_chain(h)] if h else []
+    return sorted(set(runs))[:128]
+
+
+def _near(a, b):
+    low = sorted(set(a) | set(b))[:128]
+    return len(set(low) & set(a) & set(b)) / len(low) if low else 1.0
+
+
+def _hex(sketch):
+    return "".join(f"{x % 2**64:016x}" for x in sketch)
+
+
+@pytest.mark.parametrize("slice_rows", [1024, 9, 1])
+def test_op1(spark, docs, slice_rows):
+    """Whole rows, with ids that many rows share and null ids, however the order is sliced."""
+    many = spark.createDataFrame([(50, f"shared {i} " * 4) for i in range(40)] + [(None, f"null {i}") for i in range(30)], "doc_id bigint, text string")
+    rows = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").union(many).collect()]
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, _chain([r[1]])), reverse=True)
+    want = collections.Counter()
+    for (i, t), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
+        edited = t[: len(t) - len(t) // 3] + after[: len(t) // 3]
+        own, new, following = _sketch(t), _sketch(edited), _sketch(after)
+        want[i, len(t), hashlib.sha256(edited.encode()).hexdigest(), _hex(own), _hex(new), _near(own, new), _near(own, following)] += 1
+    got = fingerprints.op1(docs.select("doc_id", "text").union(many), slice_rows).drop("n_shingles").collect()
+    assert collections.Counter(map(tuple, got)) == want
+
+
+def test_op1_small_tables(spark, docs, none):
+    got = {r.doc_id: r for r in fingerprints.op1(docs).collect()}
+    assert got[80].fingerprint == got[81].fingerprint and got[81].near_next == 1.0 and got[91].fingerprint == ""
+    assert abs(got[97].n_shingles - 2996) < 900
     assert fingerprints.op1(none).count() == 0
+    one = fingerprints.op1(spark.createDataFrame([(1, "a b c")], "doc_id bigint, text string")).first()
+    assert one.edited_sha256 == hashlib.sha256(b"a b a").hexdigest() and one.near_next == 1.0
 
 
 def test_sketches_merge_and_compare(spark):
@@ -98,34 +124,94 @@ def test_sketches_merge_and_compare(spark):
     assert abs(r.r - 0.5) < 0.15 and r.c > 0.7 and r.t == b
 
 
-def test_op2(docs, none):
-    texts, first = _texts(), {}
-    for i, t in texts:
+def _passages(rows):
+    """(doc_id, words, removed, sha256 of those kept) as the contract has it."""
+    first = {}
+    for i, t in rows:
         w = WORD.findall(t)
         for s in range(len(w) - 12) if i is not None else ():
             k = tuple(w[s : s + 13])
             first[k] = min(first.get(k, i), i)
-    want = collections.Counter()
-    for i, t in texts:
+    out = []
+    for i, t in rows:
         w = WORD.findall(t)
         gone = [False] * len(w)
         for s in range(len(w) - 12) if i is not None else ():
             if first[tuple(w[s : s + 13])] < i:
                 gone[s : s + 13] = [True] * 13
         kept = [x for x, g in zip(w, gone, strict=True) if not g]
-        want[i, len(w), len(w) - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest()] += 1
-    assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in passages.op2(docs).collect()) == want
+        out.append((i, len(w), len(w) - len(kept), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
+    return out
+
+
+def test_op2(docs, none):
+    got = [(r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in passages.op2(docs).collect()]
+    assert collections.Counter(got) == collections.Counter(_passages(_texts()))
     assert passages.op2(none).count() == 0
     out = passages.cleaned(docs)
     assert out.columns == docs.columns and out.where("shard = 3").count() == 101
 
 
-def test_automata_are_bounded():
-    phrases = {b" " + b" ".join(b"%d" % (i * j) for j in range(1, 40)) + b" " for i in range(50)}
-    some = list(passages.automata(phrases, 1000))
+def _shared_texts():
+    """Copies, copies with a word changed, passages in other places and of other spacing, periodic texts, long ones with
+    parts of many others, ids that different texts share."""
+    r = random.Random(8)
+    text = lambda n: [f"v{r.randrange(900)}" for _ in range(n)]
+    known = [text(r.randint(13, 300)) for _ in range(12)]
+    rows = [(100 + i, " ".join(x)) for i, x in enumerate(known)]
+    for i in range(90):
+        words = text(r.randint(0, 20))
+        for _ in range(r.randint(0, 4)):
+            x = r.choice(known)
+            a = r.randrange(len(x))
+            words += x[a : a + r.choice((12, 13, 14, 40, 200))] + text(r.randint(0, 3))
+        rows.append((r.randrange(60, 300), r.choice((" ", "  ", "\n")).join(words)))
+    rows += [(i, " ".join(known[i % 3])) for i in range(20, 50)] + [(i, " ".join(["a", "b", "c"] * i)) for i in range(8, 14)]
+    rows += [(400 + i, " ".join(sum(known, [])[i:])) for i in range(3)] + [(400, "x y " * 9), (None, " ".join(known[0])), (7, None)]
+    return rows
+
+
+@pytest.mark.parametrize("shard_rows", [256, 4, 1])
+def test_op2_across_shards(spark, shard_rows):
+    rows = _shared_texts()
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    got = passages.strip(df, shard_rows=shard_rows)
+    want = _passages([(i, t or "") for i, t in rows])
+    assert collections.Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == collections.Counter(want)
+    assert sum(r[2] for r in want) > 3000
+
+
+def test_op2_keys_take_no_word_away(spark):
+    """With keys of three bits almost every window collides: nothing that isn't equal text goes."""
+    rows = [(i, t or "") for i, t in _shared_texts()]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    most = {}
+    for i, n, gone, _ in _passages(rows):
+        most.setdefault((i, n), []).append(gone)
+    got = passages.strip(df, shard_rows=8, mask=7).collect()
+    assert all(r.n_removed <= max(most[r.doc_id, r.n_words]) for r in got) and sum(r.n_removed for r in got) > 100
+
+
+def test_automata_decide(spark, monkeypatch):
+    """Without what they locate nothing goes, and their number doesn't change what goes."""
+    texts = [x for x in _shared_texts() if x[0] is not None]
+    lines, ids = [passages.line_of((t or "").encode()) for _, t in texts], [i for i, _ in texts]
+    pieces, holders = [lines[k] for k in range(12)], ids[:12]
+    one = passages.strip_shard(lines, ids, pieces, holders, 13)
+    many = passages.strip_shard(lines, ids, pieces, holders, 13, 300)
+    assert sum(k is not None for k in one) > 30
+    assert all((a is None) == (b is None) and (a is None or (a == b).all()) for a, b in zip(one, many, strict=True))
+    some = list(passages.automata(pieces, 7, 1000))
     assert len(some) > 5
-    line = b" a" + sorted(phrases)[3] + b"b "
-    assert sum(len(list(passages.occurrences(a, line))) for a in some) == 1
+    monkeypatch.setattr(passages, "automata", lambda *_: iter(()))
+    assert all(k is None for k in passages.strip_shard(lines, ids, pieces, holders, 13))
+
+
+def test_stretches_around_an_occurrence():
+    line, passage = b" q a bb c d ee x ", b" zq a bb c d e "
+    p, o = line.index(b" c "), passage.index(b" c ")
+    assert passages.around(line, p, passage, o, 3) == (line.index(b" a "), line.index(b" ee ") + 1)
+    assert passages.around(b" a b ", 0, b" a b ", 0, 3) == (0, 5)
 
 
 def test_op3(docs, none):
@@ -390,6 +476,62 @@ def test_op7_digests_what_the_shuffle_gives(docs, monkeypatch):
     assert sharding.buckets_for(per * sharding.CELL_ROWS, 0) == 1 and sharding.buckets_for(1000, 9 * per * sharding.CELL_BYTES) == 9
 
 
+def test_op7_many_equal_rows(spark):
+    """Equal rows, null ones too, in handfuls: no cell holds them all, the order doesn't depend on the partitions."""
+    rows = [(None, None)] * 3000 + [(1, "same")] * 2000 + [(i, f"t{i}") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sharding.op7(df.repartition(5)).collect()
+    assert collections.Counter((r.doc_id, r["size"]) for r in got) == collections.Counter((i, len(t or "") + 1) for i, t in rows)
+    slots = collections.defaultdict(list)
+    for r in got:
+        slots[r.shard].append(r.slot)
+    assert all(sorted(x) == list(range(len(x))) for x in slots.values()) and max(map(len, slots.values())) - min(map(len, slots.values())) <= 1
+    order = lambda x: sorted((r.shard, r.slot, r.doc_id is None, r.doc_id or 0) for r in x)
+    assert order(got) == order(sharding.op7(df.repartition(2)).collect())
+    by_rank = [x[3] for x in sorted((r.slot, r.shard, r.doc_id is None, r.doc_id or 0) for r in got)]
+    assert 200 < sum(x == 1 for x in by_rank[:1375]) < 800  # a quarter of the order holds about a quarter of the 2000
+
+
+def test_shards_written_and_read(spark, docs, tmp_path):
+    """One folder a shard, read back in slot order as the plain shuffle has it."""
+    out = sharding.shuffle(docs.select("doc_id", "text"), ["doc_id", "text"], shards=4)
+    sharding.write(out, str(tmp_path / "shards"))
+    want = collections.defaultdict(list)
+    for r in sorted(out.collect(), key=lambda r: (r.shard, r.slot)):
+        want[r.shard].append((r.slot, r.doc_id, r.text))
+    for k in range(4):
+        got = spark.read.parquet(str(tmp_path / "shards" / f"shard={k}")).collect()
+        assert sorted((r.slot, r.doc_id, r.text) for r in got) == want[k]
+
+
+def test_fisher_yates_is_uniform(spark):
+    """Against a fold in plain Python, and evenly over the orders of three."""
+    got = spark.range(3000).select("id", sharding.fisher_yates(F.lit(3), 1, F.col("id")).alias("p"), sharding.fisher_yates(F.lit(9), 2, F.col("id")).alias("q")).collect()
+    seen = collections.Counter(tuple(r.p) for r in got)
+    assert len(seen) == 6 and min(seen.values()) > 400
+    for r in got[:50]:
+        want = list(range(9))
+        for i in range(8, 0, -1):
+            j = _draws(2, r.id, i) % (i + 1)
+            want[i], want[j] = want[j], want[i]
+        assert r.q == want
+
+
+def _draws(seed, number, i):
+    """xxhash64 of an int, a long and an int."""
+    h = xxhash.xxh64_intdigest
+    seed_ = _xx_int(seed, 42)
+    return _signed(_xx_int(i, h((number % 2**64).to_bytes(8, "little"), seed_)))
+
+
+def _xx_int(v, seed):
+    return xxhash.xxh64_intdigest((v % 2**32).to_bytes(4, "little"), seed)
+
+
+def _signed(x):
+    return x - 2**64 if x >= 2**63 else x
+
+
 def test_op7_cells_by_bytes(docs, monkeypatch):
     monkeypatch.setattr(sharding, "CELL_BYTES", 16)
     many = sharding.buckets_for(1, docs.selectExpr("sum(octet_length(text))").first()[0])
