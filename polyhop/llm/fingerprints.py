@@ -10,6 +10,7 @@ at all. Equal texts have equal sketches. Columns that the operator adds replace
 
 from __future__ import annotations
 
+import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,7 +20,7 @@ from ._tables import whole, words
 
 K = 128
 WIDTH = 5
-#: Rows that one slice of the doc_id order should hold, and the most slices there are.
+#: Rows that one slice of the doc_id order should hold, and the most slices there are: beyond, slices grow and spill.
 SLICE_ROWS = 1024
 MAX_SLICES = 65_536
 _FAN = 256
@@ -89,31 +90,43 @@ def _slice_of(key: Column, cuts: list[int]) -> Column:
     return F.when(key.isNull(), F.lit(-1)).otherwise(jump + F.size(F.filter(near, lambda c: c <= key)))
 
 
-def with_next(df: DataFrame, key: str, carry: dict[str, str], tie: str) -> DataFrame:
-    """Adds to each row columns of the next one in descending key order (nulls last; equal keys by tie; after the last
-    row comes the first). The order is cut into slices at quantiles of the key, and the first row of each slice is also
-    sent to the slice above it, so that one shuffle and one bounded window a slice suffice.
+def with_next(df: DataFrame, key: str, carry: dict[str, str], tie: str, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Adds to each row columns of the next one in descending key order (nulls last; equal keys by descending tie, a
+    64-bit hash; after the last row comes the first). The order is cut into slices at quantiles of the key, a key of many
+    rows and the null key also by their ties; and the first row of each slice is also sent to the slice above it, so that
+    one shuffle and a window a slice suffice. A window reads its rows in order and spills, so a slice may outgrow memory.
 
     carry: {column: name for the next row's value}."""
-    count = df.count()
-    slices = max(1, min(MAX_SLICES, math.ceil(count / SLICE_ROWS)))
-    cuts: list[int] = []
+    spark, count = df.sparkSession, df.count()
+    slices = max(1, min(MAX_SLICES, math.ceil(count / slice_rows)))
+    cuts: set[int] = set()
     if slices > 1:
         at = [i / slices for i in range(1, slices)]
-        row = df.agg(F.percentile_approx(key, at, 20_000)).first()
-        cuts = sorted(set(row[0] or []))
-    df = df.withColumn("__slice", _slice_of(F.col(key), cuts))
-    # at most MAX_SLICES + 1 rows of three numbers
-    heads = df.groupBy("__slice").agg(F.max(key).alias("__head")).orderBy(F.col("__slice").desc()).collect()
-    up = [(heads[i]["__head"], heads[i - 1]["__slice"]) for i in range(len(heads))]  # the first head goes to the last slice
-    to = df.sparkSession.createDataFrame(up or [(None, 0)], "__head bigint, __to int")
-    ghost = df.join(F.broadcast(to), F.col(key).eqNullSafe(F.col("__head")), "left").drop("__head")
-    places = F.array(F.struct(F.col("__slice").alias("at"), F.lit(0).alias("ghost")), F.struct(F.col("__to").alias("at"), F.lit(1).alias("ghost")))
-    rows = ghost.withColumn("__p", F.explode(F.filter(places, lambda p: p["at"].isNotNull())))
-    rows = rows.withColumn("__at", F.col("__p.at")).withColumn("__ghost", F.col("__p.ghost")).drop("__p", "__slice", "__to")
-    w = Window.partitionBy("__at").orderBy(F.col("__ghost"), F.col(key).desc_nulls_last(), F.col(tie).desc())
+        found = df.agg(F.percentile_approx(key, at, max(20_000, 4 * slices))).first()[0] or []
+        often = {a for a, b in itertools.pairwise(found) if a == b and a < 2**63 - 1}
+        cuts = set(found) | {a + 1 for a in often}  # a key of many rows has a slice of its own
+    s, sub, ghost = "__slice", "__sub", "__ghost"
+    df = df.withColumn(s, _slice_of(F.col(key), sorted(cuts)))
+    # at most 2 MAX_SLICES + 1 rows of numbers
+    seen = df.groupBy(s).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("a"), F.max(key).alias("z")).collect()
+    parts = [(r[s], min(MAX_SLICES, math.ceil(r["n"] / slice_rows))) for r in seen if r["a"] == r["z"] and r["n"] > 2 * slice_rows]
+    share = F.col(tie) / F.lit(2.0**64) + F.lit(0.5)
+    if parts:
+        hot = spark.createDataFrame(parts, "__slice int, __parts int")
+        df = df.join(F.broadcast(hot), s, "left").withColumn(sub, F.coalesce(F.floor(share * F.col("__parts")), F.lit(0)).cast("int")).drop("__parts")
+    else:
+        df = df.withColumn(sub, F.lit(0))
+    heads = df.groupBy(s, sub).agg(F.max(F.struct(key, tie)).alias("head")).orderBy(F.col(s).desc(), F.col(sub).desc()).collect()
+    # a slice's first row also closes the slice above; the first of all closes the last
+    up = [(r["head"][key], r["head"][tie], heads[i - 1][s], heads[i - 1][sub]) for i, r in enumerate(heads)]
+    to = spark.createDataFrame(up or [(None, None, 0, 0)], "__key bigint, __tie bigint, __to int, __tosub int")
+    rows = df.join(F.broadcast(to), F.col(key).eqNullSafe(F.col("__key")) & (F.col(tie) == F.col("__tie")), "left").drop("__key", "__tie")
+    places = F.array(F.struct(F.col(s).alias("at"), F.col(sub).alias("sub"), F.lit(0).alias("ghost")), F.struct(F.col("__to").alias("at"), F.col("__tosub").alias("sub"), F.lit(1).alias("ghost")))
+    rows = rows.withColumn("__p", F.explode(F.filter(places, lambda p: p["at"].isNotNull()))).drop(s, sub, "__to", "__tosub")
+    rows = rows.withColumns({s: F.col("__p.at"), sub: F.col("__p.sub"), ghost: F.col("__p.ghost")}).drop("__p")
+    w = Window.partitionBy(s, sub).orderBy(F.col(ghost), F.col(key).desc_nulls_last(), F.col(tie).desc())
     rows = rows.withColumns({name: F.lead(column).over(w) for column, name in carry.items()})
-    return rows.where(F.col("__ghost") == 0).drop("__at", "__ghost")
+    return rows.where(F.col(ghost) == 0).drop(s, sub, ghost)
 
 
 def fingerprint(df: DataFrame, text: str = "text", to: str = "sketch", k: int = K, width: int = WIDTH) -> DataFrame:
@@ -121,11 +134,11 @@ def fingerprint(df: DataFrame, text: str = "text", to: str = "sketch", k: int =
     return with_sketch(df, text, to, k, width)
 
 
-def op1(docs: DataFrame) -> DataFrame:
+def op1(docs: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """The contract's digest: each document, an edited form of it, and the next document in descending doc_id."""
     base = fingerprint(docs.select("doc_id", whole(F.col("text")).alias("text")), "text", "fp")
     base = base.withColumn("tie", F.xxhash64("text"))
-    near = with_next(base, "doc_id", {"text": "next_text", "fp": "next_fp"}, "tie")
+    near = with_next(base, "doc_id", {"text": "next_text", "fp": "next_fp"}, "tie", slice_rows)
     near = near.withColumn("n_chars", F.length("text").cast("bigint"))
     gone = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), F.col("n_chars").cast("int") - gone), F.substring(F.col("next_text"), F.lit(1), gone))
