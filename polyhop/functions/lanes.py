@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 Lanes = list[Column]
 BINARY = {
-    "set": lambda a, b: b, "add": lambda a, b: a + b, "mul": lambda a, b: a * b, "div": lambda a, b: a / b,
-    "min": F.least, "max": F.greatest, "or": lambda a, b: a | b, "andnot": lambda a, b: a & ~b,
-    "gt": lambda a, b: a > b, "lt": lambda a, b: a < b, "neq": lambda a, b: a != b,
+    "set": lambda a, b: b, "add": lambda a, b: a + b, "sub": lambda a, b: a - b, "mul": lambda a, b: a * b, "div": lambda a, b: a / b,
+    "min": F.least, "max": F.greatest, "or": lambda a, b: a | b, "and": lambda a, b: a & b, "andnot": lambda a, b: a & ~b,
+    "gt": lambda a, b: a > b, "ge": lambda a, b: a >= b, "lt": lambda a, b: a < b, "le": lambda a, b: a <= b,
+    "eq": lambda a, b: a == b, "neq": lambda a, b: a != b,
+    "bit_or": Column.bitwiseOR, "bit_and": Column.bitwiseAND, "bit_xor": Column.bitwiseXOR,
 }
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..plans.bsp import COMBINE
 from ..sources.graph import Direction, Graph
+from ..tables import laid
 
 
 def transform_vertices(graph: Graph, columns: dict[str, Column], vset: DataFrame | None = None) -> Graph:
@@ -200,3 +201,17 @@ def adjacency_lines(graph: Graph, weight: str | None = None) -> DataFrame:
 def neighbor_info(graph: Graph, columns: list[str]) -> DataFrame:
     """Edges with what their targets say."""
     return graph.edges.join(graph.vertices.select(F.col("id").alias("dst"), *[F.col(c).alias(f"dst_{c}") for c in columns]), "dst")
+
+
+class Index:
+    """Vertices by a column of theirs, laid out by it once."""
+
+    def __init__(self, vertices: DataFrame, column: str):
+        self.column = column
+        self.table = laid(vertices.select(column, "id"), column, deal=True)
+
+    def lookup(self, keys: list | DataFrame) -> DataFrame:
+        """(key, id) of the vertices with these keys: a list, or a frame with the column."""
+        if isinstance(keys, DataFrame):
+            return self.table.join(keys.select(self.column).distinct(), self.column, "left_semi")
+        return self.table.where(F.col(self.column).isin(keys))

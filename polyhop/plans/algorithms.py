@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.spread import RANGE, spread
 from ..sources.graph import Direction, Graph
 from ..tables import cut, release
 from .bsp import Result, VertexProgram, run
@@ -60,9 +62,10 @@ def _way(directed: bool) -> Direction:
 
 def proper_coloring(graph: Graph, max_iterations: int = 1000) -> Result:
     """A valid colouring: in each round the uncoloured vertices of the smallest hash among uncoloured neighbours take the
-    lowest colour free around them. (id, color bit)"""
+    lowest colour free around them. (id, color bit) A vertex whose neighbours have 63 colours ends the run with an
+    overflow error; a vertex has at most one more colour than neighbours."""
     pairs = cut(graph.undirected().edges)
-    order = lambda c: F.struct(F.xxhash64(c), F.col(c))
+    order = lambda c: F.struct(spread(c, 0), F.col(c))
     state = cut(graph.vertices.select("id", F.lit(None).cast("bigint").alias("color")))
     for step in range(max_iterations):
         if state.where(F.col("color").isNull()).isEmpty():
@@ -114,19 +117,25 @@ def components(graph: Graph, max_iterations: int = 100) -> Result:
 def toposort(graph: Graph, max_iterations: int = 10_000) -> DataFrame:
     """(id, level), the longest path from a vertex without in-edges; raises if there is a cycle or if vertices are left
     after max_iterations levels."""
-    left, edges, done, level = cut(graph.vertices.select("id")), cut(graph.edges.select("src", "dst").distinct()), None, 0
-    while level < max_iterations and not left.isEmpty():
-        free = cut(left.join(edges.select(F.col("dst").alias("id")), "id", "left_anti"))
+    left, edges, level = cut(graph.vertices.select("id")), cut(graph.edges.select("src", "dst").distinct()), 0
+    done, layers = cut(left.select("id", F.lit(0).cast("bigint").alias("level")).limit(0)), []
+    while not left.isEmpty():
+        if level == max_iterations:
+            raise ValueError(f"vertices are left after {max_iterations} levels")
+        free = cut(left.join(edges.select(F.col("dst").alias("id")), "id", "left_anti").withColumn("level", F.lit(level).cast("bigint")))
         if free.isEmpty():
             raise ValueError("the graph has a cycle")
-        layer = free.withColumn("level", F.lit(level).cast("bigint"))
-        done = layer if done is None else done.union(layer)
+        layers.append(free)
+        before = left, edges
         left = cut(left.join(free, "id", "left_anti"))
         edges = cut(edges.join(free.select(F.col("id").alias("src")), "src", "left_anti"))
+        release(*before)
         level += 1
-    if not left.isEmpty():
-        raise ValueError(f"vertices are left after {max_iterations} levels")
-    return done if done is not None else graph.vertices.select("id", F.lit(0).cast("bigint").alias("level")).limit(0)
+        if len(layers) == 16 or left.isEmpty():  # a plan of few tables
+            before = [done, *layers]
+            done, layers = cut(reduce(DataFrame.union, before)), []
+            release(*before)
+    return done
 
 
 # matrix factorisation by gradient steps
@@ -176,21 +185,31 @@ def voronoi(graph: Graph, rate: float = 0.01, growth: float = 2.0, max_hops: int
     left after the rounds forms components."""
     pairs = cut(graph.undirected().edges)
     state = cut(graph.vertices.select("id", F.lit(None).cast("bigint").alias("block")))
+
+    def step(new: DataFrame) -> None:
+        nonlocal state
+        before, state = state, cut(new)
+        release(before)
+
     for r in range(rounds):
-        share = min(1.0, rate * growth**r)
-        pick = F.pmod(F.xxhash64(F.lit(seed + r), "id"), F.lit(1 << 20)) < int(share * (1 << 20))
-        state = cut(state.select("id", F.when(F.col("block").isNull() & pick, F.col("id")).otherwise(F.col("block")).alias("block")))
+        pick = spread("id", seed + r) < int(min(1.0, rate * growth**r) * RANGE)
+        step(state.select("id", F.when(F.col("block").isNull() & pick, F.col("id")).otherwise(F.col("block")).alias("block")))
         for _ in range(max_hops):
             near = state.where(F.col("block").isNotNull()).join(pairs, F.col("id") == F.col("src"))
-            near = near.join(state.where(F.col("block").isNull()).select(F.col("id").alias("dst")), "dst", "left_semi").groupBy(F.col("dst").alias("to")).agg(F.min("block").alias("near"))
-            near = cut(near)
-            if near.isEmpty():
+            near = near.join(state.where(F.col("block").isNull()).select(F.col("id").alias("dst")), "dst", "left_semi")
+            near = cut(near.groupBy(F.col("dst").alias("to")).agg(F.min("block").alias("near")))
+            over = near.isEmpty()
+            if not over:
+                step(state.join(near, F.col("id") == F.col("to"), "left").select("id", F.coalesce("block", "near").alias("block")))
+            release(near)
+            if over:
                 break
-            state = cut(state.join(near, F.col("id") == F.col("to"), "left").select("id", F.coalesce("block", "near").alias("block")))
     rest = state.where(F.col("block").isNull()).select("id")
     inner = pairs.join(rest.select(F.col("id").alias("src")), "src", "left_semi").join(rest.select(F.col("id").alias("dst")), "dst", "left_semi")
-    labels = components(Graph(rest, inner)).df
-    return state.join(labels, "id", "left").select("id", F.coalesce("block", "label").alias("block"))
+    found = components(Graph(rest, inner), 10_000)
+    if found.status != "task_depletion":
+        raise ValueError("a component is wider than 10,000 hops")
+    return state.join(found.df, "id", "left").select("id", F.coalesce("block", "label").alias("block"))
 
 
 def assign_blocks(sizes: dict[int, int], workers: int) -> dict[int, int]:
@@ -204,15 +223,18 @@ def assign_blocks(sizes: dict[int, int], workers: int) -> dict[int, int]:
     return out
 
 
-def str_partition(points: DataFrame, xs: int, ys: int, error: float = 0.001) -> DataFrame:
-    """points (id, x, y): x-stripes at quantiles, cut at quantiles of y; adds block."""
-    cuts = points.approxQuantile("x", [i / xs for i in range(1, xs)], error) if xs > 1 else []
-    stripe = sum((F.when(F.col("x") >= c, 1).otherwise(0) for c in cuts), F.lit(0))
+def str_partition(points: DataFrame, xs: int, ys: int, accuracy: int = 100_000) -> DataFrame:
+    """points (id, x, y): x-stripes at quantiles, cut at quantiles of y; adds block. A quantile is the smallest value that
+    has its share of the points at or below it, exact on tables of up to ``accuracy`` points and within one part in so
+    many of the ranks beyond."""
+    at = lambda column, n: F.percentile_approx(column, [i / n for i in range(1, n)], accuracy)
+    cuts = points.agg(at("x", xs).alias("cuts")).first()["cuts"] or [] if xs > 1 else []
+    stripe = sum((F.when(F.col("x") > c, 1).otherwise(0) for c in cuts), F.lit(0))
     rows = points.withColumn("stripe", stripe)
     if ys > 1:
-        inner = rows.groupBy("stripe").agg(F.percentile_approx("y", [i / ys for i in range(1, ys)]).alias("ycuts"))
+        inner = rows.groupBy("stripe").agg(at("y", ys).alias("ycuts"))
         rows = rows.join(F.broadcast(inner), "stripe")  # a row a stripe
-        rows = rows.withColumn("block", F.col("stripe") * ys + F.size(F.filter("ycuts", lambda c: c <= F.col("y")))).drop("ycuts")
+        rows = rows.withColumn("block", F.col("stripe") * ys + F.size(F.filter("ycuts", lambda c: c < F.col("y")))).drop("ycuts")
     else:
         rows = rows.withColumn("block", F.col("stripe"))
     return rows.drop("stripe")

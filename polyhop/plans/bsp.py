@@ -12,7 +12,8 @@ driver loop runs it in one of three plans:
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -20,13 +21,16 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..sources.graph import Direction, Graph
-from ..tables import bucketed, cut, release
+from ..tables import bucketed, cut, laid, release, unlaid
 
 COMBINE: dict[str, Callable[[Column], Column]] = {
     "min": F.min, "max": F.max, "sum": F.sum, "product": F.product, "bit_or": F.bit_or, "or": F.bool_or, "and": F.bool_and,
 }
 IDEMPOTENT = {"min", "max", "bit_or", "or", "and"}
 LANES = 32
+#: Engines and schedulers that callers may name. All are supersteps here: an order of execution has no part in a result.
+ENGINES = ("sync", "async", "plsync", "plasync")
+SCHEDULERS = ("fifo", "sweep", "priority", "queued_fifo")
 
 
 @dataclass
@@ -34,7 +38,9 @@ class VertexProgram:
     """message(value, edge): what goes along an edge, edge being a function from a column's name to it; NULL for none.
     apply(old, acc, seed): the new value; old is NULL for a vertex not reached yet, acc NULL without messages; seed
     tells the query's source. Programs with ``dense`` apply at every vertex for a number of iterations, others run on the
-    frontier until it is empty. seed: the source's value at the start; default: an absent row's value."""
+    frontier until it is empty. seed: the source's value at the start; default: an absent row's value. key(value, edge): a
+    message's secondary key; only messages of one key combine, and acc is a map from key to combined message. A vertex
+    should get few keys. Such programs run in the plans ``long`` and ``single``."""
 
     name: str
     message: Callable[[Column, Callable[[str], Column]], Column]
@@ -46,10 +52,20 @@ class VertexProgram:
     dense: bool = False
     default: Column | None = None
     degree: bool = False
+    key: Callable[[Column, Callable[[str], Column]], Column] | None = None
 
     @property
     def track_free(self) -> bool:
-        return self.dense or self.combine in IDEMPOTENT
+        return self.key is None and (self.dense or self.combine in IDEMPOTENT)
+
+    def gathered(self, sent: DataFrame) -> DataFrame:
+        """sent: a row an active row and edge. (qid, id, acc)"""
+        key = [] if self.key is None else [self.key(F.col("value"), F.col).alias("key")]
+        sent = sent.select("qid", F.col("dst").alias("id"), self.message(F.col("value"), F.col).alias("m"), *key).where(F.col("m").isNotNull())
+        got = sent.groupBy("qid", "id", *(["key"] if key else [])).agg(COMBINE[self.combine]("m").alias("acc"))
+        if key:
+            got = got.groupBy("qid", "id").agg(F.map_from_entries(F.collect_list(F.struct("key", "acc"))).alias("acc"))
+        return got
 
 
 @dataclass
@@ -57,12 +73,18 @@ class Watch:
     """What a run reports and what ends it early.
 
     timeout: seconds after which no superstep begins. stop_when: an aggregate over the state (qid, id, value, changed)
-    that ends the run. aggregates: named aggregates of each instance's state, taken after every superstep. snapshots:
-    the state goes to snapshot_path/superstep=n every ``snapshot_every`` supersteps (0: before the first one only)."""
+    that ends the run. aggregates: named aggregates of each instance's state, taken after every superstep. stop_query: of
+    an instance's aggregates, whether it ends here; the others go on. post_round(state, superstep): called after every
+    superstep; a frame that it returns replaces the state, so that it may add vertices, wake all or change values.
+    periodic(superstep): what else is due then, such as Aggregators.tick on a graph. snapshots: the state goes to
+    snapshot_path/superstep=n every ``snapshot_every`` supersteps (0: before the first one only)."""
 
     timeout: float | None = None
     stop_when: Column | None = None
     aggregates: dict[str, Column] = field(default_factory=dict)
+    stop_query: Callable[[dict], bool] | None = None
+    post_round: Callable[[DataFrame, int], DataFrame | None] | None = None
+    periodic: Callable[[int], dict] | None = None
     snapshot_every: int | None = None
     snapshot_path: str | None = None
     began: float = field(default_factory=time.monotonic)
@@ -84,8 +106,14 @@ class Watch:
         if self.aggregates:  # a row an instance
             got = state.groupBy("qid").agg(*[c.alias(k) for k, c in self.aggregates.items()]).collect()
             out["aggregates"] = {r["qid"]: {k: r[k] for k in self.aggregates} for r in got}
+        if self.periodic is not None and (due := self.periodic(step)):
+            out["periodic"] = due
         return out
 
+    def ended(self, row: dict) -> list[int]:
+        """The instances that stop_query ends."""
+        return [q for q, a in row.get("aggregates", {}).items() if self.stop_query is not None and self.stop_query(a)]
+
 
 @dataclass
 class Result:
@@ -104,6 +132,46 @@ def _edges(program: VertexProgram, graph: Graph) -> DataFrame:
     return graph.along(program.direction)
 
 
+#: Out-edges above which a vertex is a hub.
+HUB = 1 << 20
+
+
+@dataclass
+class Layout:
+    """Edges in buckets of their source. A hub's edges are dealt into parts, each in a bucket of its own, and what a hub
+    sends is copied to its parts, so that no task has all of them."""
+
+    edges: DataFrame
+    hubs: DataFrame | None = None
+
+    def sent(self, frontier: DataFrame) -> DataFrame:
+        """A row an active row and out-edge."""
+        if self.hubs is None:
+            return frontier.join(self.edges, F.col("id") == F.col("src"))
+        copies = frontier.join(self.hubs, F.col("id") == F.col("hub"), "left")
+        copies = copies.withColumn("copy", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("hub", "parts")
+        return copies.join(self.edges, (F.col("id") == F.col("src")) & (F.col("copy") == F.col("part")))
+
+
+@contextmanager
+def layout(edges: DataFrame, hub: int = HUB) -> Iterator[Layout]:
+    """The edges as a Layout for the length of a ``with`` block."""
+    with bucketed(edges, "src") as plain:
+        if plain.count() <= hub:
+            yield Layout(plain)
+            return
+        hubs = plain.groupBy("src").count().where(F.col("count") > hub)
+        hubs = cut(hubs.select(F.col("src").alias("hub"), F.ceil(F.col("count") / hub).cast("int").alias("parts")), "hubs")
+        if hubs.isEmpty():
+            yield Layout(plain)
+        else:
+            dealt = plain.join(hubs, F.col("src") == F.col("hub"), "left")
+            dealt = dealt.withColumn("part", F.pmod(F.xxhash64("dst"), F.coalesce("parts", F.lit(1))).cast("int")).drop("hub", "parts")
+            with bucketed(dealt, "src", "part") as parts:
+                yield Layout(parts, hubs)
+        release(hubs)
+
+
 def _worst(parts: list[Result]) -> str:
     return next((s for s in ("forced_abort", "timeout", "max_iterations") if any(p.status == s for p in parts)), "task_depletion")
 
@@ -111,18 +179,22 @@ def _worst(parts: list[Result]) -> str:
 def run(
     program: VertexProgram, graph: Graph, queries: DataFrame, mode: str = "long", max_iterations: int = 100,
     present_only: bool = True, stop_when: Column | None = None, watch: Watch | None = None, start: DataFrame | None = None,
+    engine: str = "sync", scheduler: str = "fifo", hub: int = HUB,
 ) -> Result:
-    """queries: (qid, source). present_only: sources that aren't vertices give no row. stop_when: as in Watch. start: a
+    """queries: (qid, source). present_only: sources that aren't vertices give no row. hub: as in layout. stop_when: as in Watch. start: a
     state (qid, id, value) to go on from with all its vertices awake, such as an earlier phase's result or a snapshot.
 
-    The edges are laid out by source once, so that a superstep shuffles only what is sent and the state."""
+    The edges are laid out by source once and the state as it is written, by instance and vertex (in lanes by vertex), so
+    that a superstep shuffles its frontier to the edges and the combined messages, in lanes the messages alone."""
+    if engine not in ENGINES or scheduler not in SCHEDULERS:
+        raise ValueError(f"no such engine or scheduler: {engine}, {scheduler}")
     watch = watch or Watch(stop_when=stop_when)
-    if mode == "lanes" and (watch.stop_when is not None or watch.aggregates or start is not None):
-        raise ValueError("lanes have no rows of instances to aggregate or start from")
+    if mode == "lanes" and (watch.stop_when is not None or watch.aggregates or watch.post_round is not None or start is not None):
+        raise ValueError("lanes have no rows of instances to aggregate, change or start from")
     if present_only:
         queries = queries.join(graph.vertices.select(F.col("id").alias("source")), "source", "left_semi").select("qid", "source")
     step = _dense if program.dense else _long
-    with bucketed(_edges(program, graph), "src") as edges:
+    with layout(_edges(program, graph), hub) as edges:
         if mode == "long":
             return step(program, edges, queries, max_iterations, watch, start)
         if mode == "single":
@@ -151,16 +223,17 @@ def _first(program: VertexProgram, queries: DataFrame, start: DataFrame | None)
 def _observed(df: DataFrame) -> tuple[DataFrame, dict]:
     """df without ``got``, written, and its changed rows and those that got messages, counted as it was written."""
     counts = Observation()
-    out = cut(df.observe(counts, F.count_if("changed").alias("active"), F.count_if("got").alias("messages")).drop("got"))
+    out = laid(df.observe(counts, F.count_if("changed").alias("active"), F.count_if("got").alias("messages")).drop("got"), "qid", "id")
     return out, counts.get
 
 
-def _long(program: VertexProgram, edges: DataFrame, queries: DataFrame, max_iterations: int, watch: Watch, start: DataFrame | None) -> Result:
-    state = cut(_first(program, queries, start).withColumn("changed", F.lit(True)))
+def _long(program: VertexProgram, edges: Layout, queries: DataFrame, max_iterations: int, watch: Watch, start: DataFrame | None) -> Result:
+    state = laid(_first(program, queries, start).withColumn("changed", F.lit(True)), "qid", "id", deal=True)
     row = {"active": state.count(), "messages": 0}
-    stats, status = [], "max_iterations"
+    stats, status, over = [], "max_iterations", []
     for step in range(max_iterations + 1):
         stats.append(watch.see(state, step, row))
+        over += [q for q in watch.ended(stats[-1]) if q not in over]
         if not row["active"]:
             status = "task_depletion"
             break
@@ -169,46 +242,59 @@ def _long(program: VertexProgram, edges: DataFrame, queries: DataFrame, max_iter
             break
         if step == max_iterations:
             break
-        sent = state.where("changed").join(edges, F.col("id") == F.col("src"))
-        sent = sent.select("qid", F.col("dst").alias("id"), program.message(F.col("value"), F.col).alias("m")).where(F.col("m").isNotNull())
-        got = sent.groupBy("qid", "id").agg(COMBINE[program.combine]("m").alias("acc"))
+        awake = state.where("changed")
+        if over:
+            awake = awake.where(~F.col("qid").isin(over))
+        got = program.gathered(edges.sent(awake))
         both = state.drop("changed").join(got, ["qid", "id"], "full")
         new = F.when(F.col("acc").isNull(), F.col("value")).otherwise(program.apply(F.col("value"), F.col("acc"), F.lit(False))).cast(program.type)
         new = both.select("qid", "id", F.col("value").alias("old"), new.alias("value"), F.col("acc").isNotNull().alias("got"))
         before = state
         state, row = _observed(new.select("qid", "id", "value", (~F.col("value").eqNullSafe(F.col("old"))).alias("changed"), "got"))
         release(before)
-    return Result(state.select("qid", "id", "value"), status, step, stats)
-
-
-def _dense(program: VertexProgram, edges: DataFrame, queries: DataFrame, iterations: int, watch: Watch, start: DataFrame | None) -> Result:
-    seeds = queries.select("qid", F.col("source").alias("id"))
-    state = cut(_first(program, queries, start))
+        if watch.post_round is not None and (new := watch.post_round(state, step + 1)) is not None:
+            before, state = state, laid(new.select("qid", "id", F.col("value").cast(program.type).alias("value"), "changed"), "qid", "id", deal=True)
+            release(before)
+            row["active"] = state.where("changed").count()
+    return Result(unlaid(state).select("qid", "id", "value"), status, step, stats)
+
+
+def _dense(program: VertexProgram, edges: Layout, queries: DataFrame, iterations: int, watch: Watch, start: DataFrame | None) -> Result:
+    """A seed's row says so, so that the state alone tells which vertices are sources."""
+    seeds = queries.select("qid", F.col("source").alias("id"), F.lit(True).alias("seed"))
+    state = _first(program, queries, start).join(seeds, ["qid", "id"], "full")
+    state = laid(state.select("qid", "id", "value", F.coalesce("seed", F.lit(False)).alias("seed")), "qid", "id", deal=True)
     stats = [watch.see(state, 0, {})]
-    for step in range(iterations):
+    status, step = "max_iterations", 0
+    for step in range(iterations + 1):
+        if step == iterations:
+            break
         if early := watch.ends(state):
-            return Result(state, early, step, stats)
-        sent = state.join(edges, F.col("id") == F.col("src"))
-        sent = sent.select("qid", F.col("dst").alias("id"), program.message(F.col("value"), F.col).alias("m"))
-        got = sent.groupBy("qid", "id").agg(COMBINE[program.combine]("m").alias("acc"))
-        both = got.join(state, ["qid", "id"], "full").join(seeds.withColumn("seed", F.lit(True)), ["qid", "id"], "left")
-        new = program.apply(F.col("value"), F.col("acc"), F.coalesce("seed", F.lit(False))).cast(program.type)
-        rows = both.select("qid", "id", new.alias("value")).where(F.col("value").isNotNull())
+            status = early
+            break
+        got = program.gathered(edges.sent(state.where(F.col("value").isNotNull())))
+        both = got.join(state, ["qid", "id"], "full")
+        seed = F.coalesce("seed", F.lit(False))
+        rows = both.select("qid", "id", program.apply(F.col("value"), F.col("acc"), seed).cast(program.type).alias("value"), seed.alias("seed"))
+        keep = F.col("value").isNotNull()
         if program.default is not None:
-            rows = rows.where(F.col("value") != program.default)
-        before, state = state, cut(rows)
+            keep = keep & (F.col("value") != program.default)
+        before, state = state, laid(rows.where(keep | F.col("seed")), "qid", "id")
         release(before)
         stats.append(watch.see(state, step + 1, {}))
-    return Result(state, "max_iterations", iterations, stats)
+    out = unlaid(state).where(F.col("value").isNotNull())
+    if program.default is not None:
+        out = out.where(F.col("value") != program.default)
+    return Result(out.select("qid", "id", "value"), status, step, stats)
 
 
-def _lanes(program: VertexProgram, graph: Graph, edges: DataFrame, ids: list[tuple[int, int]], iterations: int, watch: Watch) -> Result:
+def _lanes(program: VertexProgram, graph: Graph, edges: Layout, ids: list[tuple[int, int]], iterations: int, watch: Watch) -> Result:
     """Lane columns v0...; NULL is unreached. A vertex is active if any lane changed."""
     n, stats = len(ids), []
     lanes = [f"v{i}" for i in range(n)]
     seed = lambda i: F.col("id") == F.lit(ids[i][1])
     state = graph.vertices.select("id", *[F.when(seed(i), program.seed).cast(program.type).alias(v) for i, v in enumerate(lanes)])
-    state = cut(state.withColumn("changed", reduce(Column.__or__, [F.col(v).isNotNull() for v in lanes])))
+    state = laid(state.withColumn("changed", reduce(Column.__or__, [F.col(v).isNotNull() for v in lanes])), "id", deal=True)
     status, step = "max_iterations", 0
     for step in range(iterations + 1):
         stats.append(watch.see(state, step, {}))
@@ -220,7 +306,7 @@ def _lanes(program: VertexProgram, graph: Graph, edges: DataFrame, ids: list[tup
             break
         if step == iterations:
             break
-        sent = (state if program.dense else state.where("changed")).join(edges, F.col("id") == F.col("src"))
+        sent = edges.sent(state if program.dense else state.where("changed"))
         sent = sent.select(F.col("dst").alias("to"), *[program.message(F.col(v), F.col).alias(f"m_{v}") for v in lanes])
         got = sent.groupBy("to").agg(*[COMBINE[program.combine](f"m_{v}").alias(f"a_{v}") for v in lanes])
         both = state.join(got, F.col("id") == F.col("to"), "left")
@@ -231,10 +317,10 @@ def _lanes(program: VertexProgram, graph: Graph, edges: DataFrame, ids: list[tup
             new.append((value if program.dense else F.when(acc.isNull(), F.col(v)).otherwise(value)).cast(program.type).alias(v))
         both = both.select("id", *new, *[F.col(v).alias(f"o_{v}") for v in lanes])
         changed = reduce(Column.__or__, [~F.col(v).eqNullSafe(F.col(f"o_{v}")) for v in lanes])
-        before, state = state, cut(both.select("id", *lanes, changed.alias("changed")))
+        before, state = state, laid(both.select("id", *lanes, changed.alias("changed")), "id")
         release(before)
     cells = F.array(*[F.struct(F.lit(q).alias("qid"), F.col(v).alias("value")) for (q, _), v in zip(ids, lanes, strict=True)])
-    out = state.select("id", F.explode(cells).alias("c")).select(F.col("c.qid").alias("qid"), "id", F.col("c.value").alias("value"))
+    out = unlaid(state).select("id", F.explode(cells).alias("c")).select(F.col("c.qid").alias("qid"), "id", F.col("c.value").alias("value"))
     out = out.where(F.col("value").isNotNull())
     if program.default is not None:
         out = out.where(F.col("value") != program.default)

@@ -7,6 +7,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.spread import RANGE, spread
 from .graph import Graph
 
 ISOLATED = 2**32 - 1
@@ -47,7 +48,7 @@ def _delimited(pattern: str, skip: str | None = None, swap: bool = False, more:
     return read
 
 
-def _adjacency(weighted: bool, tab: bool):
+def _adjacency(weighted: bool):
     """``v n nb...``; vertices without neighbours stay; lines whose n doesn't match are bad."""
 
     def read(spark: SparkSession, path, failfast: bool) -> Graph:
@@ -96,9 +97,9 @@ FORMATS = {
     "msbfs": _delimited("^(\\d+).(\\d+)", "^[^0-9]"),
     "etuple": _delimited("^(\\d+).(\\d+)", "^[^0-9]"),
     "wtuple": _delimited("^(\\d+),(\\d+),(\\d+)", "^[^0-9]", more=1),
-    "adj": _adjacency(False, False),
-    "online_adj": _adjacency(False, True),
-    "online_weighted_adj": _adjacency(True, True),
+    "adj": _adjacency(False),
+    "online_adj": _adjacency(False),
+    "online_weighted_adj": _adjacency(True),
     "bintsv4": _bintsv4,
     "bin": _tables,
     "graphjrl": _tables,
@@ -149,14 +150,15 @@ def powerlaw(spark: SparkSession, n: int, alpha: float = 2.0, truncate: int = 10
     tail = (low - high) / (alpha - 1) if top > few else 0.0
     total = sum(weights) + tail
     bounds = list(accumulate(w / total for w in weights))
-    u = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 53)).cast("double") / F.lit(float(1 << 53))
-    exact = sum((F.when(u >= c, 1).otherwise(0) for c in bounds[: few - 1]), F.lit(1)).cast("bigint")
+    drawn = spark.range(n).select("id", (spread("id", seed).cast("double") / F.lit(float(RANGE))).alias("u"))
+    u, below = F.col("u"), F.array(F.lit(-1.0), *[F.lit(c) for c in bounds[: few - 1]])
+    exact = F.size(F.filter(below, lambda c: c <= F.col("u"))).cast("bigint")
     degree = exact
     if tail:
         share = (u - F.lit(bounds[-1])) / F.lit(1.0 - bounds[-1])
         far = F.pow(F.lit(low) - share * F.lit(low - high), F.lit(1.0 / e))
         degree = F.when(u < bounds[-1], exact).otherwise(F.least(F.floor(far + 0.5), F.lit(top)))
-    rows = spark.range(n).select("id", F.explode(F.sequence(F.lit(1).cast("bigint"), degree)).alias("t"))
+    rows = drawn.select("id", F.explode(F.sequence(F.lit(1).cast("bigint"), degree)).alias("t"))
     other = F.pmod((F.col("id") + F.col("t") * F.lit(2654435761)), F.lit(n))
     a, b = ("dst", "src") if in_degree else ("src", "dst")
     return rows.select(F.col("id").alias(a), other.alias(b)).where(F.col(a) != F.col(b))

@@ -29,6 +29,9 @@ def write(graph: Graph, fmt: str, path: str, gzip: bool = False) -> None:
         graph.edges.write.parquet(f"{path}/edges")
     elif fmt == "bintsv4":
         lonely = graph.vertices.select(F.col("id").alias("src")).join(graph.edges.select("src").distinct(), "src", "left_anti")
+        far = lambda c: (F.col(c) < 0) | (F.col(c) >= ISOLATED)
+        if not graph.vertices.where(far("id")).isEmpty() or not graph.edges.where(far("src") | far("dst")).isEmpty():
+            raise ValueError(f"bintsv4 holds ids from 0 to {ISOLATED - 1}")
         pairs = graph.edges.select("src", "dst").union(lonely.select("src", F.lit(ISOLATED)))
         rows = pairs.select(F.unhex(F.concat(_le("src"), _le("dst"))).alias("content"))
 
@@ -36,9 +39,10 @@ def write(graph: Graph, fmt: str, path: str, gzip: bool = False) -> None:
             import pyarrow as pa
             from pyspark import TaskContext
 
-            name = f"part-{TaskContext.get().partitionId():05d}"
-            content = b"".join(x.as_py() for batch in batches for x in batch.column("content"))
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([content])], names=["name", "content"])
+            for i, batch in enumerate(batches):  # a file a batch, so that none outgrows memory
+                name = f"part-{TaskContext.get().partitionId():05d}-{i:05d}"
+                content = b"".join(x.as_py() for x in batch.column("content"))
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([content])], names=["name", "content"])
 
         _put_files(rows.mapInArrow(put, "name string, content binary"), path)
     else:
@@ -52,7 +56,7 @@ def _le(c: str) -> Column:
 
 
 def _put_files(parts: DataFrame, path: str) -> None:
-    """One binary file a partition through Hadoop's file system, streamed to the driver one partition at a time."""
+    """Binary files through Hadoop's file system, streamed to the driver one partition at a time."""
     sc = parts.sparkSession.sparkContext
     for row in parts.toLocalIterator():
         at = sc._jvm.org.apache.hadoop.fs.Path(path, row["name"])

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import time
 from collections import deque
+from collections.abc import Callable
 from contextlib import ExitStack
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.bsp import COMBINE, VertexProgram
+from ..plans.bsp import VertexProgram, layout
 from ..sources.graph import Graph
-from ..tables import bucketed, cut, release
+from ..tables import cut, laid, release
 
 EXIT = "server_exit"
 
@@ -19,19 +21,25 @@ EXIT = "server_exit"
 class QueryServer:
     """submit() queues sources, tick() admits up to ``capacity`` in flight and runs one superstep for them, drain() ticks
     until none is left. A query ends when its frontier is empty; its rows then move to the answers. The edges lie in a
-    table that close() drops; answers and stats stay."""
+    table that close() drops, with the state; answers and stats stay.
 
-    def __init__(self, graph: Graph, program: VertexProgram, capacity: int = 8):
+    aggregates: named aggregates of each query's state (qid, id, value, changed), taken after every superstep and kept in
+    its statistics; stop: of a query's aggregates, whether it ends there. The frontier and the touched vertices are
+    counted by the same scan."""
+
+    def __init__(self, graph: Graph, program: VertexProgram, capacity: int = 8, aggregates: dict[str, Column] | None = None, stop: Callable[[dict], bool] | None = None):
         if program.dense:
             raise ValueError("only frontier programs end by themselves")
         self.graph, self.program, self.capacity = graph, program, capacity
+        self.aggregates, self.stop = aggregates or {}, stop
         self._table = ExitStack()
-        self.edges = self._table.enter_context(bucketed(graph.along(program.direction), "src"))
+        self.edges = self._table.enter_context(layout(graph.with_out_degree() if program.degree else graph.along(program.direction)))
         self.waiting: deque[tuple[int, int]] = deque()
         self.live: dict[int, dict] = {}
         self.done: list[dict] = []
-        self.answers: DataFrame | None = None
+        self.answers: list[DataFrame] = []
         self.state: DataFrame | None = None
+        self.gone: list[int] = []  # ended queries with rows in the state's table
         self._next, self._size, self.closed = 0, None, False
 
     def submit(self, source) -> int | None:
@@ -58,44 +66,55 @@ class QueryServer:
         if new:
             rows = spark.createDataFrame(new, "qid int, id bigint").join(self.graph.vertices.select("id"), "id", "left_semi")
             seeds = rows.select("qid", "id", p.seed.cast(p.type).alias("value"), F.lit(True).alias("changed"))
-            self.state = seeds if self.state is None else self.state.union(seeds)
-        if self.state is None or not self.live:
+        if self.state is None and not new or not self.live:
             return
-        sent = self.state.where("changed").join(self.edges, F.col("id") == F.col("src"))
-        sent = sent.select("qid", F.col("dst").alias("id"), p.message(F.col("value"), F.col).alias("m")).where(F.col("m").isNotNull())
-        got = sent.groupBy("qid", "id").agg(COMBINE[p.combine]("m").alias("acc"))
-        both = self.state.select("qid", "id", F.col("value").alias("old")).join(got, ["qid", "id"], "full")
+        table, kept = self.state, self.state
+        if kept is not None and self.gone:
+            kept, self.gone = kept.where(~F.col("qid").isin(self.gone)), []
+        state = kept if not new else seeds if kept is None else kept.union(seeds)
+        got = p.gathered(self.edges.sent(state.where("changed")))
+        both = state.select("qid", "id", F.col("value").alias("old")).join(got, ["qid", "id"], "full")
         value = F.when(F.col("acc").isNull(), F.col("old")).otherwise(p.apply(F.col("old"), F.col("acc"), F.lit(False))).cast(p.type)
         both = both.select("qid", "id", "old", value.alias("value"))
-        before, state = self.state, cut(both.select("qid", "id", "value", (~F.col("value").eqNullSafe(F.col("old"))).alias("changed")))
-        if hasattr(before, "_polyhop_table"):
-            release(before)
-        active = {r["qid"]: r for r in state.groupBy("qid").agg(F.sum(F.col("changed").cast("int")).alias("active"), F.count(F.lit(1)).alias("touched")).collect()}
+        state = laid(both.select("qid", "id", "value", (~F.col("value").eqNullSafe(F.col("old"))).alias("changed")), "qid", "id")
+        if table is not None:
+            release(table)
+        counts = {"active": F.count_if("changed"), "touched": F.count(F.lit(1))} | self.aggregates
+        rows = {r["qid"]: r.asDict() for r in state.groupBy("qid").agg(*[c.alias(k) for k, c in counts.items()]).collect()}
         ended = []
         for q, info in self.live.items():
             info["supersteps"] += 1
-            row = active.get(q)
+            row = rows.get(q)
             info["touched"] = row["touched"] if row else 0
-            if row is None or not row["active"] or info.get("stop"):
+            info["aggregates"] = {k: row[k] for k in self.aggregates} if row else {}
+            done = row is None or not row["active"] or info.get("stop")
+            if done or (self.stop is not None and self.stop(info["aggregates"])):
                 ended.append(q)
         self.state = state
         if ended:
-            over = cut(state.where(F.col("qid").isin(ended)).select("qid", "id", "value"))
-            self.answers = over if self.answers is None else self.answers.union(over)
-            self.state = cut(state.where(~F.col("qid").isin(ended)))
-            release(state)
+            # the rows of ended queries stay in the state's table, unread, until the next superstep writes it anew
+            self.answers.append(cut(state.where(F.col("qid").isin(ended)).select("qid", "id", "value")))
+            if len(self.answers) == 16:
+                self.answers = [cut(reduce(DataFrame.union, before := self.answers))]
+                release(*before)
             for q in ended:
                 info = self.live.pop(q)
                 self.done.append(info | {"seconds": time.time() - info.pop("began")})
+            self.gone = ended
 
     def close(self) -> None:
         self.closed = True
         self._table.close()
+        if self.state is not None:
+            release(self.state)
+            self.state = None
 
     def drain(self) -> DataFrame:
         while self.waiting or self.live:
             self.tick()
-        return self.answers if self.answers is not None else self.graph.spark.createDataFrame([], f"qid int, id bigint, value {self.program.type}")
+        if not self.answers:
+            return self.graph.spark.createDataFrame([], f"qid int, id bigint, value {self.program.type}")
+        return reduce(DataFrame.union, self.answers)
 
     def stats(self) -> DataFrame:
         """qid, supersteps, touched, access_rate (touched vertices of all) and seconds of the ended queries."""
@@ -106,11 +125,13 @@ class QueryServer:
 
 
 def serve(server: QueryServer, lines: DataFrame, checkpoint: str):
-    """Feeds a streaming frame of text lines, one source id each, to a server; returns the streaming query."""
+    """Feeds a streaming frame of text lines, one source id each, to a server; returns the streaming query. Each arrival
+    runs one superstep, which what came before and is still in flight shares; drain() ends the rest. The state is the
+    driver's: after a restart queries that hadn't ended are to be submitted again."""
 
     def batch(df: DataFrame, _: int) -> None:
         for r in df.select(F.trim("value").alias("v")).where(F.col("v") != "").toLocalIterator():
             server.submit(EXIT if r["v"] == EXIT else int(r["v"]))
-        server.drain()
+        server.tick()
 
     return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

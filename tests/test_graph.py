@@ -1,5 +1,6 @@
 """Small graphs with known answers: readers, writers, programs, sets, joins, lanes and the server."""
 
+import random
 import struct
 
 import pytest
@@ -8,10 +9,12 @@ from pyspark.sql import functions as F
 from polyhop.functions import lanes as L
 from polyhop.operators import dataflow as D
 from polyhop.plans import algorithms as A
-from polyhop.plans.bsp import Watch, run
+from polyhop.plans.blocks import run_blocks
+from polyhop.plans.bsp import ENGINES, SCHEDULERS, Layout, Watch, layout, run
 from polyhop.sources import readers, writers
 from polyhop.sources.graph import Direction, Graph, queries_of
 from polyhop.streaming.server import EXIT, QueryServer, serve
+from polyhop.tables import laid, release
 
 F1 = [(1, 2), (1, 5), (7, 5), (5, 7), (7, 1)]
 F2 = [(1, 2, 4), (1, 3, 1), (3, 2, 1), (2, 4, 1), (3, 4, 5), (5, 1, 2)]
@@ -153,7 +156,7 @@ def test_server(spark, f1, tmp_path):
     (tmp_path / "in" / "a.txt").write_text("1\n")
     more = QueryServer(f1, A.ibfs())
     serve(more, spark.readStream.text(f"file://{tmp_path}/in"), f"file://{tmp_path}/cp").awaitTermination()
-    assert more.answers.count() == 4
+    assert more.drain().count() == 4
     more.submit(EXIT)
     with pytest.raises(RuntimeError):
         more.submit(1)
@@ -197,3 +200,102 @@ def test_powerlaw(spark):
     assert (degrees > 64).mean() == pytest.approx(1 / 64.5 / 1.645, rel=0.25)
     assert readers.powerlaw(spark, 1).count() == 0
     assert readers.powerlaw(spark, 1000, 2.0, truncate=3).groupBy("src").count().agg(F.max("count")).first()[0] == 3
+
+
+def _random_graph(spark, n=60, m=150, seed=3):
+    r = random.Random(seed)
+    rows = [(r.randrange(n), r.randrange(n), r.randint(1, 9)) for _ in range(m)]
+    return Graph.of(spark.createDataFrame(rows, "src bigint, dst bigint, w bigint"), spark.createDataFrame([(i,) for i in range(n)], "id bigint"))
+
+
+def test_block_modes_end_alike(spark):
+    g = _random_graph(spark)
+    want = {r.id: r.value for r in run(A.sssp(), g, queries_of(spark, [1])).df.collect()}
+    start = spark.createDataFrame([(1, 0)], "id bigint, value bigint")
+    steps = {}
+    for mode in ("V", "B", "VB"):
+        got = run_blocks(g, g.vertices.select("id", F.floor(F.col("id") / 20).alias("block")), start, "w", mode)
+        assert {r.id: r.value for r in got.df.collect()} == want and got.status == "task_depletion"
+        steps[mode] = got.supersteps
+    assert steps["B"] <= steps["V"]
+    one = run_blocks(g, g.vertices.select("id", F.lit(0).cast("bigint").alias("block")), start, "w", "B")
+    assert one.supersteps == 1 and {r.id: r.value for r in one.df.collect()} == want
+    with pytest.raises(ValueError):
+        run_blocks(g, g.vertices, start, mode="X")
+
+
+@pytest.mark.parametrize("mode", ["long", "lanes", "single"])
+def test_hubs_are_dealt(spark, mode):
+    """A vertex with a great part of all edges gives the same result when its edges lie in parts."""
+    rows = [(0, i, i % 7 + 1) for i in range(1, 200)] + [(i, (i * 5) % 230, 2) for i in range(1, 60)]
+    g = Graph.of(spark.createDataFrame(rows, "src bigint, dst bigint, w bigint"))
+    q = queries_of(spark, [0, 3])
+    assert sorted(map(tuple, run(A.sssp(), g, q, mode, hub=20).df.collect())) == sorted(map(tuple, run(A.sssp(), g, q, mode).df.collect()))
+    with layout(g.edges, 20) as lay:
+        sizes = [r["count"] for r in lay.edges.groupBy("src", "part").count().collect()]
+        assert lay.hubs.collect() == [(0, 10)] and max(sizes) < 45 and sum(sizes) == g.edges.count()
+    assert spark.catalog.listTables() == []
+
+
+def _exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("Exchange hashpartitioning")
+
+
+def test_supersteps_shuffle_what_is_sent(spark):
+    """The state lies where it is joined: messages are exchanged, and by instances the frontier."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        g = _random_graph(spark)
+        edges = laid(g.edges, "src", deal=True)
+        seeds = queries_of(spark, [1, 2]).select("qid", F.col("source").alias("id"), F.lit(0).cast("bigint").alias("value"))
+        state = laid(seeds, "qid", "id", deal=True)
+        got = A.sssp().gathered(Layout(edges).sent(state))
+        assert _exchanges(state.join(got, ["qid", "id"], "full")) == 2
+        lanes = laid(g.vertices.withColumn("v0", F.lit(0)), "id", deal=True)
+        sums = Layout(edges).sent(lanes).groupBy(F.col("dst").alias("to")).agg(F.min("v0").alias("a"))
+        assert _exchanges(lanes.join(sums, F.col("id") == F.col("to"), "left")) == 1
+        release(edges, state, lanes)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_named_engines(spark, f2):
+    q = queries_of(spark, [1])
+    want = sorted(map(tuple, run(A.sssp(), f2, q).df.collect()))
+    assert all(sorted(map(tuple, run(A.sssp(), f2, q, engine=e, scheduler=s).df.collect())) == want for e, s in zip(ENGINES, SCHEDULERS, strict=True))
+    for wrong in ({"engine": "msync"}, {"scheduler": "none"}):
+        with pytest.raises(ValueError):
+            run(A.sssp(), f2, q, **wrong)
+
+
+def test_bintsv4_refuses_wide_ids(spark, tmp_path):
+    for i in (2**32 - 1, 2**40, -5):
+        with pytest.raises(ValueError):
+            writers.write(Graph.of(spark.createDataFrame([(1, i)], "src bigint, dst bigint")), "bintsv4", f"file://{tmp_path}/x")
+
+
+def test_server_ends_queries_by_their_aggregates(spark, f1):
+    server = QueryServer(f1, A.ibfs(), 2, {"far": F.max("value")}, lambda a: a["far"] >= 1)
+    for s in (1, 7, 99):
+        server.submit(s)
+    got = server.drain()
+    assert {(r.qid, r.id): r.value for r in got.collect()} == {(0, 1): 0, (0, 2): 1, (0, 5): 1, (1, 7): 0, (1, 1): 1, (1, 5): 1}
+    assert [d["aggregates"] for d in sorted(server.done, key=lambda d: d["qid"])] == [{"far": 1}, {"far": 1}, {}]
+    server.force_terminate(5)
+    server.close()
+
+
+def test_arrivals_share_supersteps(spark, f1, tmp_path):
+    """Queries of two files are in flight together: fewer supersteps than one after the other."""
+    (tmp_path / "in").mkdir()
+    for i, s in enumerate((1, 7)):
+        (tmp_path / "in" / f"{i}.txt").write_text(f"{s}\n")
+    server = QueryServer(f1, A.ibfs())
+    lines = spark.readStream.option("maxFilesPerTrigger", 1).text(f"file://{tmp_path}/in")
+    serve(server, lines, f"file://{tmp_path}/cp").awaitTermination()
+    assert len(server.live) == 2
+    assert server.drain().count() == 8
+    server.close()

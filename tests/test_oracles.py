@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from polyhop.plans.queries import ORACLES, QUERIES
+from polyhop.plans.catalogue import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
