@@ -1,8 +1,8 @@
 """License scans: ordered signature rules over normalised words, in DataFrame functions only.
 
 Texts are lower-cased (A-Z only) and split into words; rules match the words joined by single spaces. Rules are made
-from hand-written license families: for each family a name, grant, identifier and link signature, and in all over two
-hundred regular expressions. Each rule has keywords, whole words of which each of its matches contains one at least; only
+from hand-written license families, for each a name, grant, identifier and link signature, and written one by one for other
+namings, sentences of license texts and terms of use: over four hundred regular expressions. Each rule has keywords, whole words of which each of its matches contains one at least; only
 rules of which a text has a keyword are run on it. A match is kept unless another match contains it that is longer or of higher
 priority, and at least of its priority, so that ``gnu lesser general public license`` isn't also a ``gpl`` find of the
 method. The three base phrases always keep their labels.
@@ -106,8 +106,159 @@ SINGLE = (
     ("non-commercial", "commercial noncommercial", "(for )?non ?commercial use only", 2),
     ("confidential", "confidential", "confidential and proprietary", 2),
 )
-#: Kinds of rule made for each family: (expression around the name, identifier or link, priority).
-NAMED = "(under|by|with|of) (the )?(terms of (the )?)?({name}) licen[sc]e"
+#: Rules for other ways of naming a license, for sentences of license texts and for terms of use: label, keywords,
+#: expression, priority.
+HAND = (
+    ("gpl-3", "gplv3 gpl", "(gnu )?(gplv3|gpl v3|gpl version 3)( or later| only)?", 2),
+    ("gpl-2", "gplv2 gpl", "(gnu )?(gplv2|gpl v2|gpl version 2)( or later| only)?", 2),
+    ("gpl-1", "gplv1 gpl", "(gnu )?(gplv1|gpl v1|gpl version 1)", 2),
+    ("gpl", "gpl", "(gnu )?gpl licen[sc]ed?", 2),
+    ("gpl", "gpl", "(under|with) (the )?(gnu )?gpl", 2),
+    ("gpl", "gpl", "gnu gpl", 1),
+    ("gpl", "program", "this program is free software", 2),
+    ("gpl", "hope", "distributed in the hope that it will be useful", 2),
+    ("gpl", "received", "you should have received a copy of the gnu general public license", 4),
+    ("lgpl-3", "lgplv3 lgpl", "(gnu )?(lgplv3|lgpl v3|lgpl version 3)( or later| only)?", 2),
+    ("lgpl-2.1", "lgplv2 lgpl", "(gnu )?(lgplv2 1|lgpl v2 1|lgpl version 2 1)( or later| only)?", 2),
+    ("lgpl", "lgpl", "(gnu )?lgpl( licen[sc]ed?)?", 1),
+    ("lgpl", "library", "this library is free software", 2),
+    ("lgpl", "received", "you should have received a copy of the gnu lesser general public license", 4),
+    ("agpl-3", "agplv3 agpl", "(gnu )?(agplv3|agpl v3|agpl version 3)( or later| only)?", 2),
+    ("agpl", "agpl", "(gnu )?agpl( licen[sc]ed?)?", 1),
+    ("agpl", "remote", "remote network interaction", 2),
+    ("apache-2.0", "apache", "apache( v| version)? 2 0( licen[sc]ed?)?", 2),
+    ("apache-2.0", "apache apachev2 apache2", "(apache v2|apachev2|apache2)( licen[sc]ed?)?", 2),
+    ("apache-2.0", "compliance", "you may not use this file except in compliance with the license", 4),
+    ("apache-2.0", "perpetual", "perpetual worldwide non exclusive no charge royalty free irrevocable (copyright|patent) license", 3),
+    ("apache", "apache", "apache licensed", 2),
+    ("apache", "apache", "apache software foundation", 1),
+    ("bsd", "bsd", "bsd licen[sc]ed?", 2),
+    ("bsd", "bsd", "bsd (style|like|type) licen[sc]e", 2),
+    ("bsd", "berkeley", "berkeley software distribution( licen[sc]e)?", 2),
+    ("bsd", "retain", "redistributions of source code must retain the above copyright notice", 3),
+    ("bsd", "reproduce", "redistributions in binary form must reproduce the above copyright notice", 3),
+    ("bsd-3", "endorse", "to endorse or promote products derived from this software", 3),
+    ("bsd-4", "advertising", "all advertising materials mentioning features or use of this software", 4),
+    ("mit", "mit", "mit licensed", 2),
+    ("mit", "mit", "mit (style|like|type) licen[sc]e", 2),
+    ("mit", "expat", "expat licen[sc]e", 2),
+    ("mit", "sublicense", "use copy modify merge publish distribute sublicense and or sell copies", 4),
+    ("mit", "portions", "shall be included in all copies or substantial portions of the software", 4),
+    ("isc", "fee", "for any purpose with or without fee is hereby granted", 4),
+    ("mpl-2.0", "mplv2 mpl", "mplv2( 0)?|mpl v2( 0)?|mpl version 2 0", 2),
+    ("mpl-1.1", "mplv1 mpl", "mplv1 1|mpl v1 1|mpl version 1 1", 2),
+    ("mpl", "mpl", "mpl licen[sc]ed?", 1),
+    ("mpl", "mozilla", "mozilla public licen[sc]e", 1),
+    ("mpl-2.0", "mozilla", "source code form is subject to the terms of the mozilla public license", 4),
+    ("epl", "eclipse", "eclipse public licen[sc]e", 1),
+    ("epl-2.0", "eplv2 epl", "eplv2|epl v2( 0)?", 2),
+    ("epl", "accompanying", "this program and the accompanying materials are made available under the terms", 3),
+    ("cddl", "cddl", "cddl( licen[sc]ed?| v1 [01])", 2),
+    ("cc-by", "cc", "cc by( licen[sc]ed?)?", 1),
+    ("cc-by-sa", "cc", "cc by sa( licen[sc]ed?)?", 2),
+    ("cc-by-nc", "cc", "cc by nc( licen[sc]ed?)?", 2),
+    ("cc-by-nd", "cc", "cc by nd( licen[sc]ed?)?", 2),
+    ("cc-by-nc-sa", "cc", "cc by nc sa( licen[sc]ed?)?", 3),
+    ("cc-by-nc-nd", "cc", "cc by nc nd( licen[sc]ed?)?", 3),
+    ("cc-by-nc-nd", "creative", "creative commons attribution non ?commercial no ?deriv(atives|s)?", 3),
+    ("cc", "creative", "creative commons licen[sc]ed?", 1),
+    ("cc0", "creative", "creative commons zero", 2),
+    ("cc0", "waived", "has waived all copyright and related or neighboring rights", 4),
+    ("public-domain", "unencumbered", "free and unencumbered software released into the public domain", 4),
+    ("public-domain", "dedication", "public domain dedication", 2),
+    ("public-domain", "dedicates dedicate", "dedicates? (this work|it) to the public domain", 3),
+    ("public-domain", "copyright", "no (known )?copyright( restrictions)?", 2),
+    ("ofl", "font", "with reserved font names?", 2),
+    ("zlib", "altered", "altered source versions must be plainly marked as such", 3),
+    ("zlib", "misrepresented", "the origin of this software must not be misrepresented", 3),
+    ("boost", "boost", "boost licen[sc]ed?", 2),
+    ("boost", "executable", "machine executable object code generated by a source language processor", 3),
+    ("artistic", "artistic", "(perl )?artistic licen[sc]e", 1),
+    ("python", "python", "(19|20)[0-9]{2} python software foundation", 3),
+    ("json", "evil", "shall be used for good not evil", 4),
+    ("beerware", "beerware beer", "beerware|beer ware licen[sc]e", 2),
+    ("hippocratic", "hippocratic", "hippocratic licen[sc]e( 2 1| 3 0)?", 2),
+    ("anti-996", "996", "anti 996 licen[sc]e", 2),
+    ("ecl-2.0", "community", "educational community licen[sc]e( version)?( 2 0)?", 2),
+    ("qpl", "q", "q public licen[sc]e", 2),
+    ("sleepycat", "sleepycat", "sleepycat( public)? licen[sc]e", 2),
+    ("ijg", "jpeg", "independent jpeg group( s software)?", 2),
+    ("icu", "icu", "icu licen[sc]e", 2),
+    ("unicode", "unicode", "unicode( data files)? licen[sc]e( agreement)?", 2),
+    ("curl", "curl", "curl licen[sc]e", 2),
+    ("ntp", "ntp", "ntp licen[sc]e", 2),
+    ("hpnd", "historical", "historical permission notice and disclaimer", 3),
+    ("tcl", "tcl", "tcl( tk)? licen[sc]e", 2),
+    ("wxwindows", "wxwindows", "wxwindows( library)? licen[sc]e", 2),
+    ("intel", "intel", "intel( open source| simplified software)? licen[sc]e", 2),
+    ("nvidia", "nvidia", "nvidia( source code| software)? licen[sc]e", 2),
+    ("gemma", "gemma", "gemma terms of use", 2),
+    ("falcon", "falcon", "falcon( llm)? licen[sc]e", 2),
+    ("bigscience-rail", "bigscience", "bigscience( bloom)? rail( licen[sc]e)?", 3),
+    ("creativeml-rail", "creativeml", "creativeml open ?rail( m)?( licen[sc]e)?", 3),
+    ("mistral", "mistral", "mistral( ai)?( research| non production) licen[sc]e", 2),
+    ("polyform", "polyform", "polyform (noncommercial|small business|shield|strict|perimeter|free trial)( licen[sc]e)?", 2),
+    ("commons-clause", "clause", "commons clause( licen[sc]e)?( condition)?", 2),
+    ("parity", "parity", "parity public licen[sc]e", 2),
+    ("prosperity", "prosperity", "prosperity public licen[sc]e", 2),
+    ("rpl", "reciprocal", "reciprocal public licen[sc]e( 1 5)?", 2),
+    ("apsl", "apple", "apple public source licen[sc]e( 2 0)?", 2),
+    ("ibm-pl", "ibm", "ibm public licen[sc]e", 2),
+    ("lppl", "latex lppl", "latex project public licen[sc]e|lppl( 1 3c?)?", 2),
+    ("nasa", "nasa", "nasa open source agreement", 2),
+    ("sgi-b", "sgi", "sgi free software licen[sc]e b", 2),
+    ("sun-pl", "sun", "sun public licen[sc]e", 2),
+    ("sissl", "sun", "sun industry standards source licen[sc]e", 2),
+    ("vovida", "vovida", "vovida software licen[sc]e", 2),
+    ("zpl", "zope", "zope public licen[sc]e( 2 [01])?", 2),
+    ("watcom", "watcom", "(sybase )?open watcom public licen[sc]e", 2),
+    ("nokia", "nokia", "nokia open source licen[sc]e", 2),
+    ("miros", "miros", "miros licen[sc]e", 2),
+    ("lucent", "lucent", "lucent public licen[sc]e( 1 02)?", 2),
+    ("frameworx", "frameworx", "frameworx( open)? licen[sc]e", 2),
+    ("eiffel", "eiffel", "eiffel forum licen[sc]e( 2)?", 2),
+    ("fair", "fair", "fair licen[sc]e", 2),
+    ("attribution-assurance", "assurance", "attribution assurance licen[sc]e", 2),
+    ("openldap", "openldap", "openldap public licen[sc]e( 2 8)?", 2),
+    ("open-publication", "publication", "open publication licen[sc]e", 2),
+    ("cern-ohl", "cern", "cern open hardware licen[sc]e( version 2)?", 2),
+    ("ogl", "government", "open government licen[sc]e( v[123])?", 2),
+    ("odc-by", "commons", "open data commons attribution licen[sc]e", 3),
+    ("etalab", "etalab", "etalab( open)? licen[sc]e", 2),
+    ("dual", "dual", "dual licensed( under)?", 2),
+    ("dual", "either", "licensed under either of", 2),
+    ("copyleft", "copyleft", "(strong |weak )?copyleft( licen[sc]e)?", 1),
+    ("proprietary", "proprietary", "proprietary (licen[sc]e|software|information)", 2),
+    ("proprietary", "unpublished", "unpublished (proprietary )?source code", 2),
+    ("proprietary", "agreement", "end user licen[sc]e agreement", 3),
+    ("proprietary", "eula", "eula", 1),
+    ("proprietary", "reverse", "may not reverse engineer( decompile or disassemble)?", 3),
+    ("proprietary", "permission", "without (the )?(prior |express )?(written )?permission", 2),
+    ("evaluation", "evaluation", "for evaluation( purposes)? only", 2),
+    ("trial", "trial", "(free )?trial version( only)?", 1),
+    ("commercial", "commercial", "commercial licen[sc]e( required| available)?", 2),
+    ("shareware", "shareware", "shareware", 1),
+    ("freeware", "freeware", "freeware", 1),
+    ("non-commercial", "noncommercial non", "(for )?non ?commercial (research|educational|academic|personal) (use|purposes)( only)?", 3),
+    ("research-only", "research", "(for )?research (use|purposes) only", 2),
+    ("academic-only", "academic", "(for )?academic (use|purposes) only", 2),
+    ("personal-only", "personal", "(for )?personal use only", 2),
+    ("educational-only", "educational", "(for )?educational (use|purposes) only", 2),
+    ("internal-only", "internal", "(for )?internal use only", 2),
+    ("no-derivatives", "derivative derivatives", "no derivative works|no derivatives allowed", 2),
+    ("no-redistribution", "redistribution", "redistribution (is )?(prohibited|not (allowed|permitted))", 2),
+    ("no-redistribution", "redistributed", "may not be redistributed", 2),
+    ("no-training", "training", "may not be used (for|in) (the )?training( of)? (machine learning|language|ai) models", 3),
+    ("attribution", "attribution", "attribution (is )?required", 2),
+    ("warranty-disclaimer", "merchantability", "(implied )?warrant(y|ies) of merchantability", 1),
+    ("warranty-disclaimer", "fitness", "fitness for a particular purpose", 1),
+    ("warranty-disclaimer", "express", "without (any )?express or implied warranty", 1),
+    ("liability-disclaimer", "liable", "in no event shall (the )?(authors?|copyright holders?|contributors?|company) be liable", 2),
+    ("liability-disclaimer", "liable", "liable for any (claim|damages|loss)", 1),
+    ("patent-grant", "patent", "patent licen[sc]e( grant)?", 1),
+    ("trademark", "trademark trademarks", "(registered )?trademarks? of", 1),
+    ("export-control", "export", "export (control|administration) (laws|regulations)", 1),
+)
 LEVELS = 5
 #: Matches of a rule whose places are summed in one fold.
 BLOCK = 64
@@ -124,7 +275,7 @@ def rules() -> list[tuple[int, str, list[str], str, int]]:
             (label, "spdx", f"spdx license identifier ({short})", 4),
             (label, link.split()[0], f"{link}", 3),
         ]
-    out += list(SINGLE)
+    out += [*SINGLE, *HAND]
     return [(i, label, keywords.split(), f"(?<![^ ])(?:{expression})(?![^ ])", level) for i, (label, keywords, expression, level) in enumerate(out)]
 
 
