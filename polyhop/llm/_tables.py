@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from contextlib import contextmanager
+from functools import wraps
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,7 @@ SPACE = "[ \\t-\\r]+"
 
 
 _shipped: set[str] = set()
+_scopes: list[list[DataFrame]] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -77,9 +80,31 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     out = spark.read.schema(df.schema).parquet(path)
     out._polyhop_table = path
+    if _scopes:
+        _scopes[-1].append(out)
     return out
 
 
+@contextmanager
+def scope():
+    """Tables that ``cut`` writes inside a ``with`` block go at its end, but for those given to the function it yields."""
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(df)
+        return df
+
+    _scopes.append(made)
+    try:
+        yield keep
+    finally:
+        _scopes.pop()
+        release(*[t for t in made if all(t is not k for k in kept)])
+        if _scopes:
+            _scopes[-1].extend(kept)
+
+
 def release(*tables: DataFrame) -> None:
     """Deletes tables that ``cut`` wrote and nothing later reads."""
     for df in tables:
@@ -88,6 +113,26 @@ def release(*tables: DataFrame) -> None:
         at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def own_names(op):
+    """Lets an operator on a frame use names that begin with two underscores for columns of its own: columns of such names
+    that the caller has go by others meanwhile."""
+
+    @wraps(op)
+    def run(df: DataFrame, *args, **kw) -> DataFrame:
+        taken = {c for c in df.columns if c.startswith("__")}
+        names: dict[str, str] = {}
+        for c in taken:
+            name = f"held{len(names)}"
+            while name in df.columns:
+                name += "_"
+            names[c] = name
+        args = [[names.get(x, x) for x in a] if isinstance(a, list) else a for a in args]
+        out = op(df.withColumnsRenamed(names) if names else df, *args, **kw)
+        return out.withColumnsRenamed({v: c for c, v in names.items()}) if names else out
+
+    return run
+
+
 def words(text):
     """Words of a text as an array; a null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._tables import whole, words
+from ._tables import own_names, whole, words
 
 K = 128
 WIDTH = 5
@@ -129,6 +129,7 @@ def with_next(df: DataFrame, key: str, carry: dict[str, str], tie: str, slice_ro
     return rows.where(F.col(ghost) == 0).drop(s, sub, ghost)
 
 
+@own_names
 def fingerprint(df: DataFrame, text: str = "text", to: str = "sketch", k: int = K, width: int = WIDTH) -> DataFrame:
     """The operator: all columns of df and the sketch of a text column."""
     return with_sketch(df, text, to, k, width)

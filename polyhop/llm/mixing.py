@@ -16,7 +16,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._tables import SPACE, cut, documents, whole
+from ._tables import cut, own_names, whole
 
 SEED = 11
 EPOCHS = 3
@@ -126,6 +126,7 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", n.cast("bigint").alias("size"))
 
 
+@own_names
 def mixture(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, seed: int = SEED) -> DataFrame:
     """The documents that the mix takes, a document taken r times as r rows, in the columns of docs. Rows of one
     doc_id all go as often as the one that goes most often."""
@@ -139,6 +140,3 @@ def mixture(docs: DataFrame, weights=WEIGHTS, share: float = 1.0, seed: int = SE
 def op10(docs: DataFrame) -> DataFrame:
     got = mix(cut(sized(docs), "sizes"))
     return got.select("doc_id", "size", "source_size", "target", "taken")
-
-
-__all__ = ["SPACE", "documents", "mix", "mixture", "op10", "queue", "sized", "targets"]

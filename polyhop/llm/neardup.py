@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._tables import cut, documents, map_arrow
+from ._tables import cut, documents, map_arrow, own_names, scope
 from .components import components
 
 WIDTH = 5
@@ -195,40 +195,42 @@ def numbered(docs: DataFrame) -> DataFrame:
 
 
 def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The operator. One row a doc_id and sequence of words: doc_id, class_id (the smallest doc_id of its group), rep_id (the smallest doc_id
-    with the same words) and spanning_links (of the
-    verified links to different texts that hold the group together, those of its rep_id; pairs already in one component are
-    not compared, so this is not the number of all its near texts)."""
-    signed = cut(sign(docs), "signatures")
-    keys = F.struct("k1", "k2")
-    ends = signed.groupBy("doc_id").agg(F.min(keys).alias("x"), F.max(keys).alias("y"))
-    if not ends.where(F.col("x") != F.col("y")).isEmpty():  # doc_ids don't tell the documents apart
-        rows = numbered(docs.select("doc_id", "text"))
-        out = groups(rows.select(F.col("__id").alias("doc_id"), "text"), threshold)
-        ids = rows.select("__id", F.col("doc_id").alias("__of")).distinct()
-        for c in ("doc_id", "class_id", "rep_id"):
-            out = out.join(ids.hint("merge"), F.col(c) == F.col("__id")).withColumn(c, F.col("__of")).drop("__id", "__of")
-        return out
-    rep = signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep_id"))
-    first = signed.join(rep.select(F.col("rep_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    buckets = cut(first.select("doc_id", "total", F.explode("bands").alias("key")), "bands")
-    heads = buckets.groupBy("key").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
-    heads = cut(heads, "heads")
-    members = cut(buckets.join(heads, "key"), "members")
-    pairs = cut(members.where(F.col("doc_id") != F.col("head")).select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), "candidates")
-    texts = _texts(pairs, docs)
-    checked = _verify(pairs, texts)
-    links = checked.where(F.col("similarity") >= threshold).select("a", "b")
-    labels = components(links)
-    rest = cut(_rest(members, checked, labels, texts, threshold), "rest")
-    if not rest.isEmpty():
-        more = _verify(rest, texts)
-        links = cut(links.union(more.where(F.col("similarity") >= threshold).select("a", "b")), "links")
+    """The operator. One row a doc_id and sequence of words: doc_id, class_id (the smallest doc_id of its group), rep_id
+    (the smallest doc_id with the same words) and spanning_links (of the verified links to different texts that hold the
+    group together, those of its rep_id; pairs already in one component are not compared, so this is not the number of all
+    its near texts)."""
+    with scope() as held:
+        signed = cut(sign(docs), "signatures")
+        keys = F.struct("k1", "k2")
+        ends = signed.groupBy("doc_id").agg(F.min(keys).alias("x"), F.max(keys).alias("y"))
+        if not ends.where(F.col("x") != F.col("y")).isEmpty():  # doc_ids don't tell the documents apart
+            rows = numbered(docs.select("doc_id", "text"))
+            out = groups(rows.select(F.col("__id").alias("doc_id"), "text"), threshold)
+            ids = rows.select("__id", F.col("doc_id").alias("__of")).distinct()
+            for c in ("doc_id", "class_id", "rep_id"):
+                out = out.join(ids.hint("merge"), F.col(c) == F.col("__id")).withColumn(c, F.col("__of")).drop("__id", "__of")
+            return held(cut(out, "classes"))
+        rep = signed.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep_id"))
+        first = signed.join(rep.select(F.col("rep_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        buckets = cut(first.select("doc_id", "total", F.explode("bands").alias("key")), "bands")
+        heads = buckets.groupBy("key").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
+        heads = cut(heads, "heads")
+        members = cut(buckets.join(heads, "key"), "members")
+        pairs = cut(members.where(F.col("doc_id") != F.col("head")).select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), "candidates")
+        texts = _texts(pairs, docs)
+        checked = _verify(pairs, texts)
+        links = checked.where(F.col("similarity") >= threshold).select("a", "b")
         labels = components(links)
-    degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("spanning_links"))
-    labels = labels.join(degree, "id")
-    out = signed.select("doc_id", "k1", "k2").distinct().join(rep, ["k1", "k2"]).join(labels, F.col("rep_id") == F.col("id"), "left")
-    return out.select("doc_id", F.coalesce("root", "rep_id").alias("class_id"), "rep_id", F.coalesce("spanning_links", F.lit(0)).alias("spanning_links"))
+        rest = cut(_rest(members, checked, labels, texts, threshold), "rest")
+        if not rest.isEmpty():
+            more = _verify(rest, texts)
+            links = cut(links.union(more.where(F.col("similarity") >= threshold).select("a", "b")), "links")
+            labels = components(links)
+        degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("spanning_links"))
+        labels = labels.join(degree, "id").drop("was")
+        out = signed.select("doc_id", "k1", "k2").distinct().join(rep, ["k1", "k2"]).join(labels, F.col("rep_id") == F.col("id"), "left")
+        out = out.select("doc_id", F.coalesce("root", "rep_id").alias("class_id"), "rep_id", F.coalesce("spanning_links", F.lit(0)).alias("spanning_links"))
+        return held(cut(out, "classes"))
 
 
 def elements(texts: DataFrame) -> DataFrame:
@@ -284,12 +286,13 @@ def op6(docs: DataFrame) -> DataFrame:
     return groups(docs)
 
 
+@own_names
 def keep(docs: DataFrame) -> DataFrame:
     """One document of each group, that of the smallest doc_id, and all rows without a doc_id, in the columns of docs."""
     some = docs.where(F.col("doc_id").isNotNull())
     repeated = not some.groupBy("doc_id").count().where("count > 1").isEmpty()
     rows = numbered(docs) if repeated else some.withColumn("__id", F.col("doc_id"))
-    found = cut(groups(rows.select(F.col("__id").alias("doc_id"), "text")), "groups")
+    found = groups(rows.select(F.col("__id").alias("doc_id"), "text"))
     chosen = found.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("__id")).hint("merge")
     rows = rows.join(chosen, "__id", "left_semi")
     if repeated:

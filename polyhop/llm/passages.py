@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._tables import cut, documents, map_arrow, release, ship
+from ._tables import cut, documents, map_arrow, own_names, release, ship
 from .neardup import word_keys
 
 WINDOW = 13
@@ -312,6 +312,7 @@ def digest(table: pa.Table, names: list[str], keep: list | None = None) -> pa.Ta
     return pa.table(cols | {"n_words": pa.array(count, pa.int64()), "n_removed": pa.array(gone, pa.int64()), "kept_sha256": pa.array(sha, pa.string())})
 
 
+@own_names
 def strip(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, shard_rows: int = SHARD_ROWS, mask: int = 2**64 - 1) -> DataFrame:
     """The operator: the columns of docs, with ``text`` less the words removed (those left joined by single spaces) where
     there are any, and ``n_words``, ``n_removed`` and ``kept_sha256`` of the words left, joined by single spaces.
@@ -321,8 +322,6 @@ def strip(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, shard_row
     rows, size = docs.agg(F.count("doc_id"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     n = max(1, math.ceil(rows / shard_rows), math.ceil(size / SHARD_BYTES))
     shard = "__shard"
-    while shard in docs.columns:
-        shard += "_"
     named = docs.where(F.col("doc_id").isNotNull())
     sharded = named.withColumn(shard, F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int"))
     found = anchors(sharded, shard, window, anchor)
@@ -364,9 +363,12 @@ def op2(docs: DataFrame) -> DataFrame:
     return strip(docs.select("doc_id", "text")).drop("text")
 
 
+@own_names
 def cleaned(docs: DataFrame) -> DataFrame:
     """docs with recurring passages removed and n_chars, if there is such a column, counted anew."""
-    out = strip(docs)
+    added = ("n_words", "n_removed", "kept_sha256")
+    aside = {c: f"__{c}" for c in docs.columns if c in added}  # the caller's columns of these names stay
+    out = strip(docs.withColumnsRenamed(aside)).drop(*added).withColumnsRenamed({v: c for c, v in aside.items()})
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

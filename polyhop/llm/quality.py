@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._tables import documents, labels, map_arrow, whole
+from ._tables import documents, labels, map_arrow, own_names
 from ._training import held_out, sample
 from .ftrl import fit, sigmoid
 
@@ -119,6 +119,7 @@ def op9(docs: DataFrame, labels_: DataFrame) -> DataFrame:
     return got.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
+@own_names
 def keep(docs: DataFrame, labels_: DataFrame) -> DataFrame:
     """The documents whose score reaches the threshold, in the columns of docs."""
     got = score(docs, train(docs, labels_), "__quality")
@@ -127,6 +128,3 @@ def keep(docs: DataFrame, labels_: DataFrame) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return op9(documents(spark, sf_dir), labels(spark, sf_dir))
-
-
-__all__ = ["keep", "op9", "score", "scores", "train", "whole"]

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._tables import cut, documents, whole
+from ._tables import cut, documents, own_names, whole
 
 SEED = 20_240_517
 SHARDS = 16
@@ -64,6 +64,7 @@ def _handfuls(df: DataFrame, seed: int) -> DataFrame:
     return cut(parts.withColumn("__times", F.least(F.lit(HANDFUL), F.col("__all") - F.col("__part") * HANDFUL).cast("int")).drop("__all"), "handfuls")
 
 
+@own_names
 def shuffle(df: DataFrame, key: list[str], shards: int = SHARDS, seed: int = SEED, rows: int | None = None) -> DataFrame:
     """df with ``shard`` and ``slot``. key: columns that tell rows apart; rows: df's count, if it is known."""
     df = df.drop("shard", "slot")
