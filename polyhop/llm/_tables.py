@@ -61,7 +61,8 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: What holds while a table is written: its shuffle files go afterwards, and Python gets texts in batches of bounded size.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -69,12 +70,14 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     executors that made it. The shuffle files behind it go when it is written, the table when the JVM ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/polyhop/{uuid.uuid4().hex}-{name}"
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    before = {k: spark.conf.get(k) for k in WRITING}
     try:
+        for k, v in WRITING.items():
+            spark.conf.set(k, v)
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)

@@ -59,8 +59,8 @@ class Block:
         return self.data[self.offs[i] : self.offs[i + 1]].tobytes()
 
 
-def blocks(column, budget: int = BLOCK) -> Iterator[Block]:
-    """Nulls count as empty."""
+def blocks(column, budget: int = BLOCK, rows: int = 20_000) -> Iterator[Block]:
+    """Texts of so many bytes and rows at most, or one longer text. Nulls count as empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if isinstance(column, pa.ChunkedArray):
         column = pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], pa.string())
@@ -76,7 +76,7 @@ def blocks(column, budget: int = BLOCK) -> Iterator[Block]:
     lo = 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offs, offs[lo] + budget, side="right")) - 1)
-        hi = min(hi, n, lo + 20_000)
+        hi = min(hi, n, lo + rows)
         yield Block(lo, hi, data[offs[lo] : offs[hi]], offs[lo : hi + 1] - offs[lo])
         lo = hi
 

@@ -98,7 +98,8 @@ def with_next(df: DataFrame, key: str, carry: dict[str, str], tie: str, slice_ro
 
     carry: {column: name for the next row's value}."""
     spark, count = df.sparkSession, df.count()
-    slices = max(1, min(MAX_SLICES, math.ceil(count / slice_rows)))
+    slice_rows = max(slice_rows, math.ceil(count / MAX_SLICES))
+    slices = max(1, math.ceil(count / slice_rows))
     cuts: set[int] = set()
     if slices > 1:
         at = [i / slices for i in range(1, slices)]
@@ -107,9 +108,9 @@ def with_next(df: DataFrame, key: str, carry: dict[str, str], tie: str, slice_ro
         cuts = set(found) | {a + 1 for a in often}  # a key of many rows has a slice of its own
     s, sub, ghost = "__slice", "__sub", "__ghost"
     df = df.withColumn(s, _slice_of(F.col(key), sorted(cuts)))
-    # at most 2 MAX_SLICES + 1 rows of numbers
+    # of these, of parts and of heads there are at most 4 MAX_SLICES rows of numbers
     seen = df.groupBy(s).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("a"), F.max(key).alias("z")).collect()
-    parts = [(r[s], min(MAX_SLICES, math.ceil(r["n"] / slice_rows))) for r in seen if r["a"] == r["z"] and r["n"] > 2 * slice_rows]
+    parts = [(r[s], math.ceil(r["n"] / slice_rows)) for r in seen if r["a"] == r["z"] and r["n"] > 2 * slice_rows]
     share = F.col(tie) / F.lit(2.0**64) + F.lit(0.5)
     if parts:
         hot = spark.createDataFrame(parts, "__slice int, __parts int")

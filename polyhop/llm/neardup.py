@@ -17,10 +17,12 @@ Rows with equal doc_id and words are one document; rows with equal doc_id and di
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +35,8 @@ THRESHOLD = 0.8
 #: Places of a signature: BANDS bands of ROWS; a pair at 0.8 shares one with probability 1 - (1 - 0.8**5)**24 = 0.99993.
 BANDS, ROWS = 24, 5
 PLACES = BANDS * ROWS
+#: Documents signed at once, at most: each takes some ten points a place, however short it is.
+SIGN_ROWS = 1000
 SIGNED = "doc_id bigint, k1 bigint, k2 bigint, total bigint, bands array<bigint>"
 
 
@@ -117,7 +121,7 @@ def sign(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in T.blocks(batch.column("text"), T.BLOCK // 2):
+            for b in T.blocks(batch.column("text"), T.BLOCK // 2, SIGN_ROWS):
                 n = b.hi - b.lo
                 d, g, w, t, h = bags(b)
                 total = np.bincount(d, weights=w, minlength=n).astype(np.int64)
@@ -136,9 +140,12 @@ def overlaps(pairs: DataFrame) -> DataFrame:
     """pairs: rows (a, b, text_a, text_b). (a, b, similarity) of their bags, counted exactly."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 200):
-                part = batch.slice(lo, 200)
+        for batch in filter(len, batches):
+            size = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy().astype(np.int64) for c in ("text_a", "text_b"))
+            of = np.cumsum(size) // T.BLOCK  # texts of so many bytes at once, or one longer pair
+            cuts = [0, *(np.flatnonzero(np.diff(of)) + 1), batch.num_rows]
+            for lo, hi in itertools.pairwise(cuts):
+                part = batch.slice(lo, hi - lo)
                 n = part.num_rows
                 sides = []
                 for name in ("text_a", "text_b"):
@@ -214,7 +221,6 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         first = signed.join(rep.select(F.col("rep_id").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
         buckets = cut(first.select("doc_id", "total", F.explode("bands").alias("key")), "bands")
         heads = buckets.groupBy("key").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("members")).where(F.col("members") > 1)
-        heads = cut(heads, "heads")
         members = cut(buckets.join(heads, "key"), "members")
         pairs = cut(members.where(F.col("doc_id") != F.col("head")).select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct(), "candidates")
         texts = _texts(pairs, docs)
@@ -224,7 +230,7 @@ def groups(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         rest = cut(_rest(members, checked, labels, texts, threshold), "rest")
         if not rest.isEmpty():
             more = _verify(rest, texts)
-            links = cut(links.union(more.where(F.col("similarity") >= threshold).select("a", "b")), "links")
+            links = links.union(more.where(F.col("similarity") >= threshold).select("a", "b"))
             labels = components(links)
         degree = links.select(F.col("a").alias("id")).union(links.select("b")).groupBy("id").agg(F.count(F.lit(1)).alias("spanning_links"))
         labels = labels.join(degree, "id").drop("was")
@@ -265,8 +271,7 @@ def _rest(members: DataFrame, checked: DataFrame, labels: DataFrame, texts: Data
     head = ranked.where((F.col("df") > 1) & (F.col("r") <= F.col("total") - F.ceil(F.lit(threshold - 1e-9) * F.col("total")) + 1))
     head = cut(head.select("e", "doc_id", "root", "total", "r"), "prefixes")
     common = head.groupBy("e", "root").count().groupBy("e").agg(F.max_by("root", F.struct("count", "root")).alias("common"), F.count(F.lit(1)).alias("n"))
-    common = cut(common.where(F.col("n") > 1).select("e", "common"), "common")
-    v = cut(head.join(common, "e"), "prefixes")
+    v = cut(head.join(common.where(F.col("n") > 1).select("e", "common"), "e"), "shared-prefixes")
     u = v.where(F.col("root") != F.col("common"))
     u = u.select("e", *[F.col(c).alias(f"{c}_u") for c in ("doc_id", "root", "total", "r")])
     # the overlap that the pair's sizes ask for, and the elements of each that may then come before the first common one

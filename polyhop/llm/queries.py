@@ -27,6 +27,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_fair_queueing": _on_documents(mixing.op10),
 }
 
-#: None of the ten digests can be computed in SQL with the same hashes, models or draws; their tests are by brute force, but
-#: for op8's (ranges and held-out accuracy only); op9's model is held against a plain one in the pipeline's test.
+#: None of the ten digests can be computed in SQL with the same hashes, models or draws; tests hold each against a plain
+#: version in Python.
 ORACLES: dict[str, str] = {}

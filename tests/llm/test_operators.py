@@ -3,8 +3,10 @@
 import collections
 import hashlib
 import itertools
+import math
 import random
 import re
+import struct
 import zlib
 
 import numpy as np
@@ -293,6 +295,65 @@ def test_op4(docs, none):
     assert got[80][0].feature == got[89][0].feature and audio.op4(none).count() == 0
 
 
+def _decoded(codec, data):
+    """Samples of stored bytes, one at a time."""
+    out = []
+    if codec == "adpcm":
+        for at in range(0, len(data), 64):
+            b = data[at : at + 64]
+            value, index = struct.unpack("<h", b[:2])[0], min(b[2], 88)
+            out.append(value)
+            for byte in b[4:]:
+                for n in (byte & 15, byte >> 4):
+                    step = int(audio.STEPS[index])
+                    diff = (step >> 3) + (step if n & 4 else 0) + (step >> 1 if n & 2 else 0) + (step >> 2 if n & 1 else 0)
+                    value = max(-32768, min(32767, value - diff if n & 8 else value + diff))
+                    index = max(0, min(88, index + (-1, -1, -1, -1, 2, 4, 6, 8)[n & 7]))
+                    out.append(value)
+        return out
+    for c in data:
+        if codec == "mulaw":
+            u = c ^ 255
+            size = (((u & 15) * 2 + 33) << (u >> 4 & 7)) - 33
+            out.append(-size * 4 if u & 128 else size * 4)
+        else:
+            a = c ^ 0x55
+            e, m = a >> 4 & 7, a & 15
+            size = (2 * m + 1 if e == 0 else (2 * m + 33) << (e - 1)) * 8
+            out.append(size if a & 128 else -size)
+    return out
+
+
+def test_op4_media_and_features(docs):
+    """The container read by its chunks, decoded and resampled one sample at a time."""
+    got = {(r.doc_id, r.n_bytes, r.payload_sha256): r for r in audio.op4(docs).collect()}
+    seen = set()
+    for r in audio.store(docs.where("doc_id IS NULL OR doc_id NOT IN (93, 94, 97)").select("doc_id", "text")).collect():
+        media = bytes(r.media)
+        assert media[:4] == b"RIFF" and struct.unpack("<I", media[4:8])[0] == len(media) - 8
+        at, chunks = 12, {}
+        while at < len(media):
+            size = struct.unpack("<I", media[at + 4 : at + 8])[0]
+            chunks[media[at : at + 4]] = media[at + 8 : at + 8 + size]
+            at += 8 + size
+        tag, channels, rate = struct.unpack("<HHI", chunks[b"fmt "][:8])
+        codec = {7: "mulaw", 6: "alaw", 0x11: "adpcm"}[tag]
+        data = chunks[b"data"]
+        assert channels == 1 and rate == 8000 and codec == r.codec and data.rstrip(b"\0") == (r.text or "").encode().rstrip(b"\0")
+        s = _decoded(codec, data)
+        assert struct.unpack("<I", chunks[b"fact"])[0] == len(s)
+        pcm = []
+        for i, x in enumerate(s):
+            near = [s[i - 3 + j] if 0 <= i - 3 + j < len(s) else 0 for j in range(8)]
+            between = (sum(int(t) * v for t, v in zip(audio.TAPS, near, strict=True)) + (1 << 14)) >> 15
+            pcm += [x, max(-32768, min(32767, between))]
+        feature = f"{codec}:16000:{len(pcm)}:{zlib.crc32(struct.pack(f'<{len(pcm)}h', *pcm))}:{sum(x * x for x in s)}"
+        row = got[r.doc_id, r.n_bytes, hashlib.sha256(data).hexdigest()]
+        assert (row.media_bytes, row.media_sha256, row.feature) == (len(media), hashlib.sha256(media).hexdigest(), feature)
+        seen.add(codec)
+    assert seen == set(audio.CODECS)
+
+
 def test_codecs():
     assert (audio.MU_LAW[0], audio.MU_LAW[255], audio.MU_LAW[128]) == (-32124, 0, 32124)
     assert (audio.A_LAW[0x55], audio.A_LAW[0xD5], audio.A_LAW[0x2A]) == (-8, 8, -32256)
@@ -598,6 +659,56 @@ def test_identity_terms_swap():
     assert dict(zip(at.tolist(), d.tolist(), strict=True)) == {1: 1, 5: 1, 7: -1}
 
 
+def _marks(text):
+    words = set(re.findall("[0-9a-z]+", text.lower()))
+    return {("word", w) for w in words} | {(k, w[:k]) for w in words for k in toxicity.PREFIXES if len(w) > k}
+
+
+def test_op8_against_a_plain_model(spark):
+    """Dictionaries instead of hashes and arrays, with the same updates in the same order."""
+    r = random.Random(4)
+    plain = [f"{a}{b}{c}" for a in ("ka", "lo", "mi") for b in ("ren", "sol", "tav") for c in ("", "di", "dos", "fel")]
+    rows = []
+    for i in range(260):
+        words = [r.choice(plain) for _ in range(9)] + (["scum" if i % 2 else "moron"] if i % 3 == 0 else []) + (["muslims"] if i % 6 == 0 else [])
+        r.shuffle(words)
+        rows.append((i, " ".join(words), int(i % 3 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    got = {x.doc_id: x.score for x in toxicity.op8(docs, docs).collect()}
+    z, n = collections.defaultdict(float), collections.defaultdict(float)
+
+    def weight(k):
+        l1 = 0.0 if k == "bias" else 8.0
+        return 0.0 if abs(z[k]) <= l1 else -(z[k] - math.copysign(l1, z[k])) / (1 + math.sqrt(n[k]))
+
+    def step(gradient, w):
+        for k, g in gradient.items():
+            z[k] += g - (math.sqrt(n[k] + g * g) - math.sqrt(n[k])) * w[k]
+            n[k] += g * g
+
+    logistic = lambda f: 1 / (1 + math.exp(-f))
+    fit = [x for x in rows if zlib.crc32(str(x[0]).encode()) % 4 != 2]
+    held = collections.Counter(m for _, t, _ in fit for m in _marks(t))
+    rng = np.random.default_rng(0)
+    for _ in range(12):
+        for k in rng.permutation(len(fit)):
+            _, text, y = fit[k]
+            marks = _marks(text)
+            x = [m for m in marks if held[m] >= toxicity.LEAST_TEXTS] + ["bias"]
+            w = {m: weight(m) for m in x}
+            off = logistic(sum(w.values())) - y
+            step(dict.fromkeys(x, off), w)
+            for form in toxicity.swaps(text):
+                sign = {m: 1.0 for m in marks - _marks(form)} | {m: -1.0 for m in _marks(form) - marks}
+                w = {m: weight(m) for m in sign}
+                gap = sum(w[m] * d for m, d in sign.items())
+                if gap:
+                    step({m: toxicity.PENALTY * gap * d for m, d in sign.items()}, w)
+    for i, text, _ in rows:
+        assert got[i] == pytest.approx(logistic(sum(weight(m) for m in _marks(text)) + weight("bias")), abs=2e-4)
+    assert max(got.values()) > 0.6 > 0.2 > min(got.values())
+
+
 def test_counterfactuals_take_a_bias_away(spark):
     """Labels under which a group is named in toxic texts alone: the penalty brings neutral mentions down, and toxic
     texts stay found."""
