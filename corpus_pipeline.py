@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame, SparkSession
 
 from polyhop.llm import mixing, neardup, packing, passages, quality
-from polyhop.llm._tables import cut, labels
+from polyhop.llm._tables import cut, labels, release, scope
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,10 +46,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each stage's result is written as Parquet in the shared folder and read again as the next one's docs."""
+    """Each stage's result is written as Parquet in the shared folder and read again as the next one's docs; tables that
+    nothing reads any more go."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scope() as keep:
+            before, docs = docs, keep(cut(stage(spark, docs, sf_dir), name.replace(" ", "-")))
+        if hasattr(before, "_polyhop_table"):
+            release(before)
     return docs
 
 
