@@ -15,6 +15,8 @@ from .bsp import Result, VertexProgram, run
 
 DAMP = 0.15
 LATENT, STEP, DECAY = 5, 1e-3, 1e-3
+#: Gradient steps at most.
+MAX_UPDATES = 20
 
 
 def bbfs(directed: bool = True) -> VertexProgram:
@@ -101,17 +103,25 @@ def pagerank(graph: Graph, iterations: int = 10, tolerance: float | None = None)
 
 
 def components(graph: Graph, max_iterations: int = 100) -> Result:
-    """The smallest id of each vertex' component, over edges of either direction."""
+    """The smallest id of each vertex' component, over edges of either direction. Each round takes the smallest label around
+    and then that label's own label, so that long paths shrink by halves."""
     pairs = cut(graph.undirected().edges)
-    state = cut(graph.vertices.select("id", F.col("id").alias("label"), F.lit(True).alias("changed")))
-    for step in range(max_iterations):
+    state, status, step = cut(graph.vertices.select("id", F.col("id").alias("label"), F.lit(True).alias("changed"))), "max_iterations", 0
+    for step in range(max_iterations + 1):
         if state.where("changed").isEmpty():
-            return Result(state.select("id", "label"), "task_depletion", step)
-        near = state.where("changed").join(pairs, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("to")).agg(F.min("label").alias("near"))
-        both = state.join(near, F.col("id") == F.col("to"), "left").withColumn("new", F.least("label", F.coalesce("near", "label")))
-        before, state = state, cut(both.select("id", F.col("new").alias("label"), (F.col("new") < F.col("label")).alias("changed")))
+            status = "task_depletion"
+            break
+        if step == max_iterations:
+            break
+        # a label may fall by a jump, so that what all neighbours say is heard anew
+        near = state.join(pairs, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("to")).agg(F.min("label").alias("near"))
+        both = state.join(near, F.col("id") == F.col("to"), "left").select("id", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("label"))
+        jump = state.select(F.col("id").alias("label"), F.col("label").alias("top"))
+        new = both.join(jump, "label", "left").select("id", F.least("label", F.coalesce("top", "label")).alias("label"), "was")
+        before, state = state, cut(new.select("id", "label", (F.col("label") < F.col("was")).alias("changed")))
         release(before)
-    return Result(state.select("id", "label"), "max_iterations", max_iterations)
+    release(pairs)
+    return Result(state.select("id", "label"), status, step)
 
 
 def toposort(graph: Graph, max_iterations: int = 10_000) -> DataFrame:
@@ -160,8 +170,8 @@ def _with_factors(ratings: DataFrame, factors: DataFrame) -> DataFrame:
 
 
 def sgd(ratings: DataFrame, factors: DataFrame, steps: int = 1, low: float = 1.0, high: float = 5.0, rate: float = STEP, decay: float = DECAY) -> DataFrame:
-    """Gradient steps over the TRAIN edges, both sides at once: p += rate (sum(err q) - decay p)."""
-    for _ in range(steps):
+    """Gradient steps over the TRAIN edges, MAX_UPDATES at most, both sides at once: p += rate (sum(err q) - decay p)."""
+    for _ in range(min(steps, MAX_UPDATES)):
         rows = _with_factors(ratings.where(F.col("role") == "TRAIN"), factors).withColumn("err", F.col("obs") - _predicted(low, high))
         ends = [rows.select("qid", F.col(me).alias("id"), *[(F.col("err") * F.col(f"{other}{k}")).alias(f"g{k}") for k in range(LATENT)]) for me, other in (("src", "d"), ("dst", "s"))]
         sums = ends[0].union(ends[1]).groupBy("qid", "id").agg(*[F.sum(f"g{k}").alias(f"g{k}") for k in range(LATENT)])

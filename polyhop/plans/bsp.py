@@ -189,8 +189,8 @@ def run(
     if engine not in ENGINES or scheduler not in SCHEDULERS:
         raise ValueError(f"no such engine or scheduler: {engine}, {scheduler}")
     watch = watch or Watch(stop_when=stop_when)
-    if mode == "lanes" and (watch.stop_when is not None or watch.aggregates or watch.post_round is not None or start is not None):
-        raise ValueError("lanes have no rows of instances to aggregate, change or start from")
+    if mode == "lanes" and watch.post_round is not None:
+        raise ValueError("lanes have no rows of instances that a hook could change")
     if present_only:
         queries = queries.join(graph.vertices.select(F.col("id").alias("source")), "source", "left_semi").select("qid", "source")
     step = _dense if program.dense else _long
@@ -205,7 +205,7 @@ def run(
             cells = [(r[0], r[1]) for r in queries.orderBy("qid").collect()]  # the instances of one run: a column each
             if mode != "lanes" or not program.track_free:
                 raise ValueError(f"{program.name} can't run in the plan {mode}")
-            parts = [_lanes(program, graph, edges, cells[i : i + LANES], max_iterations, watch) for i in range(0, len(cells), LANES)]
+            parts = [_lanes(program, graph, edges, cells[i : i + LANES], max_iterations, watch, start) for i in range(0, len(cells), LANES)]
         if not parts:
             return Result(_seeds(program, queries), "task_depletion", 0)
         n = [p.supersteps for p in parts]
@@ -288,26 +288,39 @@ def _dense(program: VertexProgram, edges: Layout, queries: DataFrame, iterations
     return Result(out.select("qid", "id", "value"), status, step, stats)
 
 
-def _lanes(program: VertexProgram, graph: Graph, edges: Layout, ids: list[tuple[int, int]], iterations: int, watch: Watch) -> Result:
-    """Lane columns v0...; NULL is unreached. A vertex is active if any lane changed."""
-    n, stats = len(ids), []
-    lanes = [f"v{i}" for i in range(n)]
+def _lanes(program: VertexProgram, graph: Graph, edges: Layout, ids: list[tuple[int, int]], iterations: int, watch: Watch, start: DataFrame | None) -> Result:
+    """Lane columns v0...; NULL is unreached. A vertex is active if any lane changed. Aggregates, snapshots and conditions
+    see the lanes as rows, ``changed`` being the vertex'."""
+    lanes = [f"v{i}" for i in range(len(ids))]
     seed = lambda i: F.col("id") == F.lit(ids[i][1])
-    state = graph.vertices.select("id", *[F.when(seed(i), program.seed).cast(program.type).alias(v) for i, v in enumerate(lanes)])
+    if start is None:
+        state = graph.vertices.select("id", *[F.when(seed(i), program.seed).cast(program.type).alias(v) for i, v in enumerate(lanes)])
+    else:
+        given = start.groupBy("id").agg(*[F.max(F.when(F.col("qid") == q, F.col("value"))).cast(program.type).alias(v) for (q, _), v in zip(ids, lanes, strict=True)])
+        state = graph.vertices.select("id").join(given, "id", "left")
     state = laid(state.withColumn("changed", reduce(Column.__or__, [F.col(v).isNotNull() for v in lanes])), "id", deal=True)
-    status, step = "max_iterations", 0
+    cells = F.array(*[F.struct(F.lit(q).alias("qid"), F.col(v).alias("value")) for (q, _), v in zip(ids, lanes, strict=True)])
+
+    def rows(table: DataFrame) -> DataFrame:
+        out = table.select("id", "changed", F.explode(cells).alias("c")).select(F.col("c.qid").alias("qid"), "id", F.col("c.value").alias("value"), "changed")
+        out = out.where(F.col("value").isNotNull())
+        return out if program.default is None else out.where(F.col("value") != program.default)
+
+    stats, status, step, over = [], "max_iterations", 0, set()
     for step in range(iterations + 1):
-        stats.append(watch.see(state, step, {}))
-        if not program.dense and state.where("changed").isEmpty():
+        stats.append(watch.see(rows(state), step, {}))
+        over |= set(watch.ended(stats[-1]))
+        if not program.dense and (len(over) == len(ids) or state.where("changed").isEmpty()):
             status = "task_depletion"
             break
-        if early := watch.ends(state):
+        if early := watch.ends(rows(state)):
             status = early
             break
         if step == iterations:
             break
         sent = edges.sent(state if program.dense else state.where("changed"))
-        sent = sent.select(F.col("dst").alias("to"), *[program.message(F.col(v), F.col).alias(f"m_{v}") for v in lanes])
+        along = lambda i, v: F.lit(None).cast(program.type) if ids[i][0] in over else program.message(F.col(v), F.col)
+        sent = sent.select(F.col("dst").alias("to"), *[along(i, v).alias(f"m_{v}") for i, v in enumerate(lanes)])
         got = sent.groupBy("to").agg(*[COMBINE[program.combine](f"m_{v}").alias(f"a_{v}") for v in lanes])
         both = state.join(got, F.col("id") == F.col("to"), "left")
         new = []
@@ -319,9 +332,4 @@ def _lanes(program: VertexProgram, graph: Graph, edges: Layout, ids: list[tuple[
         changed = reduce(Column.__or__, [~F.col(v).eqNullSafe(F.col(f"o_{v}")) for v in lanes])
         before, state = state, laid(both.select("id", *lanes, changed.alias("changed")), "id")
         release(before)
-    cells = F.array(*[F.struct(F.lit(q).alias("qid"), F.col(v).alias("value")) for (q, _), v in zip(ids, lanes, strict=True)])
-    out = unlaid(state).select("id", F.explode(cells).alias("c")).select(F.col("c.qid").alias("qid"), "id", F.col("c.value").alias("value"))
-    out = out.where(F.col("value").isNotNull())
-    if program.default is not None:
-        out = out.where(F.col("value") != program.default)
-    return Result(out, status, step, stats)
+    return Result(rows(unlaid(state)).select("qid", "id", "value"), status, step, stats)

@@ -14,7 +14,7 @@ from ..streaming.server import QueryServer
 from . import algorithms as A
 from .blocks import run_blocks
 from .bsp import VertexProgram, Watch, run
-from .queries import BFS, E, G1, IBFS, ORACLES, Q8, V, _deg, _rounds, graph, query
+from .queries import BFS, E, G1, IBFS, ORACLES, Q8, V, _deg, _fac, _ratings, _rounds, graph, query
 
 E1 = f"e AS MATERIALIZED ({G1})"
 
@@ -222,3 +222,24 @@ SELECT id AS src, (id + t * 2654435761) % {n} AS dst FROM t WHERE id <> (id + t
 
 
 query("powerlaw_edges", _powerlaw_sql())(lambda s, d: readers.powerlaw(s, 2000))
+
+
+def _sgd_sql(steps: int) -> str:
+    """Gradient steps one after the other, rounded at the end; 3e-13 as for one step."""
+    f = range(A.LATENT)
+    dot = " + ".join(f"a.f{k} * b.f{k}" for k in f)
+    parts = [_fac.replace("n AS MATERIALIZED", "n0 AS MATERIALIZED")]
+    for i in range(steps):
+        sides = ", ".join(f"a.f{k} AS s{k}, b.f{k} AS d{k}" for k in f)
+        parts.append(f"j{i} AS MATERIALIZED (SELECT a.qid, src, dst, obs - greatest(1.0, least(5.0, {dot})) AS err, {sides} FROM r JOIN n{i} a ON src = a.id JOIN n{i} b ON dst = b.id AND a.qid = b.qid WHERE role = 'TRAIN')")
+        ends = " UNION ALL ".join(f"SELECT qid, {me} AS id, {', '.join(f'err * {o}{k} AS g{k}' for k in f)} FROM j{i}" for me, o in (("src", "d"), ("dst", "s")))
+        parts.append(f"g{i} AS (SELECT qid, id, {', '.join(f'sum(g{k}) AS g{k}' for k in f)} FROM ({ends}) z GROUP BY 1, 2)")
+        new = ", ".join(f"n.f{k} + 0.001 * (coalesce(g.g{k}, 0) - 0.001 * n.f{k}) AS f{k}" for k in f)
+        parts.append(f"n{i + 1} AS MATERIALIZED (SELECT n.qid, n.id, {new} FROM n{i} n LEFT JOIN g{i} g ON n.qid = g.qid AND n.id = g.id)")
+    return f"WITH {', '.join(parts)} SELECT qid, id, {', '.join(f'round(f{k} + 3e-13, 6) AS f{k}' for k in f)} FROM n{steps}"
+
+
+@query("cf_sgd_step3", _sgd_sql(3))
+def sgd_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = A.sgd(*_ratings(spark, sf_dir), steps=3)
+    return got.select("qid", "id", *[F.round(F.col(f"f{k}") + 3e-13, 6).alias(f"f{k}") for k in range(A.LATENT)])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import time
 from collections import deque
 from collections.abc import Callable
@@ -40,7 +41,7 @@ class QueryServer:
         self.answers: list[DataFrame] = []
         self.state: DataFrame | None = None
         self.gone: list[int] = []  # ended queries with rows in the state's table
-        self._next, self._size, self.closed = 0, None, False
+        self._next, self._size, self.closed, self.ticks = 0, None, False, 0
 
     def submit(self, source) -> int | None:
         if source == EXIT:
@@ -58,6 +59,7 @@ class QueryServer:
 
     def tick(self) -> None:
         spark, p = self.graph.spark, self.program
+        self.ticks += 1
         new = []
         while self.waiting and len(self.live) + len(new) < self.capacity:
             new.append(self.waiting.popleft())
@@ -116,6 +118,32 @@ class QueryServer:
             return self.graph.spark.createDataFrame([], f"qid int, id bigint, value {self.program.type}")
         return reduce(DataFrame.union, self.answers)
 
+    def save(self, path: str) -> None:
+        """Writes what a server of the same graph and program needs to go on to path/tick=n. The driver's part comes last,
+        so that a folder without it doesn't count."""
+        spark, at = self.graph.spark, f"{path}/tick={self.ticks:09d}"
+        none = spark.createDataFrame([], f"qid int, id bigint, value {self.program.type}, changed boolean")
+        state = none if self.state is None else self.state.where(~F.col("qid").isin(self.gone)) if self.gone else self.state
+        state.write.mode("overwrite").parquet(f"{at}/state")
+        answers = reduce(DataFrame.union, self.answers) if self.answers else none.drop("changed")
+        answers.write.mode("overwrite").parquet(f"{at}/answers")
+        meta = {"ticks": self.ticks, "next": self._next, "waiting": list(self.waiting), "live": list(self.live.values()), "done": self.done}
+        spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.mode("overwrite").text(f"{at}/driver")
+
+    @classmethod
+    def restore(cls, graph: Graph, program: VertexProgram, path: str, **options) -> QueryServer:
+        """A server that goes on from the last tick saved under path."""
+        spark, server = graph.spark, cls(graph, program, **options)
+        found = spark.read.text(f"{path}/*/driver").collect()  # a row a tick saved
+        meta = max((json.loads(r["value"]) for r in found), key=lambda m: m["ticks"])
+        at = f"{path}/tick={meta['ticks']:09d}"
+        server.ticks, server._next, server.done = meta["ticks"], meta["next"], meta["done"]
+        server.waiting = deque((q, s) for q, s in meta["waiting"])
+        server.live = {info["qid"]: info for info in meta["live"]}
+        server.state = laid(spark.read.parquet(f"{at}/state"), "qid", "id", deal=True)
+        server.answers = [cut(spark.read.parquet(f"{at}/answers"))]
+        return server
+
     def stats(self) -> DataFrame:
         """qid, supersteps, touched, access_rate (touched vertices of all) and seconds of the ended queries."""
         if self._size is None:
@@ -124,14 +152,16 @@ class QueryServer:
         return self.graph.spark.createDataFrame(rows, "qid int, supersteps int, touched bigint, access_rate double, seconds double")
 
 
-def serve(server: QueryServer, lines: DataFrame, checkpoint: str):
+def serve(server: QueryServer, lines: DataFrame, checkpoint: str, state: str | None = None):
     """Feeds a streaming frame of text lines, one source id each, to a server; returns the streaming query. Each arrival
-    runs one superstep, which what came before and is still in flight shares; drain() ends the rest. The state is the
-    driver's: after a restart queries that hadn't ended are to be submitted again."""
+    runs one superstep, which what came before and is still in flight shares; drain() ends the rest. state: a folder to
+    which the server is saved after each arrival; after a restart QueryServer.restore goes on from there."""
 
     def batch(df: DataFrame, _: int) -> None:
         for r in df.select(F.trim("value").alias("v")).where(F.col("v") != "").toLocalIterator():
             server.submit(EXIT if r["v"] == EXIT else int(r["v"]))
         server.tick()
+        if state is not None:
+            server.save(state)
 
     return lines.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -177,11 +177,24 @@ def test_watch(spark, f2, tmp_path):
     assert run(A.sssp(), f2, q, watch=Watch(timeout=-1)).status == "timeout"
     assert run(A.sssp(), f2, q, "single", watch=Watch(timeout=-1)).status == "timeout"
     assert run(A.sssp(), f2, q, stop_when=F.max("value") >= 1).status == "forced_abort"
-    with pytest.raises(ValueError):
-        run(A.sssp(), f2, q, "lanes", stop_when=F.max("value") >= 1)
     assert spark.catalog.listTables() == []
 
 
+def test_watch_in_lanes(spark, f2):
+    """Aggregates, ends of instances, conditions and starting states, as by rows."""
+    q = queries_of(spark, [1, 5])
+    rows = lambda r: sorted(map(tuple, r.df.collect()))
+    watch = lambda: Watch(aggregates={"far": F.max("value"), "n": F.count(F.lit(1))}, stop_query=lambda a: a["far"] >= 4)
+    by_rows, by_lanes = run(A.sssp(), f2, q, watch=watch()), run(A.sssp(), f2, q, "lanes", watch=watch())
+    assert rows(by_rows) == rows(by_lanes) != rows(run(A.sssp(), f2, q))
+    assert [s["aggregates"] for s in by_rows.stats] == [s["aggregates"] for s in by_lanes.stats][: len(by_rows.stats)]
+    assert run(A.sssp(), f2, q, "lanes", stop_when=F.max("value") >= 1).status == "forced_abort"
+    start = run(A.sssp(), f2, q, max_iterations=1).df
+    assert rows(run(A.sssp(), f2, q, "lanes", start=start)) == rows(run(A.sssp(), f2, q))
+    with pytest.raises(ValueError):
+        run(A.sssp(), f2, q, "lanes", watch=Watch(post_round=lambda s, n: None))
+
+
 def test_edges_stay_in_place(spark, f2):
     """A join on the source shuffles what is sent, not the edges."""
     from polyhop.tables import bucketed
@@ -299,3 +312,28 @@ def test_arrivals_share_supersteps(spark, f1, tmp_path):
     assert len(server.live) == 2
     assert server.drain().count() == 8
     server.close()
+
+
+def test_server_goes_on_after_a_restart(spark, f1, tmp_path):
+    first = QueryServer(f1, A.ibfs(), 2)
+    for s in (1, 7, 2):
+        first.submit(s)
+    first.tick()
+    first.save(f"file://{tmp_path}/server")
+    first.tick()
+    first.tick()
+    first.save(f"file://{tmp_path}/server")
+    want = sorted(map(tuple, first.drain().collect()))
+    first.close()
+    again = QueryServer.restore(f1, A.ibfs(), f"file://{tmp_path}/server", capacity=2)
+    assert again.ticks == 3
+    assert sorted(map(tuple, again.drain().collect())) == want and len(want) == 9
+    assert sorted(d["qid"] for d in again.done) == [0, 1, 2]
+    again.close()
+
+
+def test_components_of_a_long_path(spark):
+    """Labels jump: far fewer rounds than hops."""
+    path = Graph.of(spark.createDataFrame([(i * 37 % 401, (i + 1) * 37 % 401) for i in range(400)], "src bigint, dst bigint"))
+    got = A.components(path)
+    assert {r.label for r in got.df.collect()} == {0} and got.status == "task_depletion" and got.supersteps < 16
