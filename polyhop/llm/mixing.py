@@ -16,9 +16,12 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.spread import RANGE, spread
 from ._tables import cut, own_names, whole
 
 SEED = 11
+#: What a document's place in its source's shuffled queue is drawn from, as SQL, so that SQL can repeat the draw.
+DRAWN = "coalesce(doc_id % 2147483647, -1) * 31 + size % 1000"
 EPOCHS = 3
 WEIGHTS = (1.0, 2.0, 3.0)
 #: Slices of a source's queue, at least; there are more where a slice of the whole table would hold above SLICE_ROWS rows.
@@ -55,12 +58,11 @@ def _before(totals: DataFrame, by: list[str], order: str, value: str, to: str) -
 
 def queue(sized: DataFrame, seed: int = SEED, slices: int = SLICES) -> DataFrame:
     """doc_id, source, size with ``upto``: the source's words up to and with this document in shuffled order."""
-    h = F.xxhash64(F.lit(seed), "doc_id", "source", "size")
-    rows = sized.withColumn("key", h).withColumn("slice", F.pmod(F.shiftright("key", 32), F.lit(slices)).cast("int"))
+    rows = sized.withColumn("key", spread(DRAWN, seed)).withColumn("slice", F.floor(F.col("key") * slices / RANGE).cast("int"))
     totals = rows.groupBy("source", "slice").agg(F.sum("size").alias("part"))
     # one row for each source and slice, however many documents there are
     start = _before(totals, ["source"], "slice", "part", "start").select(F.col("source").alias("s_"), F.col("slice").alias("l_"), "start")
-    w = Window.partitionBy("source", "slice").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy("source", "slice").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("within", F.sum("size").over(w))
     on = F.col("source").eqNullSafe(F.col("s_")) & (F.col("slice") == F.col("l_"))
     return rows.join(start, on, "left").select("doc_id", "source", "size", "key", (F.col("start") + F.col("within")).alias("upto"))
