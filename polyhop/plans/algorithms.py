@@ -103,8 +103,9 @@ def pagerank(graph: Graph, iterations: int = 10, tolerance: float | None = None)
 
 
 def components(graph: Graph, max_iterations: int = 100) -> Result:
-    """The smallest id of each vertex' component, over edges of either direction. Each round takes the smallest label around
-    and then that label's own label, so that long paths shrink by halves."""
+    """The smallest id of each vertex' component, over edges of either direction. Vertices of one label are a tree; each
+    round a tree takes the smallest label next to any of its vertices, and then that label's new one, so that trees merge
+    whole and the rounds grow with the logarithm of their number, not with the hops."""
     pairs = cut(graph.undirected().edges)
     state, status, step = cut(graph.vertices.select("id", F.col("id").alias("label"), F.lit(True).alias("changed"))), "max_iterations", 0
     for step in range(max_iterations + 1):
@@ -113,13 +114,13 @@ def components(graph: Graph, max_iterations: int = 100) -> Result:
             break
         if step == max_iterations:
             break
-        # a label may fall by a jump, so that what all neighbours say is heard anew
         near = state.join(pairs, F.col("id") == F.col("src")).groupBy(F.col("dst").alias("to")).agg(F.min("label").alias("near"))
-        both = state.join(near, F.col("id") == F.col("to"), "left").select("id", F.col("label").alias("was"), F.least("label", F.coalesce("near", "label")).alias("label"))
-        jump = state.select(F.col("id").alias("label"), F.col("label").alias("top"))
-        new = both.join(jump, "label", "left").select("id", F.least("label", F.coalesce("top", "label")).alias("label"), "was")
+        touched = state.join(near, F.col("id") == F.col("to"))
+        hooks = cut(touched.groupBy("label").agg(F.min("near").alias("low")).where(F.col("low") < F.col("label")))
+        first = state.join(hooks, "label", "left").select("id", F.col("label").alias("was"), F.coalesce("low", "label").alias("label"))
+        new = first.join(hooks, "label", "left").select("id", "was", F.coalesce("low", "label").alias("label"))
         before, state = state, cut(new.select("id", "label", (F.col("label") < F.col("was")).alias("changed")))
-        release(before)
+        release(before, hooks)
     release(pairs)
     return Result(state.select("id", "label"), status, step)
 

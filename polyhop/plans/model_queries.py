@@ -86,7 +86,7 @@ def periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     g, a = graph(spark, sf_dir), D.Aggregators()
     a.add("weight", "edges", F.sum("w"), finalize=int)
     a.periodic("weight", 2)
-    stats = run(A.ibfs(), g, queries_of(spark, [1, 2]), max_iterations=4, watch=Watch(periodic=lambda step: a.tick(g, step))).stats
+    stats = run(A.ppr(), g, queries_of(spark, [1, 2]), max_iterations=4, watch=Watch(periodic=lambda step: a.tick(g, step))).stats
     return spark.createDataFrame([(s["superstep"], s["periodic"]["weight"]) for s in stats if "periodic" in s], "superstep int, weight bigint")
 
 
