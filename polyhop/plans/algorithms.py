@@ -5,18 +5,23 @@ from __future__ import annotations
 import heapq
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.spread import RANGE, spread
 from ..sources.graph import Direction, Graph
-from ..tables import cut, release
+from ..tables import cut, release, ship
 from .bsp import Result, VertexProgram, run
 
 DAMP = 0.15
 LATENT, STEP, DECAY = 5, 1e-3, 1e-3
 #: Gradient steps at most.
 MAX_UPDATES = 20
+#: Edges, or vertices and edges, that one task takes in order.
+BATCH = 2**20
 
 
 def bbfs(directed: bool = True) -> VertexProgram:
@@ -63,22 +68,95 @@ def _way(directed: bool) -> Direction:
 
 
 def proper_coloring(graph: Graph, max_iterations: int = 1000) -> Result:
-    """A valid colouring: in each round the uncoloured vertices of the smallest hash among uncoloured neighbours take the
-    lowest colour free around them. (id, color bit) A vertex whose neighbours have 63 colours ends the run with an
-    overflow error; a vertex has at most one more colour than neighbours."""
-    pairs = cut(graph.undirected().edges)
+    """A valid colouring: in the order of their hashes, vertices take the lowest colour that no neighbour has. (id, color):
+    colours count from 0, NULL is uncoloured. A round colours the next vertices of the order, as many as have at most
+    BATCH edges among them: those with such edges one by one in one task, from the colours that earlier rounds left
+    them, and the others by themselves. Only a single hash's vertices may have more edges than that."""
     order = lambda c: F.struct(spread(c, 0), F.col(c))
-    state = cut(graph.vertices.select("id", F.lit(None).cast("bigint").alias("color")))
-    for step in range(max_iterations):
-        if state.where(F.col("color").isNull()).isEmpty():
-            return Result(state, "task_depletion", step)
-        near = pairs.join(state.select(F.col("id").alias("dst"), "color"), "dst").groupBy(F.col("src").alias("id"))
-        near = near.agg(F.bit_or(F.coalesce("color", F.lit(0).cast("bigint"))).alias("used"), F.min(F.when(F.col("color").isNull(), order("dst"))).alias("first"))
-        turn = F.col("color").isNull() & (F.col("first").isNull() | (order("id") < F.col("first")))
-        both = state.join(near, "id", "left")
-        before, state = state, cut(both.select("id", F.when(turn, lowest_free(F.coalesce("used", F.lit(0).cast("bigint")))).otherwise(F.col("color")).alias("color")))
-        release(before)
-    return Result(state, "max_iterations", max_iterations)
+    pairs = graph.undirected().edges.where(order("src") < order("dst")).select(F.col("src").alias("a"), spread("src", 0).alias("ha"), F.col("dst").alias("b"), spread("dst", 0).alias("hb"))
+    edges = cut(pairs.repartitionByRange("hb", "b", "a").sortWithinPartitions("hb"))
+    left = cut(graph.vertices.select("id", spread("id", 0).alias("h")))
+    done, low, step = [], 0, 0
+    while low < RANGE and step < max_iterations:
+        high, step = _until(edges, low), step + 1
+        inner = edges.where((F.col("ha") >= low) & (F.col("hb") < high))
+        ends = inner.select(F.col("b").alias("id"), "a").union(inner.select("a", F.lit(None).cast("bigint")))
+        ends = ends.groupBy("id").agg(F.collect_set("a").alias("near"))
+        both = left.where((F.col("h") >= low) & (F.col("h") < high)).join(ends, "id", "left")
+        few = F.lit(0)
+        if done:
+            taken = edges.where((F.col("ha") < low) & (F.col("hb") >= low) & (F.col("hb") < high)).join(reduce(DataFrame.union, done).withColumnRenamed("id", "a"), "a")
+            taken = taken.select(F.col("b").alias("id"), "color").distinct().groupBy("id").agg(F.collect_list("color").alias("taken"))
+            both, few = both.join(taken, "id", "left"), F.coalesce(F.size("taken"), F.lit(0))
+        # as many free colours as the neighbours of this round can take, and one more
+        most = F.coalesce(F.size("near"), F.lit(0)) + 1
+        free = F.sequence(F.lit(0).cast("bigint"), (few + most - 1).cast("bigint"))
+        free = F.slice(F.array_except(free, F.coalesce("taken", F.array().cast("array<bigint>"))) if done else free, F.lit(1), most)
+        both = cut(both.select("id", "h", "near", free.alias("free")))
+        one = _in_one_task(both.where("near IS NOT NULL"), _colors, "id bigint, color bigint")
+        done = _piled(done, cut(both.where("near IS NULL").select("id", F.element_at("free", 1).alias("color")).union(one)))
+        release(both)
+        low = high
+    rest = left.where(F.col("h") >= low).select("id", F.lit(None).cast("bigint").alias("color"))
+    release(edges)
+    return Result(reduce(DataFrame.union, [*done, rest]), "task_depletion" if low == RANGE else "max_iterations", step)
+
+
+def color_bit(color: Column) -> Column:
+    """A colour's number as a bit; a bigint has 63."""
+    return F.when(color < 63, F.call_function("shiftleft", F.lit(1).cast("bigint"), color.cast("int"))).when(color >= 63, F.raise_error(F.lit("more than 63 colours: no bit is left")).cast("bigint"))
+
+
+def _until(edges: DataFrame, low: int, parts: int = 4096) -> int:
+    """The end of the hashes from low that have at most BATCH edges among them, found in some thousandths of the range, or
+    of its first such part and so on, if that has too many; one hash at least."""
+    rows, width = edges.where(F.col("ha") >= low), RANGE - low
+    while True:
+        size = -(-width // parts)
+        part = F.floor((F.col("hb") - low) / size)
+        counts = rows.where(F.col("hb") < low + width).groupBy(part.alias("part")).count().collect()  # a row a part
+        total = 0
+        for at, n in sorted(counts):
+            total += n
+            if total > BATCH:
+                break
+        else:
+            return low + width
+        if at or size == 1:
+            return low + max(at, 1) * size
+        width = size
+
+
+def _in_one_task(df: DataFrame, f, schema: str) -> DataFrame:
+    """f of all rows, which must be few."""
+    ship(df.sparkSession)
+    return df.groupBy().applyInArrow(f, schema)
+
+
+def _lists(column: pa.ChunkedArray) -> tuple[list[int], list[int]]:
+    """All numbers of a column of lists, and where each list begins, and the end."""
+    ends = np.cumsum(pc.list_value_length(column).to_numpy())
+    return pc.list_flatten(column).to_numpy().tolist(), [0, *ends.tolist()]
+
+
+def _colors(rows: pa.Table) -> pa.Table:
+    """rows (id, h, near, free): by h and id each takes its first free colour that no earlier one of near has taken."""
+    rows = rows.sort_by([("h", "ascending"), ("id", "ascending")])
+    ids, (near, n), (free, f), color = rows.column("id").to_pylist(), _lists(rows.column("near")), _lists(rows.column("free")), {}
+    for i, v in enumerate(ids):
+        taken = {color[u] for u in near[n[i] : n[i + 1]]}
+        color[v] = next(c for c in free[f[i] : f[i + 1]] if c not in taken)
+    return pa.table({"id": pa.array(ids, pa.int64()), "color": pa.array(color.values(), pa.int64())})
+
+
+def _piled(tables: list[DataFrame], more: DataFrame) -> list[DataFrame]:
+    """Tables of ``cut`` and one more, in few tables."""
+    tables = [*tables, more]
+    if len(tables) < 16:
+        return tables
+    out = cut(reduce(DataFrame.union, tables))
+    release(*tables)
+    return [out]
 
 
 def pagerank(graph: Graph, iterations: int = 10, tolerance: float | None = None) -> Result:

@@ -148,7 +148,8 @@ FROM {{p}} p LEFT JOIN (SELECT src, bit_or(coalesce(z.color, 0)) AS used, min(CA
 FROM u JOIN {{p}} z ON u.dst = z.id GROUP BY 1) n ON p.id = n.src"""
 _uncoloured = f"SELECT id, CAST(NULL AS BIGINT) AS color, {spread_sql('id', 0)} AS h FROM v"
 _both = "u AS MATERIALIZED (SELECT src, dst FROM e UNION SELECT dst, src FROM e)"
-query("proper_coloring", f"WITH {E1}, {_both}, {V}, {_rounds(25, _uncoloured, _turn)} SELECT id, color FROM s25")(lambda s, d: A.proper_coloring(graph(s, d, G1)).df)
+query("proper_coloring", f"WITH {E1}, {_both}, {V}, {_rounds(25, _uncoloured, _turn)} SELECT id, color FROM s25")(
+    lambda s, d: A.proper_coloring(graph(s, d, G1)).df.select("id", A.color_bit(F.col("color")).alias("color")))
 query("proper_coloring_conflicts", f"WITH {E}, {V} SELECT count(*) AS vertices, CAST(0 AS BIGINT) AS uncoloured, CAST(0 AS BIGINT) AS conflicts FROM v")(lambda s, d: _conflicts(s, d))
 
 

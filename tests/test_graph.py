@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from polyhop.functions import lanes as L
+from polyhop.functions.spread import spread
 from polyhop.operators import dataflow as D
 from polyhop.plans import algorithms as A
 from polyhop.plans.blocks import run_blocks
@@ -64,6 +65,40 @@ def test_coloring(spark):
     assert len(set(colors.values())) == 3
 
 
+def test_proper_coloring_of_more_than_63_colours(spark):
+    clique = Graph.of(spark.createDataFrame([(i, j) for i in range(70) for j in range(i)], "src bigint, dst bigint"))
+    got = A.proper_coloring(clique)
+    assert got.status == "task_depletion"
+    assert sorted(r.color for r in got.df.collect()) == list(range(70))
+    with pytest.raises(Exception, match="63 colours"):
+        got.df.select(A.color_bit(F.col("color"))).collect()
+
+
+@pytest.mark.parametrize("batch", [0, 12, 2**20])
+def test_proper_coloring_is_greedy_by_hash(spark, monkeypatch, batch):
+    monkeypatch.setattr(A, "BATCH", batch)
+    draw = random.Random(3)
+    m = 2_147_483_647  # ids of one hash
+    ids = [1, 1 + m, 1 + 2 * m, -5, *range(2, 9)]
+    pairs = {(a, b) for a in ids for b in ids if a < b and (draw.random() < 0.5 or (b - a) % m == 0)}
+    got = A.proper_coloring(Graph.of(spark.createDataFrame(sorted(pairs), "src bigint, dst bigint"), spark.createDataFrame([(99,)], "id bigint")))
+    hashes = {r.id: r.h for r in spark.createDataFrame([(i,) for i in [*ids, 99]], "id bigint").select("id", spread("id", 0).alias("h")).collect()}
+    want = {}
+    for v in sorted(hashes, key=lambda i: (hashes[i], i)):
+        taken = {want.get(b if a == v else a) for a, b in pairs if v in (a, b)}
+        want[v] = next(c for c in range(99) if c not in taken)
+    assert got.status == "task_depletion"
+    assert {r.id: r.color for r in got.df.collect()} == want
+
+
+def test_proper_coloring_tells_what_is_left(spark, monkeypatch):
+    monkeypatch.setattr(A, "BATCH", 10)
+    clique = Graph.of(spark.createDataFrame([(i, j) for i in range(12) for j in range(i)], "src bigint, dst bigint"))
+    got = A.proper_coloring(clique, 1)
+    colors = [r.color for r in got.df.collect()]
+    assert got.status == "max_iterations" and len(colors) == 12 and 0 < colors.count(None) < 12
+
+
 def test_whole_graph(spark, f1):
     exact = {r.id: r.value for r in A.pagerank(f1, 60).df.collect()}
     near = {r.id: r.value for r in A.pagerank(f1, 200, 1e-6).df.collect()}
