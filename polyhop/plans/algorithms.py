@@ -205,26 +205,67 @@ def components(graph: Graph, max_iterations: int = 100) -> Result:
 
 def toposort(graph: Graph, max_iterations: int = 10_000) -> DataFrame:
     """(id, level), the longest path from a vertex without in-edges; raises if there is a cycle or if vertices are left
-    after max_iterations levels."""
-    left, edges, level = cut(graph.vertices.select("id")), cut(graph.edges.select("src", "dst").distinct()), 0
-    done, layers = cut(left.select("id", F.lit(0).cast("bigint").alias("level")).limit(0)), []
-    while not left.isEmpty():
-        if level == max_iterations:
+    after max_iterations levels. A round settles the vertices without in-edges and, in one task, what follows from them
+    among those with the fewest in-edges, BATCH vertices and edges at most; so a dense graph takes few rounds, whatever
+    its levels, and a round settles a level at least."""
+    left = cut(graph.vertices.select("id", F.lit(0).cast("bigint").alias("level")))
+    edges, done = cut(graph.edges.select("src", "dst").distinct()), []
+
+    def settled(new: DataFrame) -> None:
+        nonlocal done
+        if not new.where(F.col("level") >= max_iterations).isEmpty():
             raise ValueError(f"vertices are left after {max_iterations} levels")
-        free = cut(left.join(edges.select(F.col("dst").alias("id")), "id", "left_anti").withColumn("level", F.lit(level).cast("bigint")))
+        done = _piled(done, new)
+
+    while not left.isEmpty():
+        free = cut(left.join(edges.select(F.col("dst").alias("id")), "id", "left_anti"))
         if free.isEmpty():
             raise ValueError("the graph has a cycle")
-        layers.append(free)
-        before = left, edges
-        left = cut(left.join(free, "id", "left_anti"))
-        edges = cut(edges.join(free.select(F.col("id").alias("src")), "src", "left_anti"))
-        release(*before)
-        level += 1
-        if len(layers) == 16 or left.isEmpty():  # a plan of few tables
-            before = [done, *layers]
-            done, layers = cut(reduce(DataFrame.union, before)), []
-            release(*before)
-    return done
+        # the others, with the number of their in-edges from others
+        ends = edges.join(free.select(F.col("id").alias("src"), "level"), "src", "left").groupBy(F.col("dst").alias("id"))
+        ends = ends.agg(F.max(F.col("level") + 1).alias("up"), F.count_if(F.col("level").isNull()).alias("n"))
+        rest = cut(left.join(ends, "id").select("id", F.greatest("level", "up").alias("level"), "n"))
+        inner = cut(edges.join(free.select(F.col("id").alias("src")), "src", "left_anti"))
+        release(left, edges)
+        most, total = -1, 0
+        for n, vertices in rest.groupBy("n").count().orderBy("n").limit(2048).collect():  # as many different numbers go beyond BATCH
+            total += (n + 1) * vertices
+            if total > BATCH:
+                break
+            most = n
+        few = rest.where(F.col("n") <= most)
+        near = inner.join(few.select(F.col("id").alias("dst")), "dst", "left_semi").groupBy(F.col("dst").alias("id")).agg(F.collect_list("src").alias("near"))
+        near = few.join(near, "id", "left").select("id", "level", F.coalesce("near", F.array().cast("array<bigint>")).alias("near"))
+        next_ = cut(_in_one_task(near, _levels, "id bigint, level bigint"))
+        ends = inner.join(next_.select(F.col("id").alias("src"), F.col("level").alias("from")), "src").groupBy(F.col("dst").alias("id")).agg((F.max("from") + 1).alias("up"))
+        left = rest.join(next_.select("id"), "id", "left_anti").join(ends, "id", "left")
+        left = cut(left.select("id", F.greatest("level", "up").alias("level")))
+        edges = cut(inner.join(next_.select(F.col("id").alias("src")), "src", "left_anti"))
+        release(rest, inner)
+        settled(free)
+        settled(next_)
+    release(edges)
+    return reduce(DataFrame.union, [*done, left])
+
+
+def _levels(rows: pa.Table) -> pa.Table:
+    """rows (id, level, near): the ids that are reached when all of near are among the rows and reached, with the largest of
+    their own level and those of near plus one."""
+    ids, level, (near, n) = rows.column("id").to_pylist(), rows.column("level").to_pylist(), _lists(rows.column("near"))
+    at, out = {v: i for i, v in enumerate(ids)}, [[] for _ in ids]
+    waits = [n[i + 1] - n[i] for i in range(len(ids))]
+    for i in range(len(ids)):
+        for u in near[n[i] : n[i + 1]]:
+            if u in at:
+                out[at[u]].append(i)
+    found = [i for i, x in enumerate(waits) if not x]
+    for i in found:  # grows
+        for j in out[i]:
+            level[j] = max(level[j], level[i] + 1)
+            waits[j] -= 1
+            if not waits[j]:
+                found.append(j)
+    return pa.table({"id": pa.array([ids[i] for i in found], pa.int64()), "level": pa.array([level[i] for i in found], pa.int64())})
 
 
 # matrix factorisation by gradient steps

@@ -115,6 +115,32 @@ def test_toposort_raises_where_levels_run_out(spark):
         A.toposort(path, 4)
 
 
+@pytest.mark.parametrize("batch", [0, 60, 2**20])
+def test_toposort_levels_of_a_dense_graph(spark, monkeypatch, batch):
+    monkeypatch.setattr(A, "BATCH", batch)
+    draw, n = random.Random(5), 14
+    order = draw.sample(range(-40, 40), n)
+    pairs = [(order[i], order[j]) for j in range(n) for i in range(j) if j == i + 1 < 9 or draw.random() < 0.4]
+    want = {v: 0 for v in order}
+    for a, b in sorted(pairs, key=lambda p: order.index(p[0])):
+        want[b] = max(want[b], want[a] + 1)
+    g = Graph.of(spark.createDataFrame(pairs + pairs[:5], "src bigint, dst bigint"), spark.createDataFrame([(v,) for v in [*order, 99]], "id bigint"))
+    assert {r.id: r.level for r in A.toposort(g).collect()} == want | {99: 0}
+    back = Graph.of(g.edges.union(spark.createDataFrame([(order[8], order[3])], "src bigint, dst bigint")))
+    with pytest.raises(ValueError, match="cycle"):
+        A.toposort(back)
+
+
+def test_toposort_takes_many_levels_a_round(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(A, "cut", lambda df, real=A.cut: tables.append(df) or real(df))
+    dense = Graph.of(spark.createDataFrame([(i, j) for j in range(60) for i in range(j)], "src bigint, dst bigint"))
+    assert {r.id: r.level for r in A.toposort(dense).collect()} == {i: i for i in range(60)}
+    assert len(tables) < 20
+    none = Graph.of(spark.createDataFrame([], "src bigint, dst bigint"))
+    assert A.toposort(none).collect() == []
+
+
 def test_structure(spark):
     edges = spark.createDataFrame([(1, 1), (1, 2), (1, 2), (-1, 3), (4, -1)], "src bigint, dst bigint")
     g = Graph.of(edges, spark.createDataFrame([(9,)], "id bigint"))
